@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is a block of its own.
 BLOCK_BYTES = 3 << 20
@@ -106,3 +107,33 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id and first (the smallest doc_id with the same text) of each row; null texts are empty."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
+    return slim.join(slim.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest").select("doc_id", "first")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and component (the smallest id that links lead to) of each id of nodes(id), by edges(a, b).
+
+    Alternating large-star and small-star steps over staged edges, until a step changes nothing; the number of steps
+    grows with the logarithm of the longest path. Work follows the number of edges; nothing is gathered on the driver.
+    """
+    edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        after = stage(small.select("e.a", "e.b").where("a <> b").distinct())
+        drop(edges)
+        edges = after
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    return nodes.join(edges.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
