@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, minhash, quality, urls
+from . import bpe, embeddings, fingerprints, minhash, packing, quality, urls
 from .common import table
 
 
+#: The vocabulary file of the queries that need tokens.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.in_fold("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -42,7 +54,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op8_embedding_near_dedup, op9_document_fingerprints]
+    found = [op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
