@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, minhash, packing, quality, urls
+from . import bpe, embeddings, fingerprints, minhash, packing, passages, quality, urls
 from .common import table
 
 
@@ -53,8 +53,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints]
+    found = [op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
