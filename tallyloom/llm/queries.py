@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, lm, minhash, packing, passages, quality, urls
+from . import bpe, embeddings, fingerprints, licences, lm, minhash, packing, passages, quality, urls
 from .common import table
 
 
@@ -15,6 +15,11 @@ from .common import table
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.learn(docs)).drop("found")
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), quality.in_fold("doc_id", 7, 2))
 
@@ -62,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lm_scoring, op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints, op10_substring_dedup]
+    found = [op1_licence_scan, op2_lm_scoring, op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -38,10 +38,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first word (n + 1 values)."""
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the index of its first word (n + 1 values). space: bytes between words."""
     word = np.zeros(len(data) + 1, bool)
-    word[:-1] = ~SPACE[data]
+    word[:-1] = ~space[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     cuts = offsets[offsets < len(data)]
