@@ -185,22 +185,22 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, least: float = SIMI
     drop(entries)
     tried = stage(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     links = stage(_verified(tried, slim, weighted, least))
-    members = shared.select("key", "id")
+    # a band whose members all link with its head is done; members of the others may yet link with each other
+    failed = tried.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("head"), F.col("b").alias("id"))
+    members = stage(shared.join(shared.join(failed, ["head", "id"]).select("key").distinct(), "key").select("key", "id"))
     start, many = 2, LEADERS
-    while True:
+    while not members.isEmpty():
         comps = stage(components(members.select("id").distinct(), links))
         marked = members.join(comps, "id")
-        mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where(F.expr(f"low < high and size > {start - 1}"))
+        mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where(F.expr(f"low < high and size > {start}"))
         left = stage(marked.join(mixed.select("key"), "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
         lead = left.where(F.col("place").between(start, start + many - 1)).select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("place").alias("at"))
-        pairs = left.join(lead, "key").where("place > at and component <> of").select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
+        pairs = stage(left.join(lead, "key").where("place > at and component <> of").select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         drop(comps)
-        if left.where(f"place > {start}").isEmpty():
-            break
-        more = stage(_verified(pairs, slim, weighted, least))
-        links, tried = stage(links.unionByName(more)), stage(tried.unionByName(pairs))
+        drop(members)
         members = left.select("key", "id")
+        if not pairs.isEmpty():
+            links, tried = stage(links.unionByName(_verified(pairs, slim, weighted, least))), stage(tried.unionByName(pairs))
         start, many = start + many, many * 4
     comps = components(copies.select(F.col("first").alias("id")).distinct(), links)
     out = copies.join(comps, F.col("first") == F.col("id"))
