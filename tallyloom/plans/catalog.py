@@ -1,25 +1,14 @@
-"""Queries over the test tables, each with SQL for the same rows where SQL can express it."""
+"""All queries over the test tables, each with SQL for the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyloom.plans import measures, texts
+from tallyloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def question_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rate = F.coalesce(F.try_divide("earned", "possible"), F.lit(0.0))
-    return (
-        lines.groupBy(F.col("l_linenumber").alias("question")).agg(F.sum("l_quantity").alias("earned"), (F.count("*") * 50.0).alias("possible"))
-        .withColumn("rate", rate)
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"question_success": question_success}
+def queries() -> dict[str, Query]:
+    return measures.query.queries | texts.query.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return measures.query.sql | texts.query.sql
