@@ -16,6 +16,8 @@ so no candidate pair is given up, yet the pairs of a group are never all made. T
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -213,5 +215,5 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows with a null doc_id stay; of rows that repeat a doc_id and text one stays.
     """
     kept = near_duplicates(docs, least=least).where("kept").select("doc_id").distinct()
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").withColumn("_text", digest).dropDuplicates(["doc_id", "_text"]).select(*docs.columns))
+    digest, mark = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), f"_{uuid.uuid4().hex}"
+    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").withColumn(mark, digest).dropDuplicates(["doc_id", mark]).select(*docs.columns))
