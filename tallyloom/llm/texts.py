@@ -12,6 +12,8 @@ import numpy as np
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are hashed at once.
+STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -54,11 +56,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes, A-Z taken as a-z."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """A hash of each span of bytes, A-Z taken as a-z. Starts and ends ascend. Memory is bounded by STEP and the longest span."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        k = max(i + 1, int(np.searchsorted(ends, low + STEP, "right")))
+        high = int(ends[k - 1])
+        up, down = _power_tables(high - low + 1)
+        total = np.zeros(high - low + 1, U64)
+        np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=total[1:])
+        a, b = starts[i:k] - low, ends[i:k] - low
+        out[i:k] = mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
+        i = k
+    return out
 
 
 def owners(first: np.ndarray) -> np.ndarray:
