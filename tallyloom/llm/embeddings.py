@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, stage
+from .common import components, stage
 
 THRESHOLD = 0.93
 #: Classes that share a code by chance, about; bound of the chance to miss a pair at the threshold; rows of a chunk.
@@ -63,7 +63,7 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float) -> tuple
     wa, wb = a["n"].to_numpy(np.int64), other["n"].to_numpy(np.int64)
     i, j = np.nonzero(near)
     ids_a, ids_b = a["rep"].to_numpy(), other["rep"].to_numpy()
-    # a linked row and its least partner, and each partner with its least: these links join what all links join here
+    # a spanning forest joins what all links join here
     keep: list[tuple[int, int]] = []
     parent: dict[int, int] = {}
 
