@@ -185,8 +185,10 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, least: float = SIMI
     heads = entries.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
     shared = stage(entries.join(heads.select("key", "head"), "key").distinct())
     drop(entries)
+    # texts of the documents that share a band at all: later rounds read no others
+    pool = stage(slim.join(shared.select("id").distinct(), "id", "left_semi"))
     tried = stage(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
-    links = stage(_verified(tried, slim, weighted, least))
+    links = stage(_verified(tried, pool, weighted, least))
     # a band whose members all link with its head is done; members of the others may yet link with each other
     failed = tried.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("head"), F.col("b").alias("id"))
     members = stage(shared.join(shared.join(failed, ["head", "id"]).select("key").distinct(), "key").select("key", "id"))
@@ -202,8 +204,9 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, least: float = SIMI
         drop(members)
         members = left.select("key", "id")
         if not pairs.isEmpty():
-            links, tried = stage(links.unionByName(_verified(pairs, slim, weighted, least))), stage(tried.unionByName(pairs))
+            links, tried = stage(links.unionByName(_verified(pairs, pool, weighted, least))), stage(tried.unionByName(pairs))
         start, many = start + many, many * 4
+    drop(pool)
     comps = components(copies.select(F.col("first").alias("id")).distinct(), links)
     out = copies.join(comps, F.col("first") == F.col("id"))
     return out.select("doc_id", F.col("first").alias("class_id"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
