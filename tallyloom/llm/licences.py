@@ -180,8 +180,10 @@ def fit(lines: list[str]) -> Model:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the classifier with lines of at most sample documents, those with the smallest hashes of doc_id, as unknown ones."""
-    picked = docs.select("doc_id", F.slice(F.split(F.col("text").cast("string"), "\n"), 1, LINES).alias("lines")).where("lines is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = picked.select("doc_id", F.explode("lines").alias("line")).select("doc_id", F.substring("line", 1, CHARS).alias("line")).collect()
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    # at most sample ids; a repeated id may have more rows than one
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(sample).select(F.slice(F.split(F.col("text").cast("string"), "\n"), 1, LINES).alias("lines"))
+    rows = picked.select(F.explode("lines").alias("line")).select(F.substring("line", 1, CHARS).alias("line")).collect()
     return fit(sorted(r["line"] for r in rows))
 
 
