@@ -188,3 +188,8 @@ def outcome_key(key: Column, theme: Column, code: Column, number: Column) -> Col
     """A given key, else theme and code joined by a bar (blank ones left out), else "Soru" and the number."""
     pair = F.array_join(F.filter(F.array(F.trim(F.coalesce(theme, F.lit(""))), F.trim(F.coalesce(code, F.lit("")))), lambda x: x != ""), " | ")
     return F.coalesce(blank_to_null(key), F.nullif(pair, F.lit("")), F.concat(F.lit("Soru "), number.cast("string")))
+
+
+def checked_option(c: Column) -> Column:
+    """What stands after a ticked box; null if no box is ticked."""
+    return blank_to_null(F.regexp_extract(c, r"[☒☑✓✔■]\s*([^☐☒☑✓✔■□]+)", 1))

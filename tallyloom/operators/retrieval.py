@@ -60,3 +60,25 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFra
 
 def excerpt(c: Column, length: int = EXCERPT) -> Column:
     return F.substring(c, 1, length)
+
+
+def heading_pages(pages: DataFrame, pattern: str) -> DataFrame:
+    """document, label, page: the last page of each heading whose line matches the pattern's first group; pages(document, page, text).
+
+    The pattern is matched line by line; of a page its first match counts.
+    """
+    label = F.regexp_extract("text", f"(?m){pattern}", 1)
+    return pages.withColumn("label", F.trim(label)).where("label <> ''").groupBy("document", "label").agg(F.max("page").alias("page"))
+
+
+def original_pages(pages: Column, offset: Column) -> Column:
+    """Sorted distinct page numbers of a slice, as they are in the whole document."""
+    return F.array_sort(F.array_distinct(F.transform(pages, lambda p: p + offset)))
+
+
+def contexts(hits: DataFrame, by: str = "\n\n---\n\n") -> DataFrame:
+    """query_id, context (the hits' texts by rank) and sources (document, pages, excerpt by rank) of hits(query_id, rank, text, document, pages)."""
+    every = F.array_sort(F.collect_list(F.struct("rank", "text", "document", "pages")))
+    rows = hits.groupBy("query_id").agg(every.alias("h"))
+    sources = F.transform("h", lambda x: F.struct(x["document"].alias("document"), x["pages"].alias("pages"), excerpt(x["text"]).alias("excerpt")))
+    return rows.select("query_id", F.array_join(F.transform("h", lambda x: x["text"]), by).alias("context"), sources.alias("sources"))

@@ -48,3 +48,17 @@ def best_table(cells: DataFrame, key: str) -> DataFrame:
     many = cells.groupBy(key, "table_ix").agg(F.countDistinct("row_ix").alias("rows"))
     best = many.groupBy(key).agg(F.max_by("table_ix", F.struct("rows", -F.col("table_ix"))).alias("table_ix"))
     return cells.join(best, [key, "table_ix"], "left_semi")
+
+
+def single_student(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Score rows (keys, question, max_score, score) of a sheet of one student: a row of questions, one of maxima, one of scores.
+
+    The first cell says what a row is: it begins with soru, with azami or puan degeri, or with alinan or ogrenci puan once folded.
+    """
+    label = text.label_fold(F.col("text"))
+    kind = F.when(label.rlike(r"^(azami|puan degeri|en yuksek)"), "max").when(label.rlike(r"^(alinan|ogrenci puan|aldigi)"), "score").when(label.startswith("soru"), "question")
+    rows = cells.where("cell_ix = 0").select(*keys, "row_ix", kind.alias("kind")).where("kind is not null")
+    wide = cells.where("cell_ix > 0").join(rows, [*keys, "row_ix"]).groupBy(*keys, "cell_ix").pivot("kind", ["question", "max", "score"]).agg(F.first("text"))
+    number = F.coalesce(text.lenient_number(F.col("question")).cast("int"), F.col("cell_ix"))
+    out = wide.select(*keys, number.alias("question"), text.lenient_number(F.col("max")).alias("max_score"), text.lenient_number(F.col("score")).alias("score"))
+    return out.where("max_score is not null or score is not null")

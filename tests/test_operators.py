@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import bands, digests, text
+from tallyloom.functions import bands, digests, json_text, text
 from tallyloom.operators import backups, corrections, measure, reports, retrieval, rules, textguard
 from tallyloom.sources import readers, tables
 from tallyloom.streaming import events
@@ -242,3 +242,24 @@ def test_streams_equal_their_twins(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     events.throttled_stream(stream, "user", "ts", 300).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(map(tuple, spark.table("fired").collect())) == want and len(want) == 8
+
+
+def test_headings_pages_and_contexts(spark):
+    pages = spark.createDataFrame([("d", 1, "x\n1. TEMA: SÖZ\ny"), ("d", 4, "1. TEMA: SÖZ"), ("d", 5, "2. TEMA: YAPI\n3. TEMA: Z"), ("d", 6, None)], "document string, page int, text string")
+    assert sorted((r.label, r.page) for r in retrieval.heading_pages(pages, r"^\s*\d+\. TEMA: (.+)$").collect()) == [("SÖZ", 4), ("YAPI", 5)]
+    assert value(spark, retrieval.original_pages(F.array(F.lit(2), F.lit(1), F.lit(2)), F.lit(65))) == [66, 67]
+    hits = spark.createDataFrame([(1, 2, "b" * 400, "D", [3]), (1, 1, "a", "D", [1])], "query_id int, rank int, text string, document string, pages array<int>")
+    row = retrieval.contexts(hits).first()
+    assert row.context.startswith("a\n\n---\n\nb") and [len(s.excerpt) for s in row.sources] == [1, 300]
+
+
+def test_single_student_sheet(spark):
+    rows = [["Sorular", "Soru 1", "Soru 2"], ["Azami puan", "25", "10,5"], ["Alınan puan", "20", ""]]
+    cells = spark.createDataFrame([("p", r, c, t) for r, row in enumerate(rows) for c, t in enumerate(row)], "path string, row_ix int, cell_ix int, text string")
+    assert sorted((r.question, r.max_score, r.score) for r in tables.single_student(cells, ["path"]).collect()) == [(1, 25.0, 20.0), (2, 10.5, None)]
+
+
+def test_json_texts(spark):
+    assert values(spark, ['```json\n{"b": 1, "a": [2]}\n``` and more', "no", None, "{"], json_text.first_object) == ['{"b": 1, "a": [2]}', None, None, None]
+    assert values(spark, ['{"b": 1, "a": {"d": "ç", "c": 2}}', "x"], json_text.canonical) == ['{"a":{"c":2,"d":"ç"},"b":1}', None]
+    assert values(spark, ["☐ Evet ☒ Hayır", "☐ Evet"], text.checked_option) == ["Hayır", None]
