@@ -122,7 +122,7 @@ def _ask_words(shards: int):
                 b = Block(row)
                 words, counts = b.words[b.order], b.word_counts()[b.order].astype(np.uint32)
                 cut = _cut(words, 64, shards)
-                some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                some = np.flatnonzero(np.diff(cut)).tolist()
                 yield pa.record_batch({"block": pa.array([row["block"]] * len(some), pa.int64()), "shard": pa.array(some, pa.int32()), "words": pa.array([pack(words[cut[s] : cut[s + 1]]) for s in some], pa.binary()), "counts": pa.array([pack(counts[cut[s] : cut[s + 1]]) for s in some], pa.binary())})
 
     return run
@@ -174,7 +174,7 @@ def _ask_pairs(shards: int, hot: np.ndarray):
                 order = np.lexsort((word, node))
                 node, word, counts = node[order], word[order], counts[order]
                 cut = _cut(node, 63, shards)
-                some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                some = np.flatnonzero(np.diff(cut)).tolist()
                 out = {"nodes": [], "many": [], "words": [], "counts": []}
                 for s in some:
                     part = slice(cut[s], cut[s + 1])
