@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks as sliced
-from .common import partitions, shared_dir, text_bytes
+from .common import partitions, shared_dir, small_batches, text_bytes
 
 #: Bytes of text of a block, about; a longer document is a block of its own.
 BYTES = 8 << 20
@@ -72,6 +72,7 @@ def of_texts(docs: DataFrame, limit: int = BYTES) -> DataFrame:
         if parts:
             yield block()
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return bucketed(slim.mapInArrow(run, SCHEMA), "block")
 

@@ -70,6 +70,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches between the JVM and Python, unless the session sets them: texts and sets are kilobytes a row."""
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -100,6 +107,8 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
 def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """Applies fn to blocks of rows within tasks."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text):
             out = fn(block)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, small_batches, stage
 
 THRESHOLD = 0.93
 #: Classes that share a code by chance, about; bound of the chance to miss a pair at the threshold; rows of a chunk.
@@ -81,6 +81,7 @@ def _compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float) -> tuple
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding, label)."""
+    small_batches(vectors.sparkSession)
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     fine = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .common import BLOCK_BYTES, map_blocks, partitions
+from .common import BLOCK_BYTES, map_blocks, partitions, small_batches
 
 EQUAL = 8
 LANES = 256
@@ -184,6 +184,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
                     yield work(ids, many, False)
                     ids, many, held = ids[-1:], many[-1:], len(text)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_order(slim).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from . import blocks as B
 from . import texts as T
 from .blocks import pack, unpack
 from .common import blocks as sliced
-from .common import drop, partitions, stage, text_bytes
+from .common import drop, partitions, small_batches, stage, text_bytes
 from .eliasfano import EliasFano
 
 _U64 = np.uint64
@@ -75,6 +75,7 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
         if ids:
             yield block()
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
     return B.bucketed(slim.mapInArrow(run, _TOKENS), "block")
 

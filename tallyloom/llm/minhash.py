@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .common import classes, components, drop, map_blocks, stage, text_bytes
+from .common import classes, components, drop, map_blocks, small_batches, stage, text_bytes
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^4)^24, 3 in a million.
@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, least: float = SIMI
 
     Links join texts whose similarity is at least least. weighted: shingles weigh as often as they occur, else all the same.
     """
+    small_batches(docs.sparkSession)
     given = docs.where("doc_id is not null")
     copies = stage(classes(given))
     slim = given.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
