@@ -13,10 +13,10 @@ from .test_texts import prose
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     passage, copy = prose(80), prose(150)
-    texts = {i: prose(120) for i in range(60)} | {60 + i: "BUY!!! NOW!!! " * 40 for i in range(20)} | {100 + i: copy for i in range(12)} | {120 + i: f"{prose(60)} {passage}" for i in range(6)} | {130: "", 131: None}
+    texts = {i: prose(120) for i in range(60)} | {1000 + i: "BUY!!! NOW!!! " * (20 + i) for i in range(120)} | {2000 + i: prose(100) for i in range(120)} | {100 + i: copy for i in range(12)} | {120 + i: f"{prose(60)} {passage}" for i in range(6)} | {130: "", 131: None}
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
-    labels = [(i, int(not 60 <= i < 80), 0) for i in texts if i < 130]
+    labels = [(i, int(not 1000 <= i < 1120), 0) for i in texts if i not in (130, 131)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
@@ -30,7 +30,7 @@ def test_stages(spark, folder):
             assert tables[-1].columns == docs.columns
     _, good, single, cut, packed = tables
     ids = [{r.doc_id for r in t.select("doc_id").collect()} for t in (good, single, cut)]
-    assert not ids[0] & set(range(60, 80)) and set(range(60)) <= ids[0]
+    assert not ids[0] & set(range(1000, 1120)) and set(range(60)) <= ids[0]
     assert ids[1] & set(range(100, 112)) == {100} and set(range(60)) <= ids[1]
     assert set(range(60)) <= ids[2] and set(range(120, 126)) <= ids[2]
     texts = {r.doc_id: r.text for r in cut.collect()}
