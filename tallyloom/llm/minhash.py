@@ -30,7 +30,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8^4)^24, 3 in a million.
 BANDS, ROWS = 24, 4
 #: The members of a band that lead in the second round; each round takes four times as many as the one before.
-LEADERS = 4
+LEADERS = 16
 
 _U64 = np.uint64
 _ALL = (1 << 64) - 1
