@@ -11,8 +11,8 @@ that all documents have costs each block one comparison and no block more than F
 A candidate pair is verified on the words themselves: the windows' common range must hold T shingles; runs of equal words
 around the anchors are joined over small gaps while the shingles' Jaccard similarity stays at 0.8 or more; joined runs of 50 words count.
 The first document in reading order keeps a passage, later ones have it as a copy. Repeats within a document are left alone.
-Null and short texts have no passages; rows with equal texts are copies of each other. Ids are carried, not interpreted; rows with null
-ids take part and are reported with a null doc_id.
+Null and short texts have no passages; rows with equal texts are copies of each other. Each row is a document of its own with a key
+of its own; ids are carried, not interpreted, so they may repeat or be null, and spans are reported with the doc_id of their row.
 """
 
 from __future__ import annotations
@@ -180,14 +180,15 @@ def _requests(table: pa.Table) -> pa.Table:
     })
 
 
-_REPLY = "block long, keys binary, doc binary, place binary, left binary, right binary, base binary, ids array<long>, first binary, words binary"
+_REPLY = "block long, keys binary, doc binary, place binary, left binary, right binary, base binary, rows array<long>, ids array<long>, first binary, words binary"
 
 
 def _reply(requests: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of one block: to each block that asked, where its keys first stand here, and the words of those documents."""
-    out = {k: [] for k in ("block", "keys", "doc", "place", "left", "right", "base", "ids", "first", "words")}
+    out = {k: [] for k in ("block", "keys", "doc", "place", "left", "right", "base", "rows", "ids", "first", "words")}
     if requests.num_rows and blocks.num_rows:
-        ids, data, offsets = B.texts_of(blocks.slice(0, 1).to_pylist()[0])
+        block = blocks.slice(0, 1).to_pylist()[0]
+        rows, (ids, data, offsets) = block["rows"], B.texts_of(block)
         x = Words(data, offsets)
         key, place, left, right = windows(x)
         known, first = _first_places(key, place)
@@ -208,8 +209,9 @@ def _reply(requests: pa.Table, blocks: pa.Table) -> pa.Table:
             out["block"].append(below)
             for name, value in (("keys", wanted), ("doc", doc.astype(np.int32)), ("place", (place[at] - begin[doc]).astype(np.int32)), ("left", (left[at] - begin[doc]).astype(np.int32)), ("right", (right[at] - begin[doc]).astype(np.int32)), ("base", (begin - x.first[docs]).astype(np.int64)), ("first", np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int64)), ("words", np.concatenate([words[a:b] for a, b in zip(begin, stop, strict=True)]))):
                 out[name].append(B.pack(value))
+            out["rows"].append([rows[d] for d in docs])
             out["ids"].append([ids[d] for d in docs])
-    return pa.table({"block": pa.array(out["block"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("keys", "doc", "place", "left", "right", "base")}, "ids": pa.array(out["ids"], pa.list_(pa.int64())), "first": pa.array(out["first"], pa.binary()), "words": pa.array(out["words"], pa.binary())})
+    return pa.table({"block": pa.array(out["block"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("keys", "doc", "place", "left", "right", "base")}, **{k: pa.array(out[k], pa.list_(pa.int64())) for k in ("rows", "ids")}, "first": pa.array(out["first"], pa.binary()), "words": pa.array(out["words"], pa.binary())})
 
 
 def _runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -252,7 +254,8 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of one block: its documents' passages that an earlier document has, and those earlier ones'."""
     out = []
     if blocks.num_rows:
-        ids, data, offsets = B.texts_of(blocks.slice(0, 1).to_pylist()[0])
+        block = blocks.slice(0, 1).to_pylist()[0]
+        rows, (ids, data, offsets) = block["rows"], B.texts_of(block)
         x = Words(data, offsets)
         key, place, left, right = windows(x)
         order = np.argsort(key, kind="stable")
@@ -272,7 +275,7 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
         for n, r in enumerate(replies.to_pylist()):
             keys, rdoc, rplace, rleft, rright = B.unpack(r["keys"], _U64), *(B.unpack(r[k], np.int32) for k in ("doc", "place", "left", "right"))
             rfirst, rwords = B.unpack(r["first"], np.int64), B.unpack(r["words"], np.uint32)
-            sides[n] = (r["ids"], rfirst, rwords, B.unpack(r["base"], np.int64))
+            sides[n] = (r["rows"], r["ids"], rfirst, rwords, B.unpack(r["base"], np.int64))
             at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
             hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
             at = at[hit]
@@ -283,16 +286,16 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
         for (d, n, other), places in pairs.items():
             a = words[x.first[d] : x.first[d + 1]]
             if n < 0:
-                b, name, base = words[x.first[other] : x.first[other + 1]], ids[other], 0
+                b, row, name, base = words[x.first[other] : x.first[other + 1]], rows[other], ids[other], 0
             else:
-                names, rfirst, rwords, rbase = sides[n]
-                b, name, base = rwords[rfirst[other] : rfirst[other + 1]], names[other], int(rbase[other])
+                numbers, names, rfirst, rwords, rbase = sides[n]
+                b, row, name, base = rwords[rfirst[other] : rfirst[other + 1]], numbers[other], names[other], int(rbase[other])
             for s, e, s2, e2 in alike(a, b, list(places)):
-                out.append((ids[d], s, e, True))
-                out.append((name, base + s2, base + e2, False))
-    out = sorted(set(out), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int32()), "end": pa.array(cols[2], pa.int32()), "copy": pa.array(cols[3], pa.bool_())})
+                out.append((rows[d], ids[d], s, e, True))
+                out.append((row, name, base + s2, base + e2, False))
+    out = sorted(set(out), key=lambda r: (r[0], *r[2:]))
+    cols = list(zip(*out, strict=True)) or [[]] * 5
+    return pa.table({"row": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "start": pa.array(cols[2], pa.int32()), "end": pa.array(cols[3], pa.int32()), "copy": pa.array(cols[4], pa.bool_())})
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,15 +312,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, copy: the repeated passages of docs(doc_id, text).
 
     copy: an earlier document has the passage; else later ones have it. A document's passages of one kind don't overlap; of a
-    copy and another passage that overlap, the copy counts for the overlap.
+    copy and another passage that overlap, the copy counts for the overlap. Each row is a document; rows of one id have passages each.
     """
+    return _of_rows(docs).drop("row")
+
+
+def _of_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """repeated() with the key of each row; row names its column in docs."""
     spark = docs.sparkSession
-    blocks = B.of_texts(docs)
+    blocks = B.of_texts(docs, row=row)
     requests = _questions(blocks, partitions(spark)).groupBy("shard").applyInArrow(_requests, "above long, below long, keys binary")
     replies = requests.groupBy("above").cogroup(blocks.groupBy("block")).applyInArrow(_reply, _REPLY)
-    found = stage(replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify, "doc_id long, start int, end int, copy boolean"))
+    found = stage(replies.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_verify, "row long, doc_id long, start int, end int, copy boolean"))
     B.forget(blocks)
-    lists = found.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "copy")).alias("spans"))  # at most FAN a key and place
+    lists = found.distinct().groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "end", "copy")).alias("spans"))  # at most FAN a key and place
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,23 +341,24 @@ def repeated(docs: DataFrame) -> DataFrame:
                             s = max(s, b)
                     if s < e:
                         first.append((s, e))
-                rows += [(row["doc_id"], s, e, e - s, True) for s, e in copies] + [(row["doc_id"], s, e, e - s, False) for s, e in first]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch({"doc_id": pa.array(cols[0], pa.int64()), "start_word": pa.array(cols[1], pa.int32()), "end_word": pa.array(cols[2], pa.int32()), "n_words": pa.array(cols[3], pa.int32()), "copy": pa.array(cols[4], pa.bool_())})
+                rows += [(row["row"], row["doc_id"], s, e, e - s, True) for s, e in copies] + [(row["row"], row["doc_id"], s, e, e - s, False) for s, e in first]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.record_batch({"row": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "start_word": pa.array(cols[2], pa.int32()), "end_word": pa.array(cols[3], pa.int32()), "n_words": pa.array(cols[4], pa.int32()), "copy": pa.array(cols[5], pa.bool_())})
 
-    return lists.mapInArrow(run, "doc_id long, start_word int, end_word int, n_words int, copy boolean")
+    return lists.mapInArrow(run, "row long, doc_id long, start_word int, end_word int, n_words int, copy boolean")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs, with all columns, whose texts lack the passages that an earlier document has.
 
-    A document that had words and keeps none is left out; all others stay. Rows with a null doc_id stay as they are. n_chars, if docs
-    has it, is counted anew for texts that changed.
+    A document that had words and keeps none is left out; all others stay. Rows are documents, whether their doc_id repeats or is null.
+    n_chars, if docs has it, is counted anew for texts that changed.
     """
-    mark = f"_{uuid.uuid4().hex}"
-    spans = repeated(docs).where("copy and doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(mark))
+    mark, row = (f"_{uuid.uuid4().hex}" for _ in range(2))
     small_batches(docs.sparkSession)
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, mark)
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))  # so that a row has the same number in both reads
+    spans = _of_rows(numbered, row).where("copy").groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(mark))
+    joined = numbered.join(spans, row, "left").select(*docs.columns, mark)
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
