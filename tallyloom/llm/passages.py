@@ -224,10 +224,53 @@ def _runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int, int]
     return [(int(s), int(e), shift) for s, e in long]
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words a and b start with in common."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def _onward(a: np.ndarray, b: np.ndarray, runs: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """Runs at other shifts that begin within GAP words of the end of one of runs, and of those, and so on."""
+    seen, found = set(runs), set()
+    for run in runs:
+        while True:
+            end, e = run[1], run[1] - run[2]
+            x, y = a[end : end + GAP + SHINGLE], b[e : e + GAP + SHINGLE]
+            if min(len(x), len(y)) < SHINGLE:
+                break
+            same = x[:, None] == y[None, :]
+            rows, cols = len(x) - SHINGLE + 1, len(y) - SHINGLE + 1
+            match = same[:rows, :cols].copy()
+            for k in range(1, SHINGLE):
+                match &= same[k : k + rows, k : k + cols]
+            i, j = np.nonzero(match)
+            if not len(i):
+                break
+            near = int(np.argmin(i + j))
+            start, other = end + int(i[near]), e + int(j[near])
+            run = (start, start + _equal(a[start:], b[other:]), start - other)
+            if run in seen:
+                break
+            seen.add(run)
+            found.add(run)
+    return found
+
+
 def alike(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Near-equal passages of word arrays a and b around pairs of anchors: (start, end) in a, (start, end) in b."""
-    shifts = sorted({p - q for p, q in places})
-    runs = sorted(r for s in shifts for r in _runs(a, b, s))
+    """Near-equal passages of word arrays a and b around pairs of anchors: (start, end) in a, (start, end) in b.
+
+    Runs at the anchors' shifts are followed both ways to runs at other shifts, so words may be missing or inserted anywhere.
+    """
+    known = {r for s in {p - q for p, q in places} for r in _runs(a, b, s)}
+    m, n = len(a), len(b)
+    turned = _onward(a[::-1], b[::-1], {(m - e, m - s, m - n - shift) for s, e, shift in known})
+    runs = sorted(known | _onward(a, b, known) | {(m - e, m - s, m - n - shift) for s, e, shift in turned})
     out, chain = [], None
 
     def close() -> None:
@@ -236,6 +279,10 @@ def alike(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> list[t
 
     for start, end, shift in runs:
         s, e = start - shift, end - shift
+        if chain is not None and end > chain[1]:
+            over = max(0, chain[1] - start, chain[3] - s)  # words that end one run and begin the next belong to the first
+            if 0 < over <= end - start - SHINGLE and over < SHINGLE:
+                start, s = start + over, s + over
         if chain is not None and start >= chain[1] and s >= chain[3] and max(start - chain[1], s - chain[3]) <= GAP:
             both = chain[4] + end - start - SHINGLE + 1
             union = (end - chain[0]) + (e - chain[2]) - 2 * (SHINGLE - 1) - both

@@ -41,3 +41,14 @@ def test_null_ids_are_rows_of_their_own(spark):
     assert spans(passages.repeated(df)) == [(0, 70, False), (0, 70, True), (20, 80, False), (20, 80, True)]
     left = sorted(r.text.split() for r in passages.without_copies(df).collect())
     assert left == sorted(t.split() for t in (f"{heads[0]} {a}", clean, heads[1], b))
+
+
+def test_words_missing_or_inserted_next_to_one_anchor():
+    a = np.arange(60, dtype=np.uint32)
+    for at in range(8, 53):
+        longer = np.insert(a, at, 999).astype(np.uint32)
+        assert passages.alike(longer, a, [(2, 2)]) == [(0, 61, 0, 60)], at
+        assert passages.alike(longer, a, [(59, 58)]) == [(0, 61, 0, 60)], at
+        assert passages.alike(a, longer, [(2, 2)]) == [(0, 60, 0, 61)], at
+        twice = np.insert(a, at, a[at - 1]).astype(np.uint32)
+        assert passages.alike(twice, a, [(2, 2)]) == [(0, 61, 0, 60)], at
