@@ -4,7 +4,9 @@ Texts are sequences of shingles (runs of five words, A-Z as a-z). Under a hash f
 shingles (50 words) whose least hash stands at place c form one compact window: c with the ranges of starts left and ends right
 of it, as the Cartesian tree of the hashes has them. A text has about 2n/T windows for each function. Windows
 of two documents with the same least shingle make the documents a candidate there, if the 15 words right or left of it are the same
-too: keys of a window are the shingle with one of its sides (a passage has all the words of one side, but for edits closer than that). Shards gather keys by block; the blocks with a
+too: keys of a window are the shingle with one of its sides (a passage has all the words of one side, but for edits closer than that).
+Each run of 50 words has a key of its own besides: documents with that key do have a passage in common, so each meets the first one
+that has it, even if keys of parts of the run lead to a document with less of it. Shards gather keys by block; the blocks with a
 key form a tree of FAN branches by their order, and each is compared with the one above it, so that a passage
 that all documents have costs each block one comparison and no block more than FAN.
 
@@ -82,12 +84,29 @@ def _nearest_smaller(v: np.ndarray, group: np.ndarray) -> np.ndarray:
     return left
 
 
+def _run_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each WORDS consecutive words, by doubling: runs of 2, 4, 8 and so on, joined to WORDS."""
+    factor, span, have, out = 0x9FB21C651E98DF25, 1, words, None
+    left, done = WORDS, 0
+    while left:
+        if left & 1:
+            part = have[done:]
+            out = part if out is None else out[: len(part)] * _U64(pow(factor, span, 1 << 64)) + part
+            done += span
+        left >>= 1
+        if left:
+            have = have[:-span] * _U64(pow(factor, span, 1 << 64)) + have[span:]
+            span *= 2
+    return T.mix(out)
+
+
 def windows(x: Words) -> tuple[np.ndarray, ...]:
-    """Compact windows of a block: key, place of the anchor (index of a word), first start and last end (shingles)."""
+    """Compact windows of a block and its runs of WORDS words: key, place of the anchor (index of a word), first start and last end (shingles)."""
     n = len(x.shingles)
     keys, places, lefts, rights = [], [], [], []
     if n >= _T:
         fits = np.flatnonzero(np.arange(n - _T + 1) + _T <= x.stop[: n - _T + 1])
+        run = _run_hashes(x.words)[fits] >> _U64(16)
         low = _U64(0xFFFFFF)
         for f in range(FUNCTIONS):
             v = T.mix(x.shingles ^ _U64((f + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
@@ -118,7 +137,7 @@ def windows(x: Words) -> tuple[np.ndarray, ...]:
         side.append(refined)
         where.append(inside)
     at = np.concatenate(where)
-    return np.concatenate(side) >> _U64(16), place[at], left[at], right[at]
+    return np.concatenate([*(z >> _U64(16) for z in side), run]), *(np.concatenate(z) for z in ((place[at], fits), (left[at], fits), (right[at], fits + _T)))
 
 
 def _first_places(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +309,8 @@ def alike(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> list[t
                 chain = [chain[0], end, chain[2], e, both]
                 continue
         if chain is not None and end <= chain[1]:
+            if end - start >= WORDS > chain[3] - chain[2]:
+                out.append((start, end, s, e))
             continue  # inside what is found
         close()
         chain = [start, end, s, e, end - start - SHINGLE + 1]
@@ -297,6 +318,15 @@ def alike(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]]) -> list[t
     return out
 
 
+def _distinct(*columns: np.ndarray) -> list[list[int]]:
+    """The distinct rows of the columns, in order."""
+    rows = np.stack([np.asarray(c, np.int64) for c in columns], axis=1)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new].tolist()
+
+
 def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of one block: its documents' passages that an earlier document has, and those earlier ones'."""
     out = []
@@ -314,11 +344,12 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
         known, first = _first_places(key, place)
         # copies within the block: each document with the key's first one here
         head = first[np.searchsorted(known, key)]
-        for i in np.flatnonzero(doc != doc[head]).tolist():
-            h = head[i]
-            p, q = x.first[doc[i]], x.first[doc[h]]
-            if min(place[i] - left[i], place[h] - left[h]) + min(right[i] - place[i], right[h] - place[h]) >= _T:
-                pairs[int(doc[i]), -1, int(doc[h])].add((int(place[i] - p), int(place[h] - q)))
+        i = np.flatnonzero(doc != doc[head])
+        h = head[i]
+        common = np.minimum(place[i] - left[i], place[h] - left[h]) + np.minimum(right[i] - place[i], right[h] - place[h])
+        i, h = i[common >= _T], h[common >= _T]
+        for d, other, shift in _distinct(doc[i], doc[h], (place[i] - x.first[doc[i]]) - (place[h] - x.first[doc[h]])):
+            pairs[d, -1, other].add((shift, 0))
         for n, r in enumerate(replies.to_pylist()):
             keys, rdoc, rplace, rleft, rright = B.unpack(r["keys"], _U64), *(B.unpack(r[k], np.int32) for k in ("doc", "place", "left", "right"))
             rfirst, rwords = B.unpack(r["first"], np.int64), B.unpack(r["words"], np.uint32)
@@ -328,8 +359,8 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
             at = at[hit]
             common = np.minimum(place[hit] - left[hit], rplace[at] - rleft[at]) + np.minimum(right[hit] - place[hit], rright[at] - rplace[at])
             hit, at = hit[common >= _T], at[common >= _T]
-            for d, own, rd, rp in zip(doc[hit].tolist(), (place[hit] - x.first[doc[hit]]).tolist(), rdoc[at].tolist(), rplace[at].tolist(), strict=True):
-                pairs[d, n, rd].add((own, rp))
+            for d, other, shift in _distinct(doc[hit], rdoc[at], place[hit] - x.first[doc[hit]] - rplace[at]):
+                pairs[d, n, other].add((shift, 0))
         for (d, n, other), places in pairs.items():
             a = words[x.first[d] : x.first[d + 1]]
             if n < 0:
