@@ -168,6 +168,11 @@ def anomaly_flags(spark: SparkSession, d: str) -> DataFrame:
     return measure.anomalies(_rates(spark, d), near=0.5101).where("rate <= 0.5101").select("question", F.replace("flags", F.lit("near_full,")).alias("flags")).withColumn("flags", F.regexp_replace("flags", ",near_full", ""))
 
 
+@query(f"with q as ({_QUESTIONS}), f as (select question, concat_ws(',', case when rate <= 0.05 then 'near_zero' end, case when rate >= 0.95 then 'near_full' end, case when exists (select 1 from q b where b.question <> q.question and b.rate = q.rate) then 'equal_rate' end) as flags from q) select question, flags from f where flags <> ''")
+def anomaly_flags_all(spark: SparkSession, d: str) -> DataFrame:
+    return measure.anomalies(_rates(spark, d)).select("question", "flags")
+
+
 @query(f"with q as ({_QUESTIONS}), o as ({_OUTCOMES}) select 2 as section, '- Soru ' || question || ': %' || printf('%.2f', rate * 100) as line from q union all select 3, '- ' || outcome || ': %' || printf('%.2f', rate * 100) from o union all select 4, '- ' || outcome || ': %' || printf('%.2f', rate * 100) || ' | ' || case when rate >= 0.8 then 'Güçlü' when rate >= 0.5 then 'Geliştirilmeli' else 'Kritik' end from o")
 def text_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.text_report(_rates(spark, d), _outcomes(spark, d).withColumn("exam", F.lit("all"))).select("section", "line")
