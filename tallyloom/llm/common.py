@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer document is a block of its own.
@@ -118,10 +118,24 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and first (the smallest doc_id with the same text) of each row; null texts are empty."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
-    return slim.join(slim.groupBy("digest").agg(F.min("doc_id").alias("first")), "digest").select("doc_id", "first")
+#: Keys that lookup() may broadcast.
+FREQUENT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, columns: list[str], spread: Column | None = None) -> DataFrame:
+    """rows with columns of table(key, many, columns), for rows whose key it has; many: how many rows have the key.
+
+    A key that FREQUENT-th of the rows have, of which there are at most FREQUENT, is looked up in a broadcast table, so that its rows aren't dealt
+    to one task. spread: a key for those rows in the other join, by default a hash of the row.
+    """
+    total = table.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    names, hot_key = {c: f"hot_{c}" for c in columns}, f"hot_{key}"
+    hot = table.where(F.col("many") * FREQUENT > total).select(F.col(key).alias(hot_key), *[F.col(c).alias(h) for c, h in names.items()])
+    cold = table.where(F.col("many") * FREQUENT <= total).select(F.col(key).alias("cold_key"), *columns)
+    dealt = F.when(F.col(hot_key).isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns) if spread is None else spread)
+    joined = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left").withColumn("dealt", dealt)
+    joined = joined.join(cold, F.col("dealt") == F.col("cold_key"), "left").where(F.col(hot_key).isNotNull() | F.col("cold_key").isNotNull())
+    return joined.select(*rows.columns, *[F.when(F.col(hot_key).isNotNull(), F.col(h)).otherwise(F.col(c)).alias(c) for c, h in names.items()])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

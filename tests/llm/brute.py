@@ -35,9 +35,17 @@ def united(ids, links):
     return {i: root(i) for i in ids}
 
 
-def near_groups(texts, least=0.8):
-    """Smallest id of each text's near-duplicate group; texts: id to text."""
-    sets = {i: shingles(t) for i, t in texts.items()}
+def counted(text):
+    w, seen, out = words(text), Counter(), set()
+    for x in [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else []):
+        out.add((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+def near_groups(texts, least=0.8, weighted=False):
+    """Smallest id of each text's near-duplicate group; texts: id to text. weighted: shingles count as often as they occur."""
+    sets = {i: (counted if weighted else shingles)(t) for i, t in texts.items()}
     where, links, same = defaultdict(list), [], defaultdict(list)
     for i, t in texts.items():
         same[t or ""].append(i)

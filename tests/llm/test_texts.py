@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import bpe, fingerprints, minhash, packing, passages, tokens
@@ -79,6 +80,54 @@ def test_chain_that_the_smallest_id_does_not_join(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == want and want[3] == 2
 
 
+def test_ids_with_two_texts_and_repeated_rows(spark):
+    a, b = prose(90), prose(90)
+    rows = [(5, a), (5, b), (7, a), (8, b), (8, b), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("d")).withColumn("best", F.lit(1))
+    out = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.class_id, r.component_id, r.kept) for r in out) == [(5, 5, 5, True), (5, 5, 5, True), (7, 5, 5, False), (8, 5, 5, False), (8, 5, 5, False)]
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(5, a), (5, b), (0, a)])
+    # an edit of one text doesn't lead to the other one's group
+    more = df.unionByName(spark.createDataFrame([(4, edited(a, 80))], "doc_id long, text string"), allowMissingColumns=True)
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(more).collect()} == {(4, 4), (5, 4), (5, 5), (7, 4), (8, 5)}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_large_band_of_many_groups(spark, monkeypatch, weighted):
+    # texts around one base that share bands with it, in groups that link among themselves only
+    monkeypatch.setattr(minhash, "CHUNK", 4)
+    base = prose(300).split(" ")
+    rows, k = [], 0
+    for group in range(12):
+        own = list(base)
+        for at in rng.choice(60, 14, False):
+            own[at * 5] = f"group{group}"
+        for _ in range(4):
+            text = list(own)
+            text[int(rng.integers(300))] = f"doc{k}"
+            rows.append((k, " ".join(text + ["again"] * 30)))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_groups(dict(rows), weighted=weighted)
+    assert len(set(want.values())) > 4
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, weighted).collect()} == want
+
+
+def test_chunks_compare_exactly_and_forests_span():
+    r = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([r.choice(40, 30), r.integers(1000, 10_000, r.integers(0, 6))])).astype(np.uint64) for _ in range(30)] + [np.zeros(0, np.uint64)] * 2
+    near = minhash.near_matrix(sets[:18], sets[18:], 0.6)
+    plain = np.array([[len(np.intersect1d(x, y)) >= 0.6 * len(np.union1d(x, y)) for y in sets[18:]] for x in sets[:18]])
+    assert (near == plain).all() and near.any() and not near.all()
+    pairs = [(i, 18 + j) for i, j in zip(*np.nonzero(near), strict=True)]
+    spanning = [(i, 18 + j) for i, j in minhash.forest(near)]
+    assert set(spanning) <= set(pairs) and brute.united(range(32), spanning) == brute.united(range(32), pairs)
+    head = minhash.like_head(sets[0], sets)
+    assert (head >= 0.6).tolist() == [len(np.intersect1d(sets[0], y)) >= 0.6 * len(np.union1d(sets[0], y)) for y in sets]
+
+
 def test_weighted_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(5)
     items = r.integers(1, 1 << 62, 60).astype(np.uint64)
