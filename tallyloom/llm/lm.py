@@ -2,14 +2,16 @@
 
 Tokens are words (runs of bytes other than ASCII white space, A-Z as a-z) and an end token for each text. A word's probability after a
 context is smoothed with its own: p(w | c) = (n(c, w) + m * p(w)) / (n(c) + m) with p(w) = (n(w) + 1) / (N + V + 1), which sums to
-one. m is chosen from STRENGTHS by the training texts' leave-one-out likelihood over the whole corpus.
+one. Each context takes m from STRENGTHS by the leave-one-out likelihood of all that follows it in training texts; frequent contexts,
+where m hardly matters, take the first.
 
 Texts are staged as blocks of distinct words and token numbers. Each block asks shards about its distinct words, then about
 its distinct pairs: what is sent grows with the corpus but a frequent word or pair is sent once a block. A shard counts, and
-builds its trie in a memory-mapped file: Elias-Fano levels for contexts, for pointers from a context to its successors and for
-successors (numbers in the shard's vocabulary, relative to their context), with the pair's smoothed part n(c, w) / n(c) as 16 bits of its
-logarithm (STEP). Pairs are found by successor search within their context's range. Successors of contexts that make up
-1 / HOT of all tokens or more are split over SPLIT nodes by the word, so no shard gets a frequent context whole.
+builds its trie in a memory-mapped file in the task's own temporary folder, which goes with the task: Elias-Fano levels for contexts, for pointers
+from a context to its successors and for successors (numbers in the shard's vocabulary, relative to their context), with each pair's
+smoothed probability and each context's share of the smoothing as 16 bits of their logarithms (STEP). Pairs are found by successor search within their
+context's range; a pair that the trie lacks has its context's share of the word's own probability, and a context that it lacks leaves the word's own.
+Successors of contexts that make up 1 / HOT of all tokens or more are split over SPLIT nodes by the word, so no shard gets a frequent context whole.
 
 Null texts are empty: the end token alone. Rows are scored one by one. Without training texts every probability is 1.
 """
@@ -36,7 +38,7 @@ from .eliasfano import EliasFano
 _U64 = np.uint64
 #: Hashes of the end token and of the context of a text's first token.
 END, START = _U64(0x5851F42D4C957F2D), _U64(0x14057B7EF767814F)
-STRENGTHS = (2.0, 8.0, 32.0, 128.0, 512.0, 4096.0)
+STRENGTHS = (32.0, 8.0, 128.0, 2.0, 512.0, 4096.0)
 HOT, SPLIT = 2000, 64
 #: Values are 2^(-(q - 1) / STEP), q of 16 bits: within 0.14 % of what they stand for.
 STEP = 256
@@ -141,7 +143,7 @@ def _answers(block: list, shard: int, pairs: bool, data: list, hashes: np.ndarra
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Of one shard: to each block its words' training counts; as block -2 frequent words and (hash null, as 0 and 1) V and N."""
+    """Of one shard: to each block its words' training counts; as block -2 frequent words, as -3 the end token, as -1 V and N."""
     lists = [unpack(x, _U64) for x in table.column("words").to_pylist()]
     counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     words, at = np.unique(np.concatenate(lists), return_inverse=True)
@@ -150,7 +152,8 @@ def _count_words(table: pa.Table) -> pa.Table:
     answers = [pack(total[a].astype(np.uint64)) for a in np.split(at, ends[:-1])]
     often = np.flatnonzero((total > 0) & (total >= total.sum() // HOT))
     out = _answers(table.column("block").to_pylist(), table.column("shard")[0].as_py(), False, answers, words[often], total[often])
-    sums = pa.table({"block": pa.array([-1], pa.int64()), "shard": out.column("shard").slice(0, 1), "pairs": pa.array([False]), "data": pa.array([None], pa.binary()), "hash": pa.array([int((total > 0).sum())], pa.int64()), "n": pa.array([int(total.sum())], pa.int64())})
+    ends = int(total[words == END].sum())
+    sums = pa.table({"block": pa.array([-1, -3], pa.int64()), "shard": pa.array([out.column("shard")[0].as_py()] * 2, pa.int32()), "pairs": pa.array([False] * 2), "data": pa.array([None] * 2, pa.binary()), "hash": pa.array([int((total > 0).sum()), 0], pa.int64()), "n": pa.array([int(total.sum()), ends], pa.int64())})
     return pa.concat_tables([out, sums])
 
 
@@ -164,40 +167,56 @@ def _words(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate([planes, np.zeros((2, planes.shape[1]), np.uint8)]).T).reshape(-1).view(_U64)
 
 
-def _ask_pairs(shards: int, hot: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                distinct, at = b.pairs()
-                counts = np.bincount(at[b.trains], minlength=len(distinct)).astype(np.uint32)
-                node, word = b.nodes(distinct, hot)
-                order = np.lexsort((word, node))
-                node, word, counts = node[order], word[order], counts[order]
-                cut = _cut(node, 63, shards)
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                out = {"nodes": [], "many": [], "words": [], "counts": []}
-                for s in some:
-                    part = slice(cut[s], cut[s + 1])
-                    nodes, many = np.unique(node[part], return_counts=True)
-                    for k, v in (("nodes", pack(nodes)), ("many", pack(many.astype(np.uint32))), ("words", _planes(word[part])), ("counts", pack(counts[part]))):
-                        out[k].append(v)
-                yield pa.record_batch({"block": pa.array([row["block"]] * len(some), pa.int64()), "shard": pa.array(some, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+def _quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-np.log2(p) * STEP), 0, 65_535).astype(np.uint16)
+
+
+def _probability(q: np.ndarray) -> np.ndarray:
+    return 2.0 ** (q.astype(float) / -STEP)
+
+
+def _own_counts(b: Block, answers: list[dict]) -> np.ndarray:
+    counts = np.empty(len(b.words), np.int64)
+    counts[b.order] = np.concatenate([unpack(r["data"], _U64) for r in sorted(answers, key=lambda r: r["shard"])]).astype(np.int64)
+    return counts
+
+
+def _ask_pairs(shards: int, vocabulary: int, tokens: int, hot: np.ndarray):
+    def run(answers: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = {k: [] for k in ("nodes", "many", "words", "counts", "own")}
+        some, block = [], None
+        if blocks.num_rows:
+            row = blocks.slice(0, 1).to_pylist()[0]
+            b, block = Block(row), row["block"]
+            own = _quantised((_own_counts(b, answers.to_pylist()) + 1.0) / (tokens + vocabulary + 1.0))
+            distinct, at = b.pairs()
+            counts = np.bincount(at[b.trains], minlength=len(distinct)).astype(np.uint32)
+            node, word = b.nodes(distinct, hot)
+            order = np.lexsort((word, node))
+            node, word, counts, own = node[order], word[order], counts[order], own[distinct % (len(b.words) + 1)][order]
+            cut = _cut(node, 63, shards)
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            for s in some:
+                part = slice(cut[s], cut[s + 1])
+                nodes, many = np.unique(node[part], return_counts=True)
+                for k, v in (("nodes", pack(nodes)), ("many", pack(many.astype(np.uint32))), ("words", _planes(word[part])), ("counts", pack(counts[part])), ("own", pack(own[part].view(np.uint8).reshape(-1, 2).T))):
+                    out[k].append(v)
+        return pa.table({"block": pa.array([block] * len(some), pa.int64()), "shard": pa.array(some, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
     return run
 
 
 class Trie:
-    """Contexts, their successors and the successors' quantised values, in one memory-mapped file."""
+    """Contexts with their shares of smoothing, their successors and the successors' quantised probabilities, in one memory-mapped file."""
 
-    def __init__(self, node: np.ndarray, word: np.ndarray, value: np.ndarray, folder: str):
-        """node (63 bits), word (48 bits), value (16 bits): sorted by node and word, each pair once."""
+    def __init__(self, node: np.ndarray, word: np.ndarray, value: np.ndarray, share: np.ndarray, folder: str):
+        """node (63 bits), word (48 bits), value (16 bits): sorted by node and word, each pair once; share (16 bits): of each distinct node."""
         nodes, begin = np.unique(node, return_index=True)
         vocabulary, rank = np.unique(word, return_inverse=True)
         wide = len(vocabulary) + 1
         successors = np.repeat(np.arange(len(nodes)), np.diff(np.append(begin, len(node)))) * np.int64(wide) + rank
         levels = [EliasFano(nodes, 1 << 63), EliasFano(vocabulary, 1 << 48), EliasFano(np.append(begin, len(node)), len(node) + 1), EliasFano(successors, len(nodes) * wide + 1)]
-        arrays = [a for level in levels for a in level.arrays()] + [value]
+        arrays = [a for level in levels for a in level.arrays()] + [share, value]
         path = os.path.join(folder, "trie")
         mapped, at = [], 0
         with open(path, "wb") as file:
@@ -207,20 +226,21 @@ class Trie:
             mapped.append(np.memmap(path, a.dtype, "r", at, a.shape) if a.size else a)
             at += a.nbytes + -a.nbytes % 8
         self.nodes, self.vocabulary, self.pointers, self.successors = (EliasFano.load(mapped[4 * i : 4 * i + 4]) for i in range(4))
-        self.value, self.wide = mapped[-1], wide
+        self.share, self.value, self.wide = mapped[-2], mapped[-1], wide
 
     def _find(self, level: EliasFano, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(level.successor(x), max(0, len(level) - 1))
         return at, level[at] == x
 
-    def values(self, nodes: np.ndarray, many: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Quantised values of pairs, many for each of nodes; 0 for pairs that the trie lacks."""
-        out = np.zeros(len(word), np.uint16)
+    def values(self, nodes: np.ndarray, many: np.ndarray, word: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Quantised probabilities of pairs, many for each of nodes; own: those of the words alone."""
+        out = own.copy()
         if not len(self.value):
             return out
         node, has = self._find(self.nodes, nodes)
         low, high = self.pointers[node].astype(np.int64), self.pointers[node + 1].astype(np.int64)
         node, low, high, has = (np.repeat(v, many) for v in (node, low, high, has))
+        out[has] = np.minimum(own[has].astype(np.int64) + self.share[node[has]], 65_535)
         rank, known = self._find(self.vocabulary, word)
         some = np.flatnonzero(has & known)
         x = (node[some] * self.wide + rank[some]).astype(_U64)
@@ -232,28 +252,40 @@ class Trie:
         return out
 
 
-def _count_pairs(total_of: dict[int, int]):
+def _strengths(node: np.ndarray, count: np.ndarray, own: np.ndarray, total: np.ndarray, strengths: tuple[float, ...]) -> np.ndarray:
+    """Of each node (numbers from 0, with total tokens after it) the strength of most leave-one-out likelihood; of equal ones the first."""
+    best, strength = np.full(len(total), -np.inf), np.full(len(total), strengths[0])
+    for m in strengths:
+        left_out = np.log2((count - 1 + m * own) / (total[node] - 1 + m))
+        likely = np.bincount(node, count * left_out, len(total))
+        better = likely > best + 1e-9 * np.abs(likely)
+        best[better], strength[better] = likely[better], m
+    return strength
+
+
+def _count_pairs(total_of: dict[int, int], strengths: tuple[float, ...]):
     """total_of: training tokens after each hot node's context."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [(unpack(r["nodes"], _U64), unpack(r["many"], np.uint32), _words(r["words"]) >> _U64(16)) for r in rows]
+        asked = [(unpack(r["nodes"], _U64), unpack(r["many"], np.uint32), _words(r["words"]) >> _U64(16), np.ascontiguousarray(unpack(r["own"], np.uint8).reshape(2, -1).T).reshape(-1).view(np.uint16)) for r in rows]
         counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
         seen = counts > 0
-        node = np.concatenate([np.repeat(a, m) for a, m, _ in asked])[seen]
-        word, counts = np.concatenate([w for _, _, w in asked])[seen], counts[seen]
+        node = np.concatenate([np.repeat(a, m) for a, m, _, _ in asked])[seen]
+        word, own, counts = np.concatenate([w for _, _, w, _ in asked])[seen], np.concatenate([o for *_, o in asked])[seen], counts[seen]
         order = np.lexsort((word, node))
-        node, word, counts = node[order], word[order], counts[order]
+        node, word, own, counts = node[order], word[order], own[order], counts[order]
         new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (word[1:] != word[:-1])])) if len(node) else np.zeros(0, np.int64)
         counts = np.add.reduceat(counts, new) if len(new) else counts
-        node, word = node[new], word[new]
+        node, word, own = node[new], word[new], _probability(own[new])
         nodes, at = np.unique(node, return_inverse=True)
         total = np.bincount(at, counts, len(nodes))
-        for k, n in enumerate(nodes.tolist()):
-            total[k] = total_of.get(n, total[k])
-        value = (1 + np.clip(np.round(-np.log2(counts / total[at]) * STEP), 0, 65_534)).astype(np.uint16) if len(node) else np.zeros(0, np.uint16)
+        hot = np.isin(nodes, np.array(list(total_of), _U64))
+        total[hot] = [total_of[n] for n in nodes[hot].tolist()]
+        m = np.where(hot, strengths[0], _strengths(at, counts, own, total, strengths))
+        value, share = _quantised((counts + m[at] * own) / (total[at] + m[at])), _quantised(m / (total + m))
         with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(node, word, value, folder)
+            trie = Trie(node, word, value, share, folder)
             answers = [pack(trie.values(*a)) for a in asked]
             del trie
         return _answers([r["block"] for r in rows], rows[0]["shard"], True, answers)
@@ -261,36 +293,26 @@ def _count_pairs(total_of: dict[int, int]):
     return run
 
 
-def _score(vocabulary: int, tokens: int, starts: int, hot: np.ndarray, strengths: tuple[float, ...]):
+def _score(vocabulary: int, tokens: int, hot: np.ndarray):
     def run(answers: pa.Table, blocks: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "scores": [], "left_out": []}
+        out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
         if blocks.num_rows:
             b = Block(blocks.slice(0, 1).to_pylist()[0])
-            rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-            counts = np.empty(len(b.words), np.int64)
-            counts[b.order] = np.concatenate([unpack(r["data"], _U64) for r in rows if not r["pairs"]]).astype(np.int64)
+            rows = answers.to_pylist()
+            counts = _own_counts(b, [r for r in rows if not r["pairs"]])
             distinct, at = b.pairs()
             node, word = b.nodes(distinct, hot)
             order = np.lexsort((word, node))
             value = np.empty(len(distinct), np.uint16)
-            value[order] = np.concatenate([unpack(r["data"], np.uint16) for r in rows if r["pairs"]])
-            n = len(b.words)
-            alone = (counts + 1.0) / (tokens + vocabulary + 1.0)
-            after = np.append(counts, starts)[distinct // (n + 1)]
-            both = np.where(value > 0, np.minimum(after, np.maximum(1.0, after * 2.0 ** (-(value.astype(float) - 1) / STEP))), 0.0)
-            own = alone[distinct % (n + 1)]
+            value[order] = np.concatenate([unpack(r["data"], np.uint16) for r in sorted(rows, key=lambda r: r["shard"]) if r["pairs"]])
+            own = np.log10((counts + 1.0) / (tokens + vocabulary + 1.0))
             texts = len(b.ids)
             out["doc_id"], out["held_out"] = b.ids, b.held.tolist()
             out["n_tokens"] = np.diff(b.first).tolist()
             out["n_known"] = np.bincount(b.owner, counts[b.tokens] > 0, texts).astype(np.int64).tolist()
-            out["base_score"] = np.bincount(b.owner, np.log10(alone)[b.tokens], texts).tolist()
-            scores, left = [], []
-            for m in strengths:
-                scores.append(np.bincount(b.owner, np.log10((both + m * own) / (after + m))[at], texts))
-                less = np.log10((np.maximum(both - 1, 0) + m * own) / (np.maximum(after - 1, 0) + m))
-                left.append(np.bincount(b.owner, less[at], texts) * ~b.held)
-            out["scores"], out["left_out"] = np.stack(scores, axis=1).tolist(), np.stack(left, axis=1).tolist()
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "scores": pa.array(out["scores"], pa.list_(pa.float64())), "left_out": pa.array(out["left_out"], pa.list_(pa.float64()))})
+            out["base_score"] = np.bincount(b.owner, own[b.tokens], texts).tolist()
+            out["score"] = np.bincount(b.owner, (value * (-np.log10(2) / STEP))[at], texts).tolist()
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
     return run
 
@@ -306,18 +328,17 @@ def score(docs: DataFrame, held: Column, strengths: tuple[float, ...] = STRENGTH
     vocabulary, tokens = words.where("block = -1").agg(F.coalesce(F.sum("hash"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # at most HOT words have 1 / HOT of all tokens each
     often = {r["hash"] & (1 << 64) - 1: r["n"] for r in words.where((F.col("block") == -2) & (F.col("n") * HOT >= tokens)).select("hash", "n").collect()}
-    starts = sum(r["n"] for r in words.where((F.col("block") == -2) & (F.col("hash") == int(END.view(np.int64)))).select("n").collect())
+    starts = words.where("block = -3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     contexts = {h: n for h, n in often.items() if h != int(END)} | {int(START): starts}
     hot = np.array(sorted(contexts), _U64)
     step = np.arange(1, SPLIT + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)
     total_of = {int(x): n for h, n in contexts.items() for x in T.mix(_U64(h) + step) >> _U64(1)}
-    asked = blocks.mapInArrow(_ask_pairs(shards, hot), "block long, shard int, nodes binary, many binary, words binary, counts binary")
-    pairs = stage(asked.groupBy("shard").applyInArrow(_count_pairs(total_of), _ANSWER))
-    answers = words.where("block >= 0").unionByName(pairs).select("block", "shard", "pairs", "data")
-    scored = stage(answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_score(vocabulary, tokens, starts, hot, strengths), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"))
+    counts = words.where("block >= 0").select("block", "shard", "pairs", "data")
+    asked = counts.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_ask_pairs(shards, vocabulary, tokens, hot), "block long, shard int, nodes binary, many binary, words binary, counts binary, own binary")
+    pairs = stage(asked.groupBy("shard").applyInArrow(_count_pairs(total_of, strengths), _ANSWER))
+    answers = counts.unionByName(pairs.select("block", "shard", "pairs", "data"))
+    scored = stage(answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_score(vocabulary, tokens, hot), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     B.forget(blocks)
     drop(words)
     drop(pairs)
-    best = scored.agg(*[F.sum(F.element_at("left_out", i + 1)).alias(str(i)) for i in range(len(strengths))]).first()
-    pick = max(range(len(strengths)), key=lambda i: best[i] if best[i] is not None else 0.0)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", F.element_at("scores", pick + 1).alias("score"), F.lit(strengths[pick]).alias("strength"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -27,25 +27,58 @@ def test_elias_fano(n, universe):
     assert (e.successor(q, low, high) == np.clip(np.searchsorted(v, q), low, high)).all()
 
 
-def test_lm_matches_the_formula(spark):
-    r = np.random.default_rng(1)
-    texts = [" ".join(r.choice(["the", "The", "a", "b", "c", "dd", "é"], r.integers(0, 60))) for _ in range(60)] + [None, "", "zz zz", "the " * 3000]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string").repartition(3)
-    held = quality.in_fold("doc_id", 7, 2)
-    rows = {x.doc_id: x for x in lm.score(df, held, (3.0,)).collect()}
-    w = {i: [*brute.words(t), None] for i, t in enumerate(texts)}
-    train = [i for i in w if zlib.crc32(str(i).encode()) % 7 != 2]
+def plain_lm(texts, strengths):
+    """n_tokens, n_known, train_tokens, base_score and score of each text; every context after the text's start takes its own strength."""
+    w = [[*brute.words(t), None] for t in texts]
+    train = [i for i in range(len(w)) if zlib.crc32(str(i).encode()) % 7 != 2]
     n = Counter(x for i in train for x in w[i])
     pairs = Counter(p for i in train for p in zip(["<s>", *w[i]], w[i], strict=False))
     after = Counter({**n, "<s>": len(train)})
     total = sum(n.values())
-    for i, x in w.items():
-        p = [(n[y] + 1) / (total + len(n) + 1) for y in x]
+    own = {y: (n[y] + 1) / (total + len(n) + 1) for x in w for y in x}
+    follows = {}
+    for (c, y), k in pairs.items():
+        follows.setdefault(c, []).append((y, k))
+
+    def strength(c):
+        if c not in follows or after[c] * lm.HOT >= total or c == "<s>":
+            return strengths[0]
+        likely = [sum(k * math.log((k - 1 + m * own[y]) / (after[c] - 1 + m)) for y, k in follows[c]) for m in strengths]
+        return next(m for m, v in zip(strengths, likely, strict=True) if v >= max(likely) - 1e-9 * abs(v))
+
+    m = {c: strength(c) for x in w for c in ["<s>", *x]}
+    return [
+        (len(x), sum(n[y] > 0 for y in x), total, sum(math.log10(own[y]) for y in x), sum(math.log10((pairs[c, y] + m[c] * own[y]) / (after[c] + m[c])) for c, y in zip(["<s>", *x], x, strict=False)))
+        for x in w
+    ]
+
+
+@pytest.mark.parametrize("strengths", [(3.0,), lm.STRENGTHS])
+def test_lm_matches_the_formula(spark, monkeypatch, strengths):
+    monkeypatch.setattr(lm, "HOT", 20)
+    r = np.random.default_rng(1)
+    texts = [" ".join(r.choice(["the", "The", "a", "b", "c", "dd", "é", *"qrstuvw"], r.integers(0, 60))) for _ in range(60)] + [None, "", "zz zz", "the " * 3000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string").repartition(3)
+    rows = {x.doc_id: x for x in lm.score(df, quality.in_fold("doc_id", 7, 2), strengths).collect()}
+    for i, (tokens, known, total, base, score) in enumerate(plain_lm(texts, strengths)):
         row = rows[i]
-        assert (row.n_tokens, row.n_known, row.train_tokens, row.held_out) == (len(x), sum(n[y] > 0 for y in x), total, i not in train)
-        assert row.base_score == pytest.approx(sum(map(math.log10, p)))
-        want = sum(math.log10((pairs[c, y] + 3 * q) / (after[c] + 3)) for c, y, q in zip(["<s>", *x], x, p, strict=False))
-        assert row.score == pytest.approx(want, abs=0.003 * len(x) + 1e-9)
+        assert (row.n_tokens, row.n_known, row.train_tokens, row.held_out) == (tokens, known, total, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert row.base_score == pytest.approx(base) and row.score == pytest.approx(score, abs=0.003 * tokens + 1e-9)
+
+
+def test_lm_of_long_repeated_and_unnamed_rows_does_not_depend_on_partitions(spark):
+    r = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(r.choice(words, 20_000)) for _ in range(6)] + ["w1 w2", "w1 w2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (7, "w1 w2")], "doc_id long, text string")
+    found = []
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted((x.doc_id is None, x.doc_id, x.n_tokens, round(x.score, 6)) for x in lm.score(df.repartition(int(n)), quality.in_fold("doc_id", 7, 2)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert found[0] == found[1] and len(found[0]) == 10
+    # repeated rows count in training, so the plain model has them too; the null id is of no fold and trains
+    assert len({s for *_, n, s in found[0] if n == 3}) == 1
 
 
 def test_lm_of_nothing(spark):
