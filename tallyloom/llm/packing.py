@@ -3,7 +3,7 @@
 Documents become token ids with an end token. They are dealt into shards by ranges of a min-hash of their token triples, so that texts
 with passages in common tend to share a shard; a large group of equal hashes spreads over several shards by doc_id. A task goes
 through its range in shards of about SHARD tokens. Each shard has an inverted index from token to documents with BM25 weights. A
-seed document's rarest terms are looked up; the best unused documents fill its window one after the other. What
+seed document's terms are all looked up; the best unused documents fill its window one after the other. What
 doesn't fit of the last one is the seed of the next window, so windows are full. Without unused neighbours the next unused document
 fills on. What remains at the end of a range is cut into sequences whose lengths are powers of two, which need no padding.
 
@@ -26,8 +26,8 @@ from .common import map_blocks, partitions, small_batches, stage
 from .tokens import encoder
 
 LENGTH, END = 4096, 2
-#: Tokens of a shard, about; terms of a seed that are looked up.
-SHARD, TERMS = 4_000_000, 12
+#: Tokens of a shard, about.
+SHARD = 4_000_000
 K1, B = 1.2, 0.75
 
 
@@ -75,11 +75,9 @@ class Index:
         self.docs, self.unused = docs, np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a looked-up term with the seed, best first; ties by position."""
+        """Unused documents that share a term with the seed, best first; ties by position."""
         terms = np.unique(self.docs[seed])
         terms = terms[self.df[terms] > 1]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], TERMS)[:TERMS]]
         if not len(terms):
             return terms
         slices = [slice(a, b) for a, b in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
