@@ -1,19 +1,22 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
 Each paragraph (line) is hashed to a wide vector: EQUAL lanes of 64 bits from BLAKE2b of the whole paragraph and LANES
-lanes of 16 bits, into which each of its word pairs (a word with the one before it in the paragraph) puts +1 or
--1 at a hashed lane. A text's fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^16, beside the
+lanes of 16 bits, into which each of its word pairs (a word with the one before it in the paragraph; the k-th
+occurrence of a pair in a paragraph is a pair of its own) puts +1 or -1 at a hashed lane. A text's fingerprint is the sum of its paragraphs' vectors, modulo 2^64 and 2^16, beside the
 numbers of paragraphs and of word pairs modulo 2^32. So it doesn't depend on the paragraphs' order, and paragraphs
 are inserted and deleted by adding and subtracting vectors (insert, delete). Equal texts have equal fingerprints;
-texts with other paragraphs differ in the 512 bits of the EQUAL lanes but for a negligible chance. The squared
-distance of the small lanes estimates by how many word pairs two texts differ (likeness).
+texts with other paragraphs differ in the 512 bits of the EQUAL lanes but for a negligible chance. With x and y for how often
+texts have each pair, the small lanes estimate the likeness 2 * sum(x * y) / (sum(x * x) + sum(y * y)), with an error of about
+1 / sqrt(LANES): the share of pairs in common, if paragraphs don't repeat. Lanes hold up to 32,767 repeats of one paragraph.
 
 Empty lines are no paragraphs. An empty or null text has the zero fingerprint; two of those have likeness 1.
+Rows with equal ids or null ids are rows of their own, in the order of a hash of their text; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +29,6 @@ from .common import BLOCK_BYTES, map_blocks, partitions, small_batches
 
 EQUAL = 8
 LANES = 256
-#: Cells of equal width over the range of ids, from which the parts of with_next are made up.
-CELLS = 4096
 
 
 def vectors(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,6 +47,15 @@ def vectors(many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.concatenate([[0], hashes[:-1]]).astype(np.uint64)
     before[word[:-1][np.diff(word) > 0]] = 0
     pairs = T.mix(hashes + before * np.uint64(0x9FB21C651E98DF25))
+    # the k-th occurrence of a pair in its paragraph counts as another pair
+    paragraph = T.owners(word)
+    order = np.lexsort((pairs, paragraph))
+    same = np.zeros(len(order), bool)
+    same[1:] = (pairs[order[1:]] == pairs[order[:-1]]) & (paragraph[order[1:]] == paragraph[order[:-1]])
+    place = np.arange(len(order))
+    nth = place - np.maximum.accumulate(np.where(same, 0, place))
+    again = order[same]
+    pairs[again] = T.mix(pairs[again] + nth[same].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     of_text = word[first]
     owner = T.owners(of_text)
     lane = (pairs % np.uint64(LANES)).astype(np.int64)
@@ -82,16 +92,15 @@ def delete(fp: str, paragraph: str) -> str:
     return _change(fp, paragraph, -1)
 
 
-def _likeness(small_a, count_a, small_b, count_b) -> np.ndarray:
-    apart = (small_a - small_b).astype(np.int16).astype(np.float64)
-    total = (count_a[:, 1].astype(np.float64) + count_b[:, 1]).clip(1)
-    return np.clip(1 - (apart**2).sum(axis=1) / total, 0, 1)
+def _likeness(small_a: np.ndarray, small_b: np.ndarray) -> np.ndarray:
+    a, b = small_a.astype(np.int16).astype(np.float64), small_b.astype(np.int16).astype(np.float64)
+    norms = (a * a).sum(axis=1) + (b * b).sum(axis=1)
+    return np.clip(np.where((small_a == small_b).all(axis=1), 1.0, 2 * (a * b).sum(axis=1) / norms.clip(1)), 0, 1)
 
 
 def likeness(a: str, b: str) -> float:
     """1 for equal texts, about 0 for texts without common word pairs; about the share of word pairs in common."""
-    (_, s, c), (_, s2, c2) = decode(a), decode(b)
-    return float(_likeness(s[None], c[None], s2[None], c2[None])[0])
+    return float(_likeness(decode(a)[1][None], decode(b)[1][None])[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -108,37 +117,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """Rows (part, copy, doc_id, text), of which a task has whole parts, sorted by descending doc_id within each.
 
-    A part is a range of ids; parts follow each other in descending order, and after its own rows each has, with
-    copy = 1, the first row of the part after it (the last part: that of the first). So every row's next row
-    is at hand and texts move once. Null ids come last; rows of equal ids follow in the order of a hash of their text.
-    Only ids' counts in CELLS ranges and one id for each part reach the driver.
+    A part is a range of ids between quantiles; an id of many rows is cut by the hash of their text. Parts follow each other in descending
+    order, and after its own rows each has, with copy = 1, the first row of the part after it (the last part: that of the first). So every
+    row's next row is at hand and texts move once. Null ids come last; rows of equal ids follow in the order of a hash of their text.
+    Only the parts' bounds and first rows' ids and hashes reach the driver.
     """
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    span = high - low + 1
-    cells = min(CELLS, span)
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)).cast("decimal(38,0)") * cells / F.lit(span).cast("decimal(38,0)")).cast("int"), F.lit(0))
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("tie"), F.least(cell, F.lit(cells - 1)).alias("cell"))
-    found = {r["cell"]: r for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.struct("key", "tie")).alias("head")).collect()}
-    part_of, heads, part, held = [0] * cells, {}, 0, 0
-    most = max(1, n // (4 * partitions(spark)))
-    for c in range(cells):
-        if c in found:
-            if held and held + found[c]["n"] > most:
-                part, held = part + 1, 0
-            held += found[c]["n"]
-            heads[part] = found[c]["head"]
-        part_of[c] = part
-    count = part + 1
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("tie"))
+    many = 4 * partitions(spark)
+    quantiles = rows.agg(F.percentile_approx("key", [k / many for k in range(1, many)], 10_000)).first()[0] or []
+    # a key that k of the quantiles fall on is cut into as many ranges of the hash
+    bounds = [(key, 2**63 - 1 - 2**64 * j // n) for key, n in Counter(quantiles).items() for j in range(n)]
+    limits = F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for k, t in bounds]) if bounds else F.array().cast("array<struct<key: long, tie: long>>")
+    rows = rows.withColumn("part", F.size(F.filter(limits, lambda x: (x["key"] > F.col("key")) | ((x["key"] == F.col("key")) & (x["tie"] > F.col("tie"))))))
+    heads = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).collect()}
     if not heads:
         return rows.select(F.lit(0).alias("part"), F.lit(0).alias("copy"), "doc_id", "text")
-    keys, ties = F.array([F.lit(heads[p]["key"]) for p in range(count)]), F.array([F.lit(heads[p]["tie"]) for p in range(count)])
-    rows = rows.withColumn("part", F.element_at(F.array([F.lit(p) for p in part_of]), F.col("cell") + 1))
-    head = (F.col("key") == F.element_at(keys, F.col("part") + 1)) & (F.col("tie") == F.element_at(ties, F.col("part") + 1))
+    filled = sorted(heads)
+    before = {p: filled[i - 1] for i, p in enumerate(filled)}
+
+    def of_part(values: dict):
+        return F.element_at(F.array(*[F.lit(values.get(p, 0)).cast("long") for p in range(filled[-1] + 1)]), F.col("part") + 1)
+
+    head = (F.col("key") == of_part({p: h["key"] for p, h in heads.items()})) & (F.col("tie") == of_part({p: h["tie"] for p, h in heads.items()}))
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("copy"))
-    before = F.struct(F.when(F.col("part") + 1 < count, F.col("part") + 1).otherwise(F.lit(0)).alias("part"), F.lit(1).alias("copy"))
-    rows = rows.withColumn("at", F.explode(F.when(head, F.array(own, before)).otherwise(F.array(own))))
+    rows = rows.withColumn("at", F.explode(F.when(head, F.array(own, F.struct(of_part(before).cast("int").alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(own))))
     rows = rows.select(F.col("at.part").alias("part"), F.col("at.copy").alias("copy"), "doc_id", "text", "key", "tie")
     rows = rows.repartition(partitions(spark), "part").sortWithinPartitions("part", "copy", F.desc("key"), F.desc("tie"))
     return rows.select("part", "copy", "doc_id", "text")
@@ -163,8 +166,8 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
             "doc_id": pa.array(ids[:n], pa.int64()), "n_chars": pa.array([len(t) for t in many[:n]], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             "fingerprint": pa.array(prints, pa.string()), "edited_fingerprint": pa.array(encode(equal[e], small[e], counts[e]), pa.string()),
-            "near_edited": pa.array(_likeness(small[:n], counts[:n], small[e], counts[e])),
-            "near_next": pa.array(_likeness(small[:n], counts[:n], small[1 : n + 1], counts[1 : n + 1])),
+            "near_edited": pa.array(_likeness(small[:n], small[e])),
+            "near_next": pa.array(_likeness(small[:n], small[1 : n + 1])),
         })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

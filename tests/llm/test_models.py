@@ -1,5 +1,6 @@
 """Quality, language model, licences, URL rules and embeddings."""
 
+import itertools
 import math
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import embeddings, licences, lm, quality, urls
 from tallyloom.llm.eliasfano import EliasFano
@@ -112,7 +114,7 @@ def test_url_rules(spark):
     given = ["http://Example.ORG/es/1", "https://a.example.org/en/1x?q=/de/", "http://org/fr/", "x://b.com/fr", "x://b.com/fr/#a", "x://com/de/9", "none", None, "x://notcom/de/", "x://b.net?a#b", "x://y://z.org/q"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)], "page_id long, url string, host string")
     fixed = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-    none = spark.createDataFrame([], "rule_id long, items array<string>, support double, confidence double")
+    none = spark.createDataFrame([], "rule_id string, items array<string>, support double, confidence double")
     rows = {r.page_id: r for r in urls.judge(df, none, fixed).collect()}
 
     def plain(url):
@@ -141,6 +143,59 @@ def test_mined_rules(spark):
     assert urls.judge(none, urls.mine(none, labels.limit(0)), []).count() == 0
 
 
+def plain_rules(rows, labels, support, confidence, lift, count):
+    """All sets of up to three tokens that are rules by counting, without those implied by one token fewer; tokens in the same pages count once."""
+    known = {}
+    for i, b in labels:
+        known[i] = known.get(i, False) or b
+    pages = [(frozenset(t), known[i]) for i, t in rows if i in known]
+    blocked = sum(b for _, b in pages)
+    least = max(count, support * len(pages))
+    where = {x: tuple(k for k, (t, _) in enumerate(pages) if x in t) for t, _ in pages for x in t}
+    names = sorted({min(y for y in where if where[y] == w) for x, w in where.items()})
+    found = {}
+    for size in (1, 2, 3):
+        for s in itertools.combinations(names, size):
+            hit = [b for t, b in pages if t >= set(s)]
+            if sum(hit) >= least and sum(hit) / len(hit) >= max(confidence, lift * blocked / len(pages)):
+                found[s] = sum(hit) / len(hit)
+    return {s: c for s, c in found.items() if not any(found.get(tuple(x for x in s if x != y), -1) >= c for y in s if len(s) > 1)}
+
+
+def test_mined_rules_match_brute_force(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, f"http://{r.choice(['a', 'b', 'c'])}.{r.choice(['net', 'io'])}/{r.choice(['ads', 'news', 'x'])}/{r.choice(['p', 'q'])}/{i}") for i in range(300)]
+    labels = [(i, bool("ads" in u and "a." in u and r.random() < 0.9 or r.random() < 0.1)) for i, u in rows if i % 2]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("r")).withColumn("items", F.lit("i"))
+    tokens = {x.page_id: x.items for x in pages.select("page_id", urls.tokens(F.col("url")).alias("items")).collect()}
+    rules = urls.mine(pages, spark.createDataFrame(labels, "page_id long, block boolean"), 0.02, 0.5, 1.2)
+    got = {tuple(x["items"]): x.confidence for x in rules.collect()}
+    want = plain_rules([(i, tokens[i]) for i, _ in rows], labels, 0.02, 0.5, 1.2, urls.COUNT)
+    assert {k: v for k, v in got.items() if len(k) <= 3} == pytest.approx(want) and len(want) > 1
+    best = {i: max((c for k, c in got.items() if set(k) <= set(t)), default=None) for i, t in tokens.items()}
+    judged = urls.judge(pages, rules, []).collect()
+    assert {x.page_id: x.rule_confidence for x in judged} == pytest.approx(best)
+    assert all(x.verdict == ("allow" if best[x.page_id] is None else "block") for x in judged)
+
+
+def test_long_urls_and_few_labels(spark):
+    r = np.random.default_rng(13)
+    words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    rows = [(i, "http://long.net/" + "/".join(r.permutation(words)[: 200 - 3 * i])) for i in range(12)] + [(20 + i, f"http://ok.net/{i}") for i in range(8)]
+    pages = spark.createDataFrame(rows + rows[:1], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 20) for i, _ in rows[:5] + rows[12:]], "page_id long, block boolean")
+    judged = urls.judge(pages, urls.mine(pages, labels), []).collect()
+    assert len(judged) == 21 and all(x.verdict == ("block" if x.page_id < 20 else "allow") for x in judged)
+
+
+def test_transactions_keep_each_two_tokens(spark):
+    df = spark.createDataFrame([([f"t{k:02}" for k in range(n)],) for n in (1, 9, 10, 11, 33)], "items array<string>")
+    for n in (1, 9, 10, 11, 33):
+        found = [set(x["items"]) for x in urls.transactions(df.where(F.size("items") == n)).collect()]
+        assert all(len(x) <= 10 for x in found) and (n > 10 or len(found) == 1)
+        assert all(any({f"t{a:02}", f"t{b:02}"} <= x for x in found) for a in range(n) for b in range(a, n))
+
+
 def test_embeddings_match_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.standard_normal((40, 16))
@@ -179,3 +234,28 @@ def test_quality_learns_and_scores_everything(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.learn(docs, labels.limit(0)).score(np.zeros((1, len(quality.NAMES))))[0] == 0.5
+
+
+def test_trees_match_a_plain_walk():
+    r = np.random.default_rng(14)
+    x = r.standard_normal((400, 6))
+    forest = quality.grow(x, ((x[:, 0] > 0.2) ^ (x[:, 3] > 0)).astype(float))
+    scores = forest.score(x)
+    for row, score in zip(x, scores, strict=True):
+        margin = forest.base
+        for t in range(len(forest.feature)):
+            node = 0
+            while node < len(forest.feature[t]):
+                node = 2 * node + (2 if row[forest.feature[t][node]] > forest.threshold[t][node] else 1)
+            margin += forest.leaf[t][node - len(forest.feature[t])]
+        assert score == pytest.approx(1 / (1 + math.exp(-margin)))
+    assert ((scores > 0.5) == ((x[:, 0] > 0.2) ^ (x[:, 3] > 0))).mean() > 0.95
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    rows = [(1, "a b c"), (1, "x " * 200_000), (1, "a b c"), (2, "BUY!!! " * 50), (None, "a b c"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit("z")).withColumn("x", F.lit(1))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 7)], "doc_id long, quality int")
+    scored = quality.score(docs, quality.learn(docs, labels)).collect()
+    assert len(scored) == 6 and len({round(x.score, 12) for x in scored}) >= 1
+    assert quality.learn(docs, labels, 1).score(np.zeros((1, len(quality.NAMES)))).shape == (1,)

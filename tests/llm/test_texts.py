@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +216,26 @@ def test_neighbours_come_next():
     assert order == [0, 2, 1, 3]
 
 
+def test_neighbours_are_those_of_plain_bm25():
+    r = np.random.default_rng(15)
+    docs = [r.choice(400, r.integers(5, 120), p=(w := 1 / np.arange(1, 401)) / w.sum()) for _ in range(80)]
+    index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    for seed in range(0, 80, 7):
+        index.unused[:] = True
+        index.unused[[seed, 3, 4]] = False
+        score = {}
+        for i, d in enumerate(docs):
+            times = Counter(d.tolist())
+            s = sum(np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * times[t] * (packing.K1 + 1) / (times[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[seed].tolist()) if times[t])
+            if s and i not in (seed, 3, 4):
+                score[i] = s
+        found = index.neighbours(seed).tolist()
+        assert sorted(found) == sorted(score)
+        ranked = [score[i] for i in found]
+        assert all(a >= b - 1e-4 * a for a, b in zip(ranked, ranked[1:], strict=False))
+
+
 def test_fingerprints_are_sums_over_paragraphs(docs, texts):
     fp = fingerprints.fingerprint
     assert fp("a b\nc d\na b") == fp("c d\na b\na b") != fp("c d\na b")
@@ -233,6 +254,43 @@ def test_fingerprints_are_sums_over_paragraphs(docs, texts):
         assert r.near_next == pytest.approx(fingerprints.likeness(fp(own), fp(after))) and 0 <= r.near_edited <= 1
 
 
+def plain_likeness(a, b):
+    def counted(text):
+        out = Counter()
+        for line in (text or "").split("\n"):
+            seen = Counter()
+            w = brute.words(line)
+            for pair in zip([None, *w], w, strict=False):
+                out[pair, seen[pair]] += 1
+                seen[pair] += 1
+        return out
+
+    x, y = counted(a), counted(b)
+    return 2 * sum(n * y[k] for k, n in x.items()) / max(1, sum(n * n for n in x.values()) + sum(n * n for n in y.values()))
+
+
+def test_likeness_is_near_the_plain_one():
+    fp, some = fingerprints.fingerprint, prose(300)
+    line = prose(12)
+    cases = [("buy now " * 1000, "buy now " * 900), ("BUY!!! NOW!!! " * 40, "BUY!!! NOW!!! " * 30), (some, edited(some, 10)), (some, some[:900]), (some, prose(300)), (f"{line}\n" * 50, f"{line}\n" * 40 + prose(40)), (some, some), ("a", "b"), ("", some)]
+    for a, b in cases:
+        assert fingerprints.likeness(fp(a), fp(b)) == pytest.approx(plain_likeness(a, b), abs=0.2), (a[:30], b[:30])
+
+
+def test_order_of_outlying_equal_and_null_ids(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(1 << 60, "far")] + [(150, f"u{k}") for k in range(200)] + [(None, f"n{k}") for k in range(200)] + [(7, "t7")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("part", F.lit("x"))
+    ordered = [(r.part, r.copy, r.doc_id, r.text) for r in fingerprints.in_order(df.select("doc_id", "text")).collect()]
+    sizes = Counter(p for p, copy, *_ in ordered if not copy)
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 180
+    out = {(r.doc_id, r.fingerprint): r for r in fingerprints.compared_with_edits(df).collect()}
+    follows = sorted((i for i, _ in rows if i is not None), reverse=True)
+    assert len(follows) + 200 == len(rows)
+    after = {r.edited_sha256 for k, r in out.items() if k[0] == 1 << 60}
+    assert after == {hashlib.sha256(b"fat").hexdigest()}
+    assert {r.edited_sha256 for k, r in out.items() if k[0] == 0} <= {hashlib.sha256(b"tn").hexdigest()}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(none).count() == 0
