@@ -328,8 +328,8 @@ def _distinct(*columns: np.ndarray) -> list[list[int]]:
 
 
 def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
-    """Of one block: its documents' passages that an earlier document has, and those earlier ones'."""
-    out = []
+    """Of one block: its documents' passages that an earlier document has, and those earlier ones', overlapping ones joined."""
+    found: dict[tuple, set] = defaultdict(set)
     if blocks.num_rows:
         block = blocks.slice(0, 1).to_pylist()[0]
         rows, (ids, data, offsets) = block["rows"], B.texts_of(block)
@@ -369,14 +369,14 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
                 numbers, names, rfirst, rwords, rbase = sides[n]
                 b, row, name, base = rwords[rfirst[other] : rfirst[other + 1]], numbers[other], names[other], int(rbase[other])
             for s, e, s2, e2 in alike(a, b, list(places)):
-                out.append((rows[d], ids[d], s, e, True))
-                out.append((row, name, base + s2, base + e2, False))
-    out = sorted(set(out), key=lambda r: (r[0], *r[2:]))
+                found[rows[d], ids[d], True].add((s, e))
+                found[row, name, False].add((base + s2, base + e2))
+    out = [(row, name, s, e, copy) for (row, name, copy), spans in sorted(found.items(), key=lambda x: (x[0][0], x[0][2])) for s, e in _joined(spans)]
     cols = list(zip(*out, strict=True)) or [[]] * 5
     return pa.table({"row": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "start": pa.array(cols[2], pa.int32()), "end": pa.array(cols[3], pa.int32()), "copy": pa.array(cols[4], pa.bool_())})
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
