@@ -101,7 +101,7 @@ def _run_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def windows(x: Words) -> tuple[np.ndarray, ...]:
-    """Compact windows of a block and its runs of WORDS words: key, place of the anchor (index of a word), first start and last end (shingles)."""
+    """Compact windows of a block and its runs of WORDS words: key, place of the anchor (index of a word), first start and last end (shingles). By key, then by place."""
     n = len(x.shingles)
     keys, places, lefts, rights = [], [], [], []
     if n >= _T:
@@ -137,15 +137,15 @@ def windows(x: Words) -> tuple[np.ndarray, ...]:
         side.append(refined)
         where.append(inside)
     at = np.concatenate(where)
-    return np.concatenate([*(z >> _U64(16) for z in side), run]), *(np.concatenate(z) for z in ((place[at], fits), (left[at], fits), (right[at], fits + _T)))
+    key, place, left, right = np.concatenate([*(z >> _U64(16) for z in side), run]), *(np.concatenate(z) for z in ((place[at], fits), (left[at], fits), (right[at], fits + _T)))
+    order = np.argsort(place, kind="stable")
+    order = order[np.argsort(key[order], kind="stable")]
+    return key[order], place[order], left[order], right[order]
 
 
-def _first_places(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and for each the index of its first place."""
-    order = np.lexsort((place, key))
-    k = key[order]
-    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[new], order[new]
+def _first_of(key: np.ndarray) -> np.ndarray:
+    """The index of each key's first place, of keys in order."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
 def _questions(blocks: DataFrame, shards: int) -> DataFrame:
@@ -156,7 +156,7 @@ def _questions(blocks: DataFrame, shards: int) -> DataFrame:
             for row in batch.to_pylist():
                 _, data, offsets = B.texts_of(row)
                 key, place, _, _ = windows(Words(data, offsets))
-                key = np.unique(key)
+                key = key[_first_of(key)]
                 cut = np.searchsorted(key, (np.arange(shards + 1, dtype=np.float64) / shards * 2.0**48).astype(_U64))
                 cut[-1] = len(key)
                 some = np.flatnonzero(np.diff(cut)).tolist()
@@ -210,7 +210,8 @@ def _reply(requests: pa.Table, blocks: pa.Table) -> pa.Table:
         rows, (ids, data, offsets) = block["rows"], B.texts_of(block)
         x = Words(data, offsets)
         key, place, left, right = windows(x)
-        known, first = _first_places(key, place)
+        first = _first_of(key)
+        known = key[first]
         asked = defaultdict(list)
         for below, raw in zip(requests.column("below").to_pylist(), requests.column("keys").to_pylist(), strict=True):
             asked[below].append(_keys(raw))
@@ -335,15 +336,13 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
         rows, (ids, data, offsets) = block["rows"], B.texts_of(block)
         x = Words(data, offsets)
         key, place, left, right = windows(x)
-        order = np.argsort(key, kind="stable")
-        key, place, left, right = key[order], place[order], left[order], right[order]
         doc = np.searchsorted(x.first, place, "right") - 1
         words = x.words.astype(np.uint32)
         pairs: dict[tuple, set] = defaultdict(set)
         sides: dict[tuple, tuple] = {}
-        known, first = _first_places(key, place)
         # copies within the block: each document with the key's first one here
-        head = first[np.searchsorted(known, key)]
+        first = _first_of(key)
+        head = np.repeat(first, np.diff(np.append(first, len(key))))
         i = np.flatnonzero(doc != doc[head])
         h = head[i]
         common = np.minimum(place[i] - left[i], place[h] - left[h]) + np.minimum(right[i] - place[i], right[h] - place[h])
@@ -354,9 +353,11 @@ def _verify(replies: pa.Table, blocks: pa.Table) -> pa.Table:
             keys, rdoc, rplace, rleft, rright = B.unpack(r["keys"], _U64), *(B.unpack(r[k], np.int32) for k in ("doc", "place", "left", "right"))
             rfirst, rwords = B.unpack(r["first"], np.int64), B.unpack(r["words"], np.uint32)
             sides[n] = (r["rows"], r["ids"], rfirst, rwords, B.unpack(r["base"], np.int64))
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
-            at = at[hit]
+            # the block's windows with each of the reply's keys: the work follows the reply's size
+            low, many = np.searchsorted(key, keys), np.searchsorted(key, keys, "right")
+            many -= low
+            at = np.repeat(np.arange(len(keys)), many)
+            hit = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + low[at]
             common = np.minimum(place[hit] - left[hit], rplace[at] - rleft[at]) + np.minimum(right[hit] - place[hit], rright[at] - rplace[at])
             hit, at = hit[common >= _T], at[common >= _T]
             for d, other, shift in _distinct(doc[hit], rdoc[at], place[hit] - x.first[doc[hit]] - rplace[at]):
