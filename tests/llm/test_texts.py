@@ -157,7 +157,7 @@ def test_copies_go_and_the_first_stays(docs, texts):
     shared = brute.words(texts[80])[40:110]
     assert sum(any(w[k : k + 70] == shared for k in range(len(w) - 69)) for w in many) == 1
     assert {0, 1, 2, 3, 4, 5, 10, 80, 85} <= set(left) and left[10] == texts[10]
-    assert len(set(left) & {20, 40, 100, 119}) == 1
+    assert len(set(left) & {20, 40, 60, *range(100, 120)}) == 1  # that which Spark reads first
 
 
 def test_near_equal_passages():
