@@ -28,6 +28,8 @@ from .tokens import encoder
 LENGTH, END = 4096, 2
 #: Tokens of a shard, about.
 SHARD = 4_000_000
+#: Neighbours that are sorted first.
+BEST = 64
 K1, B = 1.2, 0.75
 
 
@@ -74,17 +76,19 @@ class Index:
         self.weight = self.idf[term] * times * np.float32(K1 + 1) / (times + norm[self.doc])
         self.docs, self.unused = docs, np.ones(len(docs), bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first; ties by position."""
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; ties by position. They are sorted by the BEST best at first, then all."""
         terms = np.unique(self.docs[seed])
         terms = terms[self.df[terms] > 1]
         if not len(terms):
-            return terms
-        slices = [slice(a, b) for a, b in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
+            return
+        slices = [slice(x, y) for x, y in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
         score = np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs))
         score[~self.unused] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        last = np.partition(score[found], len(found) - BEST)[len(found) - BEST] if len(found) > 4 * BEST else 0
+        for some in (found[score[found] >= last], found[score[found] < last]):
+            yield from some[np.argsort(-score[some], kind="stable")].tolist()
 
 
 def in_order(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
@@ -104,7 +108,7 @@ def in_order(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
             room -= len(docs[seed])
         if room <= 0:  # cut: the rest of this document opens the next window
             room = length - (-room) % length
-        for near in index.neighbours(seed).tolist():
+        for near in index.neighbours(seed):
             index.unused[near] = False
             yield near
             room -= len(docs[near])

@@ -216,9 +216,10 @@ def test_neighbours_come_next():
     assert order == [0, 2, 1, 3]
 
 
-def test_neighbours_are_those_of_plain_bm25():
+def test_neighbours_are_those_of_plain_bm25(monkeypatch):
     r = np.random.default_rng(15)
     docs = [r.choice(400, r.integers(5, 120), p=(w := 1 / np.arange(1, 401)) / w.sum()) for _ in range(80)]
+    monkeypatch.setattr(packing, "BEST", 5)
     index, mean = packing.Index(docs), np.mean([len(d) for d in docs])
     df = Counter(t for d in docs for t in set(d.tolist()))
     for seed in range(0, 80, 7):
@@ -230,7 +231,7 @@ def test_neighbours_are_those_of_plain_bm25():
             s = sum(np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * times[t] * (packing.K1 + 1) / (times[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[seed].tolist()) if times[t])
             if s and i not in (seed, 3, 4):
                 score[i] = s
-        found = index.neighbours(seed).tolist()
+        found = list(index.neighbours(seed))
         assert sorted(found) == sorted(score)
         ranked = [score[i] for i in found]
         assert all(a >= b - 1e-4 * a for a, b in zip(ranked, ranked[1:], strict=False))
