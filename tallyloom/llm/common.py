@@ -38,7 +38,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -49,10 +49,14 @@ def drop(df: DataFrame) -> None:
     path = getattr(df, "_staged_path", None)
     for entry in [x for x in _staged if x[1] == path]:
         _staged.remove(entry)
-        _delete(*entry)
+        delete(*entry)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    _staged.append((spark, path))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -61,7 +65,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _delete_all() -> None:
     for spark, path in _staged:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may be gone; its folder then goes with it
             return
 

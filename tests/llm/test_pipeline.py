@@ -43,3 +43,15 @@ def test_run_and_registration(spark, folder):
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_empty_tables_and_clashing_columns(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), folder)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+    odd = docs.where("doc_id in (0, 1, 100, 101, 120, 121, 130, 131)").selectExpr("*", "'r' as row", "1 as id", "'k' as digest", "2 as many", "'f' as first", "3 as node")
+    odd = odd.unionByName(odd.where("doc_id = 0")).unionByName(odd.where("doc_id = 1").selectExpr("* except (doc_id)", "cast(null as long) as doc_id"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, odd, folder)
+        assert out.count() > 0 and (name == "packing" or out.columns == odd.columns)
