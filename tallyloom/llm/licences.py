@@ -38,8 +38,8 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "No part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher."],
 }
 CLASSES = [*sorted(TEMPLATES), "unknown"]
-#: Documents and, of each, lines (of at most so many characters) that the class unknown is learned from.
-SAMPLE, LINES, CHARS = 400, 12, 2000
+#: Documents, and lines of them, that the class unknown is learned from at most.
+SAMPLE, LINES = 400, 6000
 #: Share of unknown lines that may be taken for licences; share of a notice's word pairs that templates must have.
 FALSE, COVER = 0.001, 0.6
 EXAMPLES, ROUNDS, L1 = 120, 300, 2e-4
@@ -179,11 +179,13 @@ def fit(lines: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits the classifier with lines of at most sample documents, those with the smallest hashes of doc_id, as unknown ones."""
-    ids = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    """Fits the classifier with whole lines of at most sample documents, picked by a hash of doc_id, as unknown ones: all their lines, or LINES of them by hash."""
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id")
+    share = min(1.0, sample / max(1, ids.count()))
+    ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).distinct().limit(sample)
     # at most sample ids; a repeated id may have more rows than one
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(sample).select(F.slice(F.split(F.col("text").cast("string"), "\n"), 1, LINES).alias("lines"))
-    rows = picked.select(F.explode("lines").alias("line")).select(F.substring("line", 1, CHARS).alias("line")).collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(sample).select(F.split(F.col("text").cast("string"), "\n").alias("lines"))
+    rows = picked.select(F.explode("lines").alias("line")).where("trim(line) <> ''").orderBy(F.xxhash64("line")).limit(LINES).collect()
     return fit(sorted(r["line"] for r in rows))
 
 
