@@ -45,7 +45,7 @@ def exam_csv(spark: SparkSession, path: str) -> DataFrame:
     header = raw.where(F.regexp_replace("line", r'[\s"]', "") == ",".join(EXAM_HEADER)).select("path").distinct().withColumn("fine", F.lit(True))
     parsed = F.from_csv("line", "n string, question_text string, correct_answer string, points string")
     rows = raw.where(F.trim("line") != "").withColumn("r", parsed).where("not (r.n = 'question_no')").join(header, "path", "left")
-    number, points = F.col("r.n").try_cast("int"), F.replace("r.points", F.lit(",")).try_cast("double")
+    number, points = F.col("r.n").try_cast("int"), F.trim("r.points").try_cast("double")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     error = F.when(F.col("fine").isNull(), "header").when(number.isNull(), "question_no").when(blank("r.question_text"), "question_text").when(blank("r.correct_answer"), "correct_answer").when(points.isNull() | (points <= 0), "points")
     return rows.select("path", number.alias("number"), F.trim("r.question_text").alias("text"), F.trim("r.correct_answer").alias("answer_key"), points.alias("max_score"), error.alias("error"))

@@ -227,10 +227,10 @@ def test_tables_of_files(spark, tmp_path):
 
 
 def test_exam_csv(spark, tmp_path):
-    (tmp_path / "good.csv").write_text("﻿question_no,question_text,correct_answer,points\n1, Ne? ,B,10\nx,Ne?,A,10\n3,,A,10\n", encoding="utf-8")
+    (tmp_path / "good.csv").write_text("﻿question_no,question_text,correct_answer,points\n1, Ne? ,B,10\nx,Ne?,A,10\n3,,A,10\n4,Ne?,A,\"12,5\"\n", encoding="utf-8")
     (tmp_path / "bad.csv").write_text("no,text\n1,a\n")
     rows = readers.exam_csv(spark, str(tmp_path)).collect()
-    assert sorted((r.number or 0, r.error or "") for r in rows if r.path.endswith("good.csv")) == [(0, "question_no"), (1, ""), (3, "question_text")]
+    assert sorted((r.number or 0, r.error or "") for r in rows if r.path.endswith("good.csv")) == [(0, "question_no"), (1, ""), (3, "question_text"), (4, "points")]
     assert all(r.error == "header" for r in rows if r.path.endswith("bad.csv"))
 
 
