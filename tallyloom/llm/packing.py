@@ -30,6 +30,8 @@ LENGTH, END = 4096, 2
 SHARD = 4_000_000
 #: Neighbours that are sorted first.
 BEST = 64
+#: Share of a shard's documents beyond which a term's weights are kept as a row.
+COMMON = 0.25
 K1, B = 1.2, 0.75
 
 
@@ -74,6 +76,13 @@ class Index:
         self.idf = np.log1p((len(docs) - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * sizes / sizes.mean())).astype(np.float32)
         self.weight = self.idf[term] * times * np.float32(K1 + 1) / (times + norm[self.doc])
+        # a term that COMMON of the documents have is a row of weights, so at most 4 / COMMON bytes a posting
+        often = np.flatnonzero(self.df > COMMON * len(docs))
+        self.row = np.full(n, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(docs)), np.float32)
+        at = self.row[term]
+        self.rows[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
         self.docs, self.unused = docs, np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:
@@ -82,8 +91,12 @@ class Index:
         terms = terms[self.df[terms] > 1]
         if not len(terms):
             return
-        slices = [slice(x, y) for x, y in zip(self.begin[terms].tolist(), self.begin[terms + 1].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs))
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        rare = terms[row < 0]
+        slices = [slice(x, y) for x, y in zip(self.begin[rare].tolist(), self.begin[rare + 1].tolist(), strict=True)]
+        if slices:
+            score += np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs))
         score[~self.unused] = 0
         found = np.flatnonzero(score)
         last = np.partition(score[found], len(found) - BEST)[len(found) - BEST] if len(found) > 4 * BEST else 0

@@ -20,6 +20,8 @@ CACHE = 700_000
 
 # fixed values of the vocabulary file: the pattern that it splits by
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# marks of ASCII: a run of them behind letters is one piece
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # letters of Latin-1 and Latin Extended-A without the dotted capital I, whose lower case is two code points
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-įı-ſ]+")
 
@@ -57,11 +59,11 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> int:
         if word:
-            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
-                self._piece(word.lower())
-            elif word[:-1].isalpha() and word[-1] in ".,;:!?" and (word.isascii() or _PLAIN.fullmatch(word)):
-                self._piece(word[:-1].lower())
-                self._piece(word[-1])
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)) and "<|" not in word:
+                self._piece(stem.lower())
+                if len(stem) < len(word):
+                    self._piece(word[len(stem) :])
             elif _PLAIN.fullmatch(word) and "<|" not in word:
                 for piece in _PIECES.findall(word.lower()):
                     self._piece(piece)
