@@ -31,7 +31,7 @@ SHARD = 4_000_000
 #: Neighbours that are sorted first.
 BEST = 64
 #: Share of a shard's documents beyond which a term's weights are kept as a row.
-COMMON = 0.25
+COMMON = 0.125
 K1, B = 1.2, 0.75
 
 
@@ -92,11 +92,13 @@ class Index:
         if not len(terms):
             return
         row = self.row[terms]
-        score = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        score = np.zeros(len(self.docs), np.float32)
+        for r in row[row >= 0].tolist():
+            score += self.rows[r]
         rare = terms[row < 0]
         slices = [slice(x, y) for x, y in zip(self.begin[rare].tolist(), self.begin[rare + 1].tolist(), strict=True)]
         if slices:
-            score += np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs))
+            score += np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs)).astype(np.float32)
         score[~self.unused] = 0
         found = np.flatnonzero(score)
         last = np.partition(score[found], len(found) - BEST)[len(found) - BEST] if len(found) > 4 * BEST else 0

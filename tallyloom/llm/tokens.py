@@ -56,39 +56,46 @@ class Encoder(dict):
         self.clear()
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.first = array("i"), array("q", [0])
+        self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        if word:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def _learn(self) -> None:
+        """The ids of the words that have a number only."""
+        pieces, tokenize, flat, first = self.pieces, self.model.tokenize, self.flat, self.first
+        for word in self.fresh:
             stem = word.rstrip(_MARKS)
             if stem.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)) and "<|" not in word:
-                self._piece(stem.lower())
-                if len(stem) < len(word):
-                    self._piece(word[len(stem) :])
+                parts = (stem.lower(),) if len(stem) == len(word) else (stem.lower(), word[len(stem) :])
+            elif not word:
+                parts = ()
             elif _PLAIN.fullmatch(word) and "<|" not in word:
-                for piece in _PIECES.findall(word.lower()):
-                    self._piece(piece)
+                parts = _PIECES.findall(word.lower())
             else:
-                self.flat.extend(self.whole.encode(word, add_special_tokens=False).ids)
-        self.first.append(len(self.flat))
-        self[word] = number = len(self.first) - 2
-        return number
-
-    def _piece(self, piece: str) -> None:
-        if (ids := self.pieces.get(piece)) is None:
-            raw = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = [t.id for t in self.model.tokenize(raw)]
-            if len(piece) < 8:  # longer ones rarely come again in another word
-                self.pieces[piece] = ids
-        self.flat.extend(ids)
+                parts = ()
+                flat.extend(self.whole.encode(word, add_special_tokens=False).ids)
+            for piece in parts:
+                if (ids := pieces.get(piece)) is None:
+                    raw = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+                    ids = [t.id for t in tokenize(raw)]
+                    if len(piece) < 8:  # longer ones rarely come again in another word
+                        pieces[piece] = ids
+                flat.extend(ids)
+            first.append(len(flat))
+        self.fresh.clear()
 
     def encode_many(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, each followed by end if it is given, and the index of each text's first id (n + 1 values)."""
         if len(self) > CACHE:
             self.reset()
         numbers = [array("i", map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        self._learn()
         words = np.concatenate([np.frombuffer(x, np.int32) for x in numbers]) if numbers else np.zeros(0, np.int32)
         of_text = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)
-        out, to = gather(np.array(self.flat, np.int32), np.array(self.first, np.int64), words)
+        out, to = gather(np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.first, np.int64), words)
         first = to[of_text]
         if end is None:
             return out, first
