@@ -69,16 +69,17 @@ def catalog(outcomes: DataFrame, component: str) -> DataFrame:
 def keyword_links(questions: DataFrame, outcomes: DataFrame, fallback: str) -> DataFrame:
     """question_id, outcome_id: outcomes with a keyword in the question's text, else the fallback.
 
-    questions(question_id, text), outcomes(outcome_id, keywords). Keywords of one word meet the text's words by an equi-join on their first
-    three letters, so the pairs of questions and outcomes are never all made; a keyword under three letters is met by any word with it.
+    questions(question_id, text), outcomes(outcome_id, keywords). Keywords meet the text's runs of up to three characters by an equi-join on
+    their first three (a shorter one as a whole), so the pairs of questions and outcomes are never all made.
     """
     words = questions.select("question_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     keys = outcomes.select("outcome_id", F.explode("keywords").alias("k")).select("outcome_id", F.lower("k").alias("k")).where("k <> ''").distinct()
-    size = 3
-    places = F.when(F.length("t") >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring(F.col("t"), i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
-    grams = words.select("question_id", "t", F.explode(places).alias("g"))
-    long = grams.join(keys.where(F.length("k") >= size).withColumn("g", F.substring("k", 1, size)), "g").where(F.contains(F.col("t"), F.col("k")))
-    short = words.join(F.broadcast(keys.where(F.length("k") < size)), F.contains(F.col("t"), F.col("k")))  # at most all texts of two letters
-    found = long.select("question_id", "outcome_id").unionByName(short.select("question_id", "outcome_id")).distinct()
+
+    def runs(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring(F.col("t"), i, F.lit(size)))
+        return F.when(F.length("t") >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select("question_id", "t", F.explode(F.concat(*[runs(n) for n in (1, 2, 3)])).alias("g"))
+    found = grams.join(keys.withColumn("g", F.substring("k", 1, 3)), "g").where(F.contains(F.col("t"), F.col("k"))).select("question_id", "outcome_id").distinct()
     rest = questions.select("question_id").join(found, "question_id", "left_anti").distinct().withColumn("outcome_id", F.lit(fallback))
     return found.unionByName(rest)

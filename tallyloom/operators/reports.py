@@ -21,7 +21,8 @@ def merged_sources(hits: DataFrame, keys: list[str]) -> DataFrame:
     """For each document of keys its sorted pages and the first place it is at, from hits(keys, document, pages, place)."""
     named = hits.where(text.blank_to_null(F.col("document")).isNotNull())
     good = named.withColumn("pages", F.filter(F.coalesce("pages", F.array().cast("array<int>")), lambda p: p > 0))
-    return good.groupBy(*keys, F.trim("document").alias("document")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min("place").alias("place"))
+    each = good.select(*keys, F.trim("document").alias("document"), "place", F.explode_outer("pages").alias("page"))
+    return each.groupBy(*keys, "document").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.min("place").alias("place"))
 
 
 def citation_labels(sources: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,6 +17,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def unit(v: Column) -> Column:
+    """The vector at length 1, so a cosine is one product; null values for one of length 0."""
+    size = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), size))
+
+
 def search(queries: DataFrame, chunks: DataFrame, on: list[str], k: int = TOP_K, floor: float | None = FLOOR) -> DataFrame:
     """The k best chunks of each query among those with equal values in the columns on: query_id, chunk_id, score, rank.
 
@@ -24,8 +30,9 @@ def search(queries: DataFrame, chunks: DataFrame, on: list[str], k: int = TOP_K,
     score are dropped, unless the best is not positive. Queries are few and chunks many: each query's chunks are ranked where they are read, in
     parts, before the parts' best are ranked together.
     """
-    pairs = chunks.withColumnRenamed("vector", "cv").join(queries.withColumnRenamed("vector", "qv"), on) if on else chunks.withColumnRenamed("vector", "cv").crossJoin(queries.withColumnRenamed("vector", "qv"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("cv")), 6).alias("score")).where("score is not null")
+    c, q = chunks.withColumn("cv", unit(F.col("vector"))).drop("vector"), queries.withColumn("qv", unit(F.col("vector"))).drop("vector")
+    pairs = c.join(q, on) if on else c.crossJoin(q)
+    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score")).where("score is not null")
     order = [F.desc("score"), F.asc("chunk_id")]
     part = scored.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
     first = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k).drop("rank", "part")

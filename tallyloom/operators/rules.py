@@ -69,7 +69,7 @@ def quality(students: DataFrame) -> DataFrame:
     """
     empty = F.sum(F.size(F.filter("scores", lambda x: x.isNull())))
     off = F.count_if(F.abs(F.col("total") - F.col("calculated_total")) > TOLERANCE)
-    out = students.groupBy("document").agg(F.count("*").alias("row_count"), empty.alias("empty_cells"), off.alias("mismatches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    out = students.groupBy("document").agg(F.count("*").alias("row_count"), empty.alias("empty_cells"), off.alias("mismatches"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("findings")))).alias("findings"))  # sets of kinds are few
     return out.withColumn("state", verdict(F.col("row_count") == 0, (F.col("empty_cells") > 0) | (F.col("mismatches") > 0) | (F.size("findings") > 0)))
 
 

@@ -39,7 +39,7 @@ def in_scope(answer: Column, rate: Column, codes: Column, component: Column, des
     other = F.lit(False)
     for name, words in OTHER_SKILLS.items():
         listed = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(folded, w) & ~F.contains(F.lower(F.coalesce(description, F.lit(""))), w))
-        other = other | ((component == name) & listed)
+        other = other | ((F.lower(component) == name) & listed)
     return short & ~has(UNPROVEN + ACTION) & (F.size(foreign) == 0) & ~F.coalesce(other, F.lit(False))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import bands
-from tallyloom.operators import corrections, measure, reports, rules
+from tallyloom.operators import corrections, measure, programs, reports, rules
 from tallyloom.plans.registry import Registry, table
 
 query = Registry()
@@ -61,9 +61,9 @@ def outcome_success_weighted(spark: SparkSession, d: str) -> DataFrame:
     return measure.outcome_totals(_rates(spark, d), links).select("outcome", "earned", "possible", "rate", "questions", "level")
 
 
-@query(f"with q as ({_QUESTIONS}), links as (select distinct l_linenumber as question, p_brand as outcome from lineitem join part on l_partkey = p_partkey where p_size <= 2) select outcome, string_agg(cast(question as varchar) || ':' || cast(cast(earned as bigint) as varchar) || '/' || cast(cast(possible as bigint) as varchar), ';' order by question) as evidence, count(*) as questions from q join links using (question) group by outcome")
+@query(f"with q as ({_QUESTIONS}), links as (select distinct l_linenumber as question, p_brand as outcome from lineitem join part on l_partkey = p_partkey) select outcome, string_agg(cast(question as varchar) || ':' || cast(cast(earned as bigint) as varchar) || '/' || cast(cast(possible as bigint) as varchar), ';' order by question) as evidence, count(*) as questions from q join links using (question) group by outcome")
 def outcome_evidence(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").where("p_size <= 2").select("p_partkey", F.col("p_brand").alias("outcome"))
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("outcome"))
     links = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.lit("all").alias("exam"), F.col("l_linenumber").alias("question"), "outcome", F.lit(1.0).alias("weight")).distinct()
     found = measure.evidence(_rates(spark, d).drop("rate"), links)
     item = lambda q: F.concat(q["question"].cast("string"), F.lit(":"), q["earned"].cast("long").cast("string"), F.lit("/"), q["possible"].cast("long").cast("string"))
@@ -155,17 +155,21 @@ def corrections_merge(spark: SparkSession, d: str) -> DataFrame:
     return corrections.merged(maps).select("question", "cells")
 
 
-@query("select student, sum(score) as total from (select o_custkey as student, case when lower(trim(o_orderstatus)) = case when l_linestatus = 'F' then 'f' else 'o' end then 10.0::double else 0.0::double end as score from lineitem join orders on l_orderkey = o_orderkey) group by student")
+@query("with k as (select l_orderkey as exam, l_linenumber as question, min(l_linestatus) as answer_key, max(l_quantity) as most from lineitem group by all) select exam, o_custkey as student, sum(case when most > 10 and lower(o_orderstatus) = lower(answer_key) then 10.0::double else 0.0::double end) as total from k join (select distinct o_orderkey, o_custkey, o_orderstatus from orders) on exam = o_orderkey group by exam, o_custkey")
 def answer_key_scoring(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("question", F.monotonically_increasing_id())
-    base = lines.select(F.lit("all").alias("exam"), F.col("o_custkey").alias("student"), "question", F.col("o_orderstatus").alias("answer"), F.col("l_linestatus").alias("answer_key"), F.lit(10.0).alias("max_score"))
-    same = F.lower(F.trim("answer")) == F.lower(F.trim("answer_key"))
-    return measure.student_totals(base.withColumn("score", F.when(same, F.col("max_score")).otherwise(F.lit(0.0)))).select("student", "total")
+    """Each order is an exam of its customer; lines of up to ten pieces are not answered, answers are lower-case with spaces around."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("question")).agg(F.min("l_linestatus").alias("answer_key"), F.max("l_quantity").alias("most"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("exam"), F.col("o_custkey").alias("student"), F.concat(F.lit(" "), F.lower("o_orderstatus"), F.lit(" ")).alias("answer")).distinct()
+    answers = lines.where("most > 10").join(orders, "exam").select("exam", "student", "question", "answer")
+    scores = measure.answer_scores(answers, lines.select("exam", "question", "answer_key", F.lit(10.0).alias("max_score")), orders.select("exam", "student"))
+    return measure.student_totals(scores)
 
 
-@query(f"with q as ({_QUESTIONS}) select question, case when exists (select 1 from q b where b.question <> q.question and b.rate = q.rate) then 'near_zero,equal_rate' else 'near_zero' end as flags from q where rate <= 0.5101")
+@query("with q as (select l_orderkey as exam, l_linenumber as question, sum(l_quantity) / cast(50 * count(*) as double) as rate from lineitem group by all), f as (select exam, question, concat_ws(',', case when rate <= 0.05 then 'near_zero' end, case when rate >= 0.95 then 'near_full' end, case when count(*) over (partition by exam, rate) > 1 then 'equal_rate' end) as flags from q) select exam, question, flags from f where flags <> ''")
 def anomaly_flags(spark: SparkSession, d: str) -> DataFrame:
-    return measure.anomalies(_rates(spark, d), near=0.5101).where("rate <= 0.5101").select("question", F.replace("flags", F.lit("near_full,")).alias("flags")).withColumn("flags", F.regexp_replace("flags", ",near_full", ""))
+    """Each order is an exam of its own."""
+    rates = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("exam"), F.col("l_linenumber").alias("question")).agg(measure.rate(F.sum("l_quantity"), F.count("*") * 50.0).alias("rate"))
+    return measure.anomalies(rates).select("exam", "question", "flags")
 
 
 @query(f"with q as ({_QUESTIONS}), f as (select question, concat_ws(',', case when rate <= 0.05 then 'near_zero' end, case when rate >= 0.95 then 'near_full' end, case when exists (select 1 from q b where b.question <> q.question and b.rate = q.rate) then 'equal_rate' end) as flags from q) select question, flags from f where flags <> ''")
@@ -178,8 +182,10 @@ def text_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.text_report(_rates(spark, d), _outcomes(spark, d).withColumn("exam", F.lit("all"))).select("section", "line")
 
 
-@query("select c_nationkey, n_name, count(*) as customers, case when n_name like 'NATION_1%' then 'tde-70-15-15' else 'language-50-25-25' end as profile from customer join nation on c_nationkey = n_nationkey group by all")
+@query("select c_nationkey, n_name, count(*) as customers, case n_nationkey % 4 when 0 then 'tde-70-15-15' when 3 then null else 'language-50-25-25' end as profile, case n_nationkey % 4 when 0 then 0.70::double when 3 then null else 0.50::double end as written from customer join nation on c_nationkey = n_nationkey group by all")
 def profile_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "nation").withColumn("profile", F.when(F.col("n_name").startswith("NATION_1"), "tde-70-15-15").otherwise("language-50-25-25"))
+    """Courses by nation, written in other ways than the dimension has them; the last one has no profile."""
+    courses = F.array(*[F.lit(c) for c in ("Türk Dili ve Edebiyatı", "  TÜRKÇE ", "mesleki   Arapça", "Matematik")])
+    names = table(spark, d, "nation").withColumn("course", F.get(courses, (F.col("n_nationkey") % 4).cast("int")))
     counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return counts.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_name", "customers", "profile")
+    return counts.join(programs.with_profile(names), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_name", "customers", "profile", F.col("weights")["written"].alias("written"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import digests, text
-from tallyloom.operators import backups, reports, retrieval, textguard
+from tallyloom.operators import backups, programs, reports, retrieval, textguard
 from tallyloom.plans.registry import Registry, table
 from tallyloom.sources import readers
 from tallyloom.streaming import events as E
@@ -21,11 +21,11 @@ def outcome_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.outcome_key(given, F.col("p_type"), F.col("p_brand"), F.col("p_size")).alias("outcome_key"))
 
 
-@query("with k as (select p_partkey, unnest(['en', 'er', 'st']) as keyword, p_name from part), m as (select p_partkey, keyword from k where contains(lower(p_name), keyword)) select p_partkey, keyword as outcome from m union all select p_partkey, 'GEN.1' from part where p_partkey not in (select p_partkey from m)")
+@query("with k as (select p_partkey, unnest(['en', 'er', 'st', 'widget', 'col']) as keyword, p_name from part), m as (select p_partkey, keyword from k where contains(lower(p_name), keyword)) select p_partkey, keyword as outcome from m union all select p_partkey, 'GEN.1' from part where p_partkey not in (select p_partkey from m)")
 def keyword_join(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array(*[F.lit(w) for w in ("en", "er", "st")])
-    found = F.filter(words, lambda w: F.contains(F.lower("p_name"), w))
-    return table(spark, d, "part").select("p_partkey", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("GEN.1")))).alias("outcome"))
+    outcomes = spark.createDataFrame([(w, [w.upper(), ""]) for w in ("en", "er", "st", "widget", "col")], "outcome_id string, keywords array<string>")
+    links = programs.keyword_links(table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("text")), outcomes, "GEN.1")
+    return links.select(F.col("question_id").alias("p_partkey"), F.col("outcome_id").alias("outcome"))
 
 
 @query("with p as (select distinct o_custkey, o_orderkey % 97 as page from orders where o_orderkey % 97 > 0), i as (select o_custkey, page, page - row_number() over (partition by o_custkey order by page) as island from p), r as (select o_custkey, island, min(page) as a, max(page) as b from i group by all) select o_custkey, string_agg(case when a = b then cast(a as varchar) else a || '-' || b end, ', ' order by a) as ranges from r group by o_custkey")
@@ -102,6 +102,15 @@ def code_whitelist(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(found, F.array(*[F.lit(x) for x in "123"]))), ",").alias("foreign_codes"))
 
 
+@query("select p_partkey, p_partkey % 5 in (1, 2) and p_partkey % 7 <> 0 and not (p_partkey % 4 = 0 and p_partkey % 3 = 0) as fits from part")
+def answer_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that name a code, some of another program, some with words of action or of another skill."""
+    k = F.col("p_partkey")
+    answer = F.concat(F.col("p_name"), F.lit(" TDE1."), (k % 5).cast("string"), F.when(k % 7 == 0, " Etkinlik yap").otherwise(""), F.when(k % 4 == 0, " yazma beceri").otherwise(""))
+    component = F.when(k % 3 == 0, "Speaking").otherwise("written")
+    return table(spark, d, "part").select("p_partkey", textguard.in_scope(answer, F.lit(0.5), F.array(F.lit("TDE1.1"), F.lit("tde1.2")), component, F.lit(None).cast("string")).alias("fits"))
+
+
 @query("select p_partkey, trim(regexp_replace(lower(translate(p_name || ' ' || p_type, 'ÇĞİÖŞÜçğıöşü', 'CGIOSUcgiosu')), '[^a-z0-9]+', ' ', 'g')) as label from part")
 def label_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.label_fold(F.concat_ws(" ", "p_name", "p_type")).alias("label"))
@@ -133,10 +142,13 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
 
 
-@query("select o_orderkey, true as valid, o_orderstatus as status, o_custkey as customer from orders")
+@query("select o_orderkey, o_orderkey % 10 > 1 as valid, o_orderstatus as status, o_custkey as customer from orders")
 def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"), "o_totalprice")
-    return reports.read_manifest(reports.manifest(rows, "o_orderkey", ["status", "customer"], "report"), "report", "status: string, customer: bigint")
+    """Some manifests are of another schema, some of a later version."""
+    rows, last = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"), "o_totalprice"), F.col("o_orderkey") % 10
+    kinds = [(last > 1, "report", 1), (last == 0, "letter", 1), (last == 1, "report", 2)]
+    written = [reports.manifest(rows.where(some), "o_orderkey", ["status", "customer"], schema, version) for some, schema, version in kinds]
+    return reports.read_manifest(written[0].unionByName(written[1]).unionByName(written[2]), "report", "status: string, customer: bigint")
 
 
 @query()
@@ -165,8 +177,20 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     return E.windowed(rows, "ts", "event_type", "1 hour").select("event_type", F.unix_micros("start").alias("start_us"), "many")
 
 
-@query("select case when o_orderkey % 3 = 0 then 'newer' when o_orderkey % 3 = 1 then 'old' else 'ok' end as status, count(*) as many from orders group by 1")
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Backups by order: some of a later or an earlier version, some with a name, some changed after they were sealed."""
+    key = F.col("o_orderkey")
+    version = F.when(key % 3 == 0, 3).when(key % 3 == 1, 1).otherwise(2)
+    space = F.to_json(F.struct("o_orderstatus", F.when(key % 5 == 0, "x").alias("fullName")))
+    rows = table(spark, d, "orders").select(key.alias("record_id"), version.alias("version"), space.alias("workspace"))
+    return backups.sealed(rows).withColumn("workspace", F.when(F.col("record_id") % 7 == 0, F.concat("workspace", F.lit(" "))).otherwise(F.col("workspace")))
+
+
+@query("select case when o_orderkey % 7 = 0 then 'broken' when o_orderkey % 5 = 0 then 'private' when o_orderkey % 3 = 0 then 'newer' when o_orderkey % 3 = 1 then 'old' else 'ok' end as status, count(*) as many from orders group by 1")
+def backup_tally(spark: SparkSession, d: str) -> DataFrame:
+    return backups.tally(_records(spark, d), ["fullName"])
+
+
+@query("select o_orderkey as record_id, cast(2 as integer) as version, '{\"o_orderstatus\":\"' || o_orderstatus || '\"' || case when o_orderkey % 3 = 1 then ',\"questionApprovals\":[]' else '' end || '}' as workspace from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 3 <> 0")
 def backup_migrate(spark: SparkSession, d: str) -> DataFrame:
-    version = F.when(F.col("o_orderkey") % 3 == 0, 3).when(F.col("o_orderkey") % 3 == 1, 1).otherwise(2)
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), version.alias("version"), F.to_json(F.struct("o_orderstatus")).alias("workspace"))
-    return backups.tally(backups.sealed(rows), ["fullName"])
+    return backups.migrated(_records(spark, d), ["fullName"]).select("record_id", "version", "workspace")

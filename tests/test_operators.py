@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import bands, digests, json_text, text
-from tallyloom.operators import backups, corrections, measure, reports, retrieval, rules, textguard
+from tallyloom.operators import backups, corrections, measure, programs, reports, retrieval, rules, textguard
 from tallyloom.sources import readers, tables
 from tallyloom.streaming import events
 
@@ -263,3 +263,22 @@ def test_json_texts(spark):
     assert values(spark, ['```json\n{"b": 1, "a": [2]}\n``` and more', "no", None, "{"], json_text.first_object) == ['{"b": 1, "a": [2]}', None, None, None]
     assert values(spark, ['{"b": 1, "a": {"d": "ç", "c": 2}}', "x"], json_text.canonical) == ['{"a":{"c":2,"d":"ç"},"b":1}', None]
     assert values(spark, ["☐ Evet ☒ Hayır", "☐ Evet"], text.checked_option) == ["Hayır", None]
+
+
+def test_fnv1a_beyond_the_basic_plane(spark):
+    def plain(s):
+        h, raw = 0x811C9DC5, s.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i : i + 2], "big")) * 0x01000193) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "a", "ölçme", "a😀b", "퟿"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(digests.fnv1a(F.col("t"))).collect()
+    assert [r[0] for r in got] == [plain(t) for t in texts]
+
+
+def test_keywords_of_any_length(spark):
+    questions = spark.createDataFrame([(1, "Bir İki"), (2, "xyz abc"), (3, ""), (4, None)], "question_id long, text string")
+    outcomes = spark.createDataFrame([("a", ["x", "abc"]), ("b", ["iki", "ir"]), ("c", ["", "zz"]), ("d", None)], "outcome_id string, keywords array<string>")
+    got = {tuple(r) for r in programs.keyword_links(questions, outcomes, "none").collect()}
+    assert got == {(1, "b"), (2, "a"), (3, "none"), (4, "none")}
