@@ -25,6 +25,13 @@ def merged_sources(hits: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "document").agg(F.array_sort(F.collect_set("page")).alias("pages"), F.min("place").alias("place"))
 
 
+def source_focuses(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """For each document of keys its distinct focuses by first place, joined; hits(keys, document, focus, place)."""
+    first = hits.where(text.blank_to_null(F.col("focus")).isNotNull()).groupBy(*keys, "document", "focus").agg(F.min("place").alias("place"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "focus"))), lambda x: x["focus"])
+    return first.groupBy(*keys, "document").agg(F.array_join(listed, ", ").alias("focuses"))
+
+
 def citation_labels(sources: DataFrame, keys: list[str]) -> DataFrame:
     """K1, K2 and so on for a report's documents by first place; blank where there is one. sources(keys, document, place)."""
     first = sources.groupBy(*keys, "document").agg(F.min("place").alias("place"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import measures, texts
+from tallyloom.plans import measures, rosters, texts
 from tallyloom.plans.registry import Query
 
 
 def queries() -> dict[str, Query]:
-    return measures.query.queries | texts.query.queries
+    return measures.query.queries | texts.query.queries | rosters.query.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return measures.query.sql | texts.query.sql
+    return measures.query.sql | texts.query.sql | rosters.query.sql
