@@ -50,11 +50,13 @@ def roster_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("o_custkey", status.alias("status"), difference.alias("difference"))
 
 
-@query("with e as (select p_brand as grp, p_name as name, p_size % 5 as size from part where p_partkey % 3 = 0), i as (select p_brand as grp, p_name as name, p_size % 5 as size from part where p_partkey % 3 = 1), b as (select * from e union all select * from i where not exists (select 1 from e where e.grp = i.grp and e.name = i.name and e.size = i.size)) select grp as brand, name, size, count(*) over (partition by grp) > 10 as too_many from b")
+@query("with p as (select p_brand || '/' || p_size % 5 as folder, p_name as name, p_size, p_partkey % 3 as part from part), e as (select * from p where part = 0), i as (select * from p where part = 1), b as (select * from e union all select * from i where not exists (select 1 from e where e.folder = i.folder and e.name = i.name and e.p_size = i.p_size)) select folder, name, p_size, count(*) over (partition by folder) > 10 as too_many from b")
 def file_selection(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("name"), (F.col("p_size") % 5).alias("size"), F.lit(0).alias("modified"), (F.col("p_partkey") % 3).alias("part"))
+    """A third of the parts are files that are there, another third come anew."""
+    folder = F.concat(F.col("p_brand"), F.lit("/"), (F.col("p_size") % 5).cast("string"))
+    rows = table(spark, d, "part").select(folder.alias("group"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.lit(0).alias("modified"), (F.col("p_partkey") % 3).alias("part"))
     out = rosters.selected_files(rows.where("part = 0"), rows.where("part = 1"))
-    return out.select(F.col("group").alias("brand"), "name", "size", "too_many")
+    return out.select(F.col("group").alias("folder"), "name", F.col("size").alias("p_size"), "too_many")
 
 
 @query("with c as (select n_nationkey as choice, case when n_nationkey % 5 = 0 then null else 'Brand#' || (n_nationkey % 5) || '1' end as stage, 'S' || n_regionkey as school, case when n_nationkey % 2 = 0 then 'PROMO' else 'ECONOMY' end as kind from nation where n_nationkey % 5 > 0), o as (select distinct p_brand, split_part(p_type, ' ', 1) as kind, p_name from part) select choice, p_name as course from c join o on p_brand = stage and o.kind = c.kind union select choice, n2.n_name from c join nation n2 on 'S' || n2.n_regionkey = school union select choice, 'Diğer' from c")
@@ -67,7 +69,7 @@ def course_options(spark: SparkSession, d: str) -> DataFrame:
     return rosters.course_options(choices, courses, nation.select(school.alias("school_type"), F.col("n_name").alias("course")), "Diğer")
 
 
-@query("with w as (select distinct user_id + cast(value as bigint) % 2 * 1000000 as source from events where event_type = 'error'), r as (select user_id as source, bool_and(value >= 3) as full_rows from events group by user_id) select source, coalesce(full_rows, false) as resolved from w left join r using (source)")
+@query("with w as (select distinct user_id + cast(floor(value) as bigint) % 2 * 1000000 as source from events where event_type = 'error'), r as (select user_id as source, bool_and(value >= 3) as full_rows from events group by user_id) select source, coalesce(full_rows, false) as resolved from w left join r using (source)")
 def warnings_resolved(spark: SparkSession, d: str) -> DataFrame:
     """Some warnings are of sources without rows; a value below 3 is an empty cell."""
     rows = table(spark, d, "events")
@@ -242,7 +244,7 @@ def text_folds(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("select p_partkey, cast(p_size as integer) as question, p_size + 0.5 as most, case when p_partkey % 2 = 0 then p_size + 0.25 end as strict, case p_partkey % 3 when 0 then p_size + 0.5 when 1 then 7.0 else null end as given, least(p_size, 20) as clamped, case when p_partkey % 3 = 1 then '' when p_partkey % 3 = 2 then '' else 'Lise ' || p_size end as school from part")
+@query("select p_partkey, cast(p_size as integer) as question, p_size + 0.5::double as most, case when p_partkey % 2 = 0 then p_size + 0.25::double end as strict, case p_partkey % 3 when 0 then p_size + 0.5::double when 1 then 7.0::double else null end as given, least(p_size, 20) as clamped, case when p_partkey % 3 = 1 then '' when p_partkey % 3 = 2 then '' else 'Lise ' || p_size end as school from part")
 def number_forms(spark: SparkSession, d: str) -> DataFrame:
     n, k = F.col("p_size").cast("string"), F.col("p_partkey")
     around = lambda before, after="": F.concat(F.lit(before), n, F.lit(after))

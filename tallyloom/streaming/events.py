@@ -43,6 +43,38 @@ def group_sizes(events: DataFrame, key: str, expected: int) -> DataFrame:
     return events.groupBy(key).agg(F.floor(F.count("*") / expected).cast("long").alias("complete"), (F.count("*") % expected).alias("waiting"))
 
 
+def group_sizes_stream(events: DataFrame, key: str, expected: int) -> DataFrame:
+    """group_sizes() for a stream: key, complete groups and rows that wait after each batch in which the key has rows."""
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        many = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
+        state.update((many,))
+        yield pd.DataFrame({key: [name[0]], "complete": [many // expected], "waiting": [many % expected]})
+
+    slim = events.select(key)
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {dict(slim.dtypes)[key]}, complete long, waiting long", "many long", "update", GroupStateTimeout.NoTimeout)
+
+
+def newest_stream(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    """latest() for a stream: of each batch a key's row of the highest sequence number, if no batch before had one as high.
+
+    Answers that come after a newer one are dropped, and an edit or undo record takes the place of what was before it.
+    """
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        best = None
+        for b in batches:
+            row = b.loc[[b[sequence].idxmax()]]
+            if (last is None or row[sequence].iloc[0] > last) and (best is None or row[sequence].iloc[0] > best[sequence].iloc[0]):
+                best = row
+        if best is not None:
+            state.update((int(best[sequence].iloc[0]),))
+            yield best
+
+    return rows.groupBy(key).applyInPandasWithState(run, rows.schema, "last long", "update", GroupStateTimeout.NoTimeout)
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key: edits, undo records and answers that came late."""
     last = F.max_by(F.struct(*rows.columns), F.struct(*order))  # combines before the shuffle

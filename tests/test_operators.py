@@ -244,6 +244,33 @@ def test_streams_equal_their_twins(spark, tmp_path):
     assert sorted(map(tuple, spark.table("fired").collect())) == want and len(want) == 8
 
 
+def _in_two_batches(spark, df, folder, stream, order):
+    """Rows of the stream's sink after each of two halves of df has come; one file is one batch."""
+    rows = df.orderBy(order).collect()
+    for i, half in enumerate((rows[: len(rows) // 2], rows[len(rows) // 2 :])):
+        spark.createDataFrame(half, df.schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        source = spark.readStream.schema(df.schema).parquet(str(folder / "in"))
+        stream(source).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(str(folder / "out"))).option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        if i == 0:
+            first = spark.read.parquet(str(folder / "out")).collect()
+    return first, spark.read.parquet(str(folder / "out")).collect()
+
+
+def test_group_sizes_go_on_over_batches(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 2) for i in range(22)], "n long, user int")
+    first, both = _in_two_batches(spark, df, tmp_path, lambda s: events.group_sizes_stream(s, "user", 4), "n")
+    assert {(r.complete, r.waiting) for r in first} == {(1, 2), (1, 1)}
+    best = {u: max((r.complete, r.waiting) for r in both if r.user == u) for u in (0, 1)}
+    assert best == {r.user: (r.complete, r.waiting) for r in events.group_sizes(df, "user", 4).collect()}
+
+
+def test_late_answers_are_dropped(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a", 5, "x"), (1, "b", 1, "y"), (2, "a", 3, "late"), (3, "b", 2, "z")], "n long, user string, seq long, said string")
+    first, both = _in_two_batches(spark, df, tmp_path, lambda s: events.newest_stream(s, "user", "seq"), "n")
+    assert {r.said for r in first} == {"x", "y"} and {r.said for r in both} == {"x", "y", "z"}
+    assert {r.said for r in events.latest(df, "user", ["seq"]).collect()} == {"x", "z"}
+
+
 def test_headings_pages_and_contexts(spark):
     pages = spark.createDataFrame([("d", 1, "x\n1. TEMA: SÖZ\ny"), ("d", 4, "1. TEMA: SÖZ"), ("d", 5, "2. TEMA: YAPI\n3. TEMA: Z"), ("d", 6, None)], "document string, page int, text string")
     assert sorted((r.label, r.page) for r in retrieval.heading_pages(pages, r"^\s*\d+\. TEMA: (.+)$").collect()) == [("SÖZ", 4), ("YAPI", 5)]
