@@ -108,13 +108,13 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = B
             at = end
 
 
-def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
     """Applies fn to blocks of rows within tasks."""
 
     small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, limit):
             out = fn(block)
             if out is not None:
                 yield out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, fingerprints, licences, lm, minhash, packing, passages, quality, urls
+from . import bpe, clusters, codes, embeddings, fingerprints, idfiles, licences, lm, minhash, packing, passages, quality, sql, urls
 from .common import table
 
 
@@ -66,10 +66,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.train(vectors)
+    coded = codes.with_label_error(codes.compress(vectors, books))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return clusters.with_inertia(*clusters.cluster(vectors, clusters.first_centroids(vectors)))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = idfiles.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, end=1)
+    return read.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_licence_scan, op2_lm_scoring, op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints, op10_substring_dedup]
+    found = [op1_licence_scan, op2_lm_scoring, op3_packing, op4_minhash_near_dedup, op5_url_filters, op6_quality_classifier, op7_bpe_round_trip, op8_embedding_near_dedup, op9_document_fingerprints, op10_substring_dedup, op11_vector_codes, op12_centroid_clusters, op13_token_files]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express: whole-number rounds over vectors."""
+    return {"op11_vector_codes": sql.vector_codes(), "op12_centroid_clusters": sql.centroid_clusters()}
