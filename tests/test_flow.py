@@ -105,3 +105,35 @@ def test_completeness(spark):
     asked = spark.createDataFrame([("e", 1, "t", 5.0, "A"), ("e", 2, " ", None, None)], "exam string, question int, text string, max_score double, answer_key string")
     row = documents.structuring(asked).first()
     assert (row.total, row.blank_texts, row.codes) == (5.0, 1, ["MISSING_SCORE", "MISSING_ANSWER_KEY"])
+
+
+def test_materialised_stages(spark, tmp_path):
+    made = []
+
+    def stage(name, fail=False, needs=(), required=True):
+        def work(t):
+            made.append(name)
+            rows = spark.range(5).select("id", (F.col("id") * 2).alias("v"))
+            return {name: rows.withColumn("v", F.when(F.col("id") == 3, F.raise_error(F.lit("row 3"))).otherwise(F.col("v"))) if fail else rows}
+
+        return flow.Stage(name, work, required, needs, f"the {name}", lambda t: {"odd": t[name].where("v = 4"), "none": t[name].where("v = 5")})
+
+    stages = [stage("a"), stage("b", fail=True, required=False), stage("c", needs=("a", "b")), stage("d", needs=("a",)), stage("e", fail=True), stage("f")]
+    tables, traces = flow.materialised(spark, stages, {}, f"{tmp_path}/x")
+    assert [t.state for t in traces] == ["done", "failed", "skipped", "done", "failed", "skipped"]
+    assert "row 3" in traces[1].error and traces[2].error == "needs b" and sorted(tables) == ["a", "d"]
+    assert traces[0].rows == {"a": 5} and traces[0].issues == {"odd": 1} and traces[0].seconds > 0 and tables["d"].count() == 5
+    wire = traces[0].wire()
+    assert (wire["label"], wire["outputs"], wire["failed"], wire["skipped"]) == ("the a", {"a": 5}, False, False) and wire["durationMs"] == round(traces[0].seconds * 1000, 1)
+    assert flow.total_seconds(traces, 0) == sum(t.seconds for t in traces) and flow.total_seconds(traces, 1e6) == 1e6
+    # the same folder again: finished stages are kept, others are tried again
+    assert made == ["a", "b", "d", "e"]
+    tables, again = flow.materialised(spark, [stages[0], stage("b", needs=("a",)), *stages[2:4]], {}, f"{tmp_path}/x")
+    assert [t.state for t in again] == ["kept", "done", "done", "kept"] and made[4:] == ["b", "c"] and again[0].seconds == traces[0].seconds
+    assert sorted(tables) == ["a", "b", "c", "d"] and tables["a"].count() == 5
+
+
+def test_materialised_analysis(spark, payloads, tmp_path):
+    tables, traces = flow.materialised(spark, flow.MATERIALISED, {"payloads": payloads}, f"{tmp_path}/y")
+    assert [t.state for t in traces] == ["done"] * 3 and traces[1].rows == {"question_results": 4, "links": 5} and not any(t.issues for t in traces)
+    assert {r.outcome: r.earned for r in tables["outcome_results"].collect()} == {"A | TDE1.1": 38.0, "k1": 9.0, "k2": 9.0, "Soru 9": 24.0}
