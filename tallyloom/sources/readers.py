@@ -63,7 +63,8 @@ def _office_cells(content: bytes, suffix: str) -> Iterator[tuple[int, int, int,
             for t, table in enumerate(tree.iter(f"{WORD}tbl")):
                 for r, row in enumerate(table.iterfind(f"{WORD}tr")):
                     for c, cell in enumerate(row.iterfind(f"{WORD}tc")):
-                        yield t, r, c, " ".join("".join(x.text or "" for x in p.iter(f"{WORD}t")) for p in cell.iterfind(f"{WORD}p")).strip()
+                        said = ("".join(x.text or "" for x in p.iter(f"{WORD}t")).strip() for p in cell.iter(f"{WORD}p"))
+                        yield t, r, c, " ".join(x for x in said if x)
             return
         names = file.namelist()
         shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(file.read("xl/sharedStrings.xml")).iterfind(f"{SHEET}si")]
@@ -111,7 +112,7 @@ def _html_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
 
 
 def cells(files: DataFrame) -> DataFrame:
-    """Table cells of files(path, content): DOCX, XLSX and HTML by extension; a file that can't be read gives one row with its error."""
+    """Table cells of files(path, content): DOCX, XLSX and HTML by extension; a file that can't be read gives one row with its error, one without cells a row without."""
 
     def run(batches):
         for batch in batches:
@@ -125,7 +126,7 @@ def cells(files: DataFrame) -> DataFrame:
                         found = list(_html_cells(bytes(content)))
                     else:
                         raise ValueError(f"no reader for .{suffix}")
-                    out += [(path, *f, None) for f in found]
+                    out += [(path, *f, None) for f in found] or [(path, None, None, None, None, None)]
                 except Exception as error:  # of one file: told in its row
                     out.append((path, None, None, None, None, f"{type(error).__name__}: {error}"[:200]))
             frame = pd.DataFrame(out, columns=["path", "table_ix", "row_ix", "cell_ix", "text", "error"])
