@@ -6,9 +6,13 @@ otherwise null gives null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions import unicode
+
 # fixed values: letters that folds map, and heading labels after label_fold
 TURKISH, ASCII = "ÇĞİÖŞÜçğıöşü", "CGIOSUcgiosu"
 STUDENT_NUMBER = ["okul no", "okul numarasi", "ogrenci no", "ogrenci numarasi", "numara", "no"]
@@ -27,19 +31,28 @@ def label_fold(c: Column) -> Column:
 
 
 def course_fold(c: Column) -> Column:
-    """Turkish lower case (I to dotless i) and single spaces. Compatibility forms are not composed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), "Iİ", "ıi")), r"\s+", " "))
+    """Turkish case folding (I to dotless i) of compatibility forms, and single spaces; null is empty."""
+    return unicode.COURSE(F.coalesce(c, F.lit("")))
 
 
 def catalog_fold(c: Column) -> Column:
-    """Lower case without the Turkish rule, and single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    """Case folding of compatibility forms without the Turkish rule, and single spaces; null is empty."""
+    return unicode.CATALOG(F.coalesce(c, F.lit("")))
 
 
 def compare_fold(c: Column) -> Column:
-    """Turkish lower case, accents dropped, both i alike, other than letters and digits to single spaces."""
-    plain = F.translate(F.lower(F.translate(c, "Iİ", "ıi")), "ıâîûçğöşü", "iaiucgosu")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    """Turkish lower case, accents dropped, both i alike, other than a-z and 0-9 to single spaces."""
+    return unicode.COMPARE(c)
+
+
+def each_folded(texts: Column, fold: Callable[[Column], Column]) -> Column:
+    """The texts of an array folded by a fold that can't stand in a lambda; the texts have no U+0000, and null ones are empty."""
+    return F.when(F.size(texts) > 0, F.split(fold(F.array_join(texts, "\x00", "")), "\x00")).otherwise(F.array().cast("array<string>"))
+
+
+def skill_folds(skills: Column) -> Column:
+    """An array of skills without case, accents and outer or repeated spaces; the dotless i stays."""
+    return F.transform(each_folded(skills, unicode.SKILL), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
 def theme_upper(c: Column) -> Column:
@@ -148,8 +161,22 @@ def word_count(c: Column) -> Column:
 
 
 def evidence_fold(c: Column) -> Column:
-    """Lower case, hyphens at line ends dropped, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"-\s*\n\s*", ""), r"\s+", " "))
+    """Without case and hyphens (with the white space around them, as at line ends), single spaces."""
+    return _squeezed(F.regexp_replace(unicode.CASE(c), r"(?U)\s*-\s*", ""))
+
+
+def evidence_folds(texts: Column) -> Column:
+    """evidence_fold() of each text of an array."""
+    return F.transform(each_folded(texts, unicode.CASE), lambda t: _squeezed(F.regexp_replace(t, r"(?U)\s*-\s*", "")))
+
+
+def case_fold(c: Column) -> Column:
+    """Full case folding, and single spaces."""
+    return _squeezed(unicode.CASE(c))
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def basename(c: Column) -> Column:

@@ -47,7 +47,7 @@ def foreign_codes(links: DataFrame, exams: DataFrame) -> DataFrame:
 
 def component_of_skills(skills: Column) -> Column:
     """The component whose skills a set of skills is part of; null if none or the set is empty."""
-    folded = F.filter(F.array_distinct(F.transform(skills, lambda s: F.translate(F.lower(F.trim(s)), "şçğıöü", "scgiou"))), lambda s: s != "")
+    folded = F.filter(F.array_distinct(text.skill_folds(skills)), lambda s: s != "")
     out = F.lit(None).cast("string")
     for names, component in reversed(OF_SKILLS):
         out = F.when((F.size(folded) > 0) & (F.size(F.array_except(folded, F.array(*[F.lit(n) for n in names]))) == 0), component).otherwise(out)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text
+from tallyloom.functions import json_text, text, unicode
 
-# fixed values: forms that prescribe, claims that rates can't prove, words of action, words of other skills, codes
+# fixed values: forms that prescribe, claims that rates can't prove, words of action, words of other skills, codes, most words and characters of a term
 PRESCRIBES = r"(?iu)öneri|tavsiye|telafi|gerekmekte|gerekiyor|\bgerekir\b|gereklid[ıi]r|ihtiyaç duyul|şartt[ıi]r|mal[ıi]d[ıi]r\b|melid[ıi]r\b|giderme|giderilme|gidermek|giderilmesi"
 UNPROVEN = ["temel neden", "temel sebep", "nedeni", "sebebi", "kaynaklan", "öğrencilerin say", "öğrenci say", "yetersiz bilgi"]
 ACTION = ["etkinlik", "aktivite", "alıştırma", "uygulama çalış", "telafi", "önerilir", "tavsiye", "yapılmalı", "verilmeli", "geliştirilmeli", "desteklenmeli", "gerekmektedir", "gereklidir", "ihtiyaç duyul"]
@@ -16,7 +16,7 @@ OTHER_SKILLS = {
     "speaking": ["okuma beceri", "yazma beceri", "dinleme/izleme beceri", "dinleme beceri"],
 }
 CODE = r"(?i)\b(TDE\d+(?:\.\d+)+)\b"
-WEAK_WORDS, STRONG_WORDS, WEAK = 70, 60, 0.70
+WEAK_WORDS, STRONG_WORDS, WEAK, TERM = 70, 60, 0.70, 90
 
 
 def sentences(c: Column) -> Column:
@@ -30,24 +30,50 @@ def without_sentences(c: Column, pattern: str = PRESCRIBES) -> tuple[Column, Col
     return F.trim(F.array_join(kept, " ")), F.size(every) - F.size(kept)
 
 
-def in_scope(answer: Column, rate: Column, codes: Column, component: Column, description: Column) -> Column:
-    """Whether an answer keeps the contract: length, no unproven claims or prescribed action, no foreign codes or skills."""
-    folded = F.regexp_replace(F.lower(answer), r"\s+", " ")
+def in_scope(answer: Column, rate: Column, codes: Column, component: Column, *descriptions: Column) -> Column:
+    """Whether an answer keeps the contract: length, no unproven claims or prescribed action, no foreign codes or skills.
+
+    Words of other skills may stand where one of the outcome's descriptions (its own, its parent's) has them.
+    """
+    folded = text.case_fold(answer)
+    chosen = text.case_fold(F.concat_ws(" ", *descriptions))
     short = text.word_count(answer) <= F.when(F.coalesce(rate, F.lit(0.0)) < WEAK, WEAK_WORDS).otherwise(STRONG_WORDS)
-    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(folded, w))
-    foreign = F.array_except(F.transform(F.regexp_extract_all(answer, F.lit(CODE), F.lit(1)), F.upper), F.transform(codes, F.upper))
+    has = lambda words: any_of([F.contains(folded, F.lit(w)) for w in words])
     other = F.lit(False)
     for name, words in OTHER_SKILLS.items():
-        listed = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(folded, w) & ~F.contains(F.lower(F.coalesce(description, F.lit(""))), w))
-        other = other | ((F.lower(component) == name) & listed)
-    return short & ~has(UNPROVEN + ACTION) & (F.size(foreign) == 0) & ~F.coalesce(other, F.lit(False))
+        other = other | ((F.lower(component) == name) & any_of([F.contains(folded, F.lit(w)) & ~F.contains(chosen, F.lit(w)) for w in words]))
+    return short & ~has(UNPROVEN + ACTION) & (F.size(foreign_codes(answer, codes)) == 0) & ~F.coalesce(other, F.lit(False))
+
+
+def any_of(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def foreign_codes(answer: Column, codes: Column, pattern: str = CODE) -> Column:
+    """Codes that an answer mentions and that aren't among codes, in capitals, each once."""
+    return F.array_except(F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), F.upper), F.transform(codes, F.upper))
+
+
+def evidence_terms(answer: Column) -> Column:
+    """The two terms of an answer's first JSON object, cleaned; null unless it has exactly two, of 1 to TERM characters, that differ.
+
+    Code fences around the object and text after it are ignored.
+    """
+    terms = F.from_json(json_text.first_object(answer), "evidenceTerms array<string>")["evidenceTerms"]
+    clean = F.transform(terms, lambda t: F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), r"^[ .,:;\"']+|[ .,:;\"']+$", ""))
+    fine = (F.size(terms) == 2) & F.forall(clean, lambda t: F.coalesce((t != "") & (F.length(t) <= TERM), F.lit(False))) & (F.size(F.array_distinct(text.each_folded(clean, unicode.CASE))) == 2)
+    return F.when(fine, clean)
 
 
 def grounded(terms: Column, excerpts: Column) -> Column:
-    """Whether terms are two distinct ones that the excerpts have, but for case, line breaks and spaces."""
+    """Whether terms are two distinct ones that the excerpts have, but for case, hyphens, line breaks and spaces."""
     every = text.evidence_fold(F.array_join(excerpts, " "))
-    folded = F.array_distinct(F.transform(terms, text.evidence_fold))
-    return F.coalesce((F.size(terms) == 2) & (F.size(folded) == 2) & F.forall(folded, lambda t: (t != "") & F.contains(every, t)), F.lit(False))
+    folded = F.array_distinct(text.evidence_folds(terms))
+    there = F.zip_with(folded, F.array_repeat(every, F.size(folded)), lambda t, e: (t != "") & F.contains(e, t))  # a fold can't stand in a lambda
+    return F.coalesce((F.size(terms) == 2) & (F.size(folded) == 2) & F.forall(there, lambda x: x), F.lit(False))
 
 
 def findings(answers: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:

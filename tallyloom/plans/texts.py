@@ -98,8 +98,8 @@ def word_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+')), lambda x: not list_contains(['1', '2', '3'], x))), ',') as foreign_codes from documents")
 def code_whitelist(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9]+)"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(found, F.array(*[F.lit(x) for x in "123"]))), ",").alias("foreign_codes"))
+    foreign = textguard.foreign_codes(F.coalesce("text", F.lit("")), F.array(*[F.lit(x) for x in "123"]), "([0-9]+)")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(foreign), ",").alias("foreign_codes"))
 
 
 @query("select p_partkey, p_partkey % 5 in (1, 2) and p_partkey % 7 <> 0 and not (p_partkey % 4 = 0 and p_partkey % 3 = 0) as fits from part")

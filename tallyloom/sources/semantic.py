@@ -38,20 +38,26 @@ _STUDENT = "array<struct<row_number: int, student_no: string, scores: array<doub
 def documents(cells: DataFrame) -> DataFrame:
     """path, tables (array of arrays of rows of texts), folded (the same as labels) of cells(path, table_ix, row_ix, cell_ix, text).
 
-    Cells that are left out are empty texts, rows and tables that are left out aren't there. Rows of files without cells (with an error, say) give no tables. One shuffle
+    Cells that are left out are empty texts, and a place has one cell; rows and tables that are left out aren't there. Rows of files without cells (with an error, say) give no tables. One shuffle
     by path serves all three levels.
     """
     dealt = cells.repartition("path")
-    entries = F.map_from_entries(F.collect_list(F.struct("cell_ix", F.trim(F.coalesce("text", F.lit(""))))))
-    rows = dealt.where("cell_ix is not null").dropDuplicates(["path", "table_ix", "row_ix", "cell_ix"]).groupBy("path", "table_ix", "row_ix").agg(entries.alias("m"), F.max("cell_ix").alias("last"))
-    row = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    inner = lambda c: F.transform(F.array_sort(c), lambda x: x["v"])
+    found = F.sort_array(F.collect_list(F.struct("cell_ix", F.trim(F.coalesce("text", F.lit(""))).alias("v"))))
+    rows = dealt.where("cell_ix is not null").groupBy("path", "table_ix", "row_ix").agg(found.alias("found"), F.max("cell_ix").alias("last"))
+    at = lambda i: F.coalesce(F.get(F.filter("found", lambda c: c["cell_ix"] == i), F.lit(0))["v"], F.lit(""))
+    row = F.when(F.size("found") == F.col("last") + 1, F.transform("found", lambda c: c["v"])).otherwise(F.transform(F.sequence(F.lit(0), F.col("last")), at))
+    inner = lambda c: F.transform(F.sort_array(c), lambda x: x["v"])
     tables = rows.select("path", "table_ix", "row_ix", row.alias("v")).groupBy("path", "table_ix").agg(inner(F.collect_list(F.struct("row_ix", "v"))).alias("v"))
     whole = tables.groupBy("path").agg(inner(F.collect_list(F.struct("table_ix", "v"))).alias("tables"))
     folded = F.transform("tables", lambda t: F.transform(t, lambda r: F.transform(r, text.label_fold)))
     return dealt.select("path").distinct().join(whole, "path", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<array<array<string>>>"))).withColumn("folded", folded)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once; put into a lambda by itself it would be evaluated for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first(items: Column, wanted: Callable[[Column], Column]) -> Column:
     """The place, from 0, of the first item that is wanted; null if none is."""
     return F.nullif(F.array_position(F.transform(items, wanted), F.lit(True)), F.lit(0)).cast("int") - 1
@@ -108,11 +114,12 @@ def _table_questions() -> Column:
     return F.transform(said, lambda q, i: F.struct(number(q, i).alias("number"), q["c"].alias("outcome_code"), q["d"].alias("outcome_description"), q["m"].alias("max_score"), F.lit(None).cast("string").alias("source")))
 
 
-def _headed_questions(labels: Column, most: Callable[[Column], Column], source: str) -> Column:
-    """A question for each heading that names one; most gives the maximum for the heading's place."""
-    places = F.transform(labels, lambda label, i: F.struct(_heading(label).alias("n"), i.alias("i")))
+def _headed_questions(labels: Column, most: Column, source: str) -> Column:
+    """A question for each heading that names one; most has the text of the maximum at the heading's place."""
+    pairs = F.zip_with(labels, most, lambda label, m: F.struct(_heading(label).alias("n"), text.lenient_number(m).alias("m")))
     blank = F.lit("")
-    return F.transform(F.filter(places, lambda p: p["n"].isNotNull()), lambda p: F.struct(p["n"].alias("number"), blank.alias("outcome_code"), blank.alias("outcome_description"), most(p["i"]).alias("max_score"), F.lit(source).alias("source")))
+    found = F.filter(F.slice(pairs, 1, F.size(labels)), lambda p: p["n"].isNotNull())
+    return F.transform(found, lambda p: F.struct(p["n"].alias("number"), blank.alias("outcome_code"), blank.alias("outcome_description"), p["m"].alias("max_score"), F.lit(source).alias("source")))
 
 
 def _row_with(label: str) -> Column:
@@ -121,23 +128,32 @@ def _row_with(label: str) -> Column:
 
 
 def _class_students() -> Column:
-    labels = F.get("student_labels", F.lit(0))
-    number, total, row = (_first(labels, w) for w in (lambda c: c.isin(NUMBER_LABELS), lambda c: (c == "puan") | c.startswith("toplam"), lambda c: c.isin(ROW_LABELS)))
-    asked = F.filter(F.transform(labels, lambda c, i: F.when(c.rlike(QUESTION_HEADING), i)), lambda i: i.isNotNull())
-    scores = lambda r: F.transform(asked, lambda i: text.lenient_number(_cell(r, i)))
-    rows = F.transform(_after_first(F.col("student")), lambda r: F.struct(text.lenient_number(F.get(r, row)).alias("n"), _cell(r, number).alias("no"), scores(r).alias("s"), text.lenient_number(F.get(r, total)).alias("t")))
-    said = F.filter(rows, lambda s: (s["no"] != "") | F.exists(s["s"], lambda x: x.isNotNull()) | s["t"].isNotNull())
-    place = lambda s, i: F.when(row.isNotNull(), _whole(s["n"])).otherwise(i + 1)
-    return F.transform(said, lambda s, i: F.struct(place(s, i).alias("row_number"), s["no"].alias("student_no"), s["s"].alias("scores"), s["t"].alias("total"), _added(s["s"]).alias("calculated_total")))
+    def places(labels: Column) -> Column:
+        number, total, row = (F.coalesce(_first(labels, w), F.lit(-1)) for w in (lambda c: c.isin(NUMBER_LABELS), lambda c: (c == "puan") | c.startswith("toplam"), lambda c: c.isin(ROW_LABELS)))
+        asked = F.filter(F.transform(labels, lambda c, i: F.when(c.rlike(QUESTION_HEADING), i)), lambda i: i.isNotNull())
+        return F.struct(number.alias("number"), total.alias("total"), row.alias("row"), asked.alias("asked"))
+
+    def student(r: Column, at: Column) -> Column:
+        value = lambda i: F.when(i >= 0, text.lenient_number(F.get(r, i)))
+        return F.struct(value(at["row"]).alias("n"), F.when(at["number"] >= 0, _cell(r, at["number"])).otherwise(F.lit("")).alias("no"), F.transform(at["asked"], lambda i: text.lenient_number(_cell(r, i))).alias("s"), value(at["total"]).alias("t"))
+
+    def every(at: Column) -> Column:
+        rows = F.transform(_after_first(F.col("student")), lambda r: student(r, at))
+        said = F.filter(rows, lambda s: (s["no"] != "") | F.exists(s["s"], lambda x: x.isNotNull()) | s["t"].isNotNull())
+        place = lambda s, i: F.when(at["row"] >= 0, _whole(s["n"])).otherwise(i + 1)
+        return F.transform(said, lambda s, i: F.struct(place(s, i).alias("row_number"), s["no"].alias("student_no"), s["s"].alias("scores"), s["t"].alias("total"), _added(s["s"]).alias("calculated_total")))
+
+    return _let(places(F.get("student_labels", F.lit(0))), every)
 
 
 def _sheet_student() -> Column:
-    row, many = _row_with(SHEET_LABELS[2]), F.size("sheet_questions")
-    scores = F.transform(F.slice(row, 2, many), text.lenient_number)
-    total, number = text.lenient_number(F.get(row, many + 1)), _value(["ogrenci okul no", "okul no"])
-    one = F.array(F.struct(F.lit(1).alias("row_number"), number.alias("student_no"), scores.alias("scores"), total.alias("total"), _added(scores).alias("calculated_total")))
-    said = (F.size(row) > 0) & ((number != "") | F.exists(scores, lambda x: x.isNotNull()) | total.isNotNull())
-    return F.when(said, one).otherwise(F.array().cast(_STUDENT))
+    def student(x: Column) -> Column:
+        scores = F.transform(F.slice(x["row"], 2, x["many"]), text.lenient_number)
+        return F.struct(F.lit(1).alias("row_number"), x["number"].alias("student_no"), scores.alias("scores"), text.lenient_number(F.get(x["row"], x["many"] + 1)).alias("total"), _added(scores).alias("calculated_total"))
+
+    parts = F.struct(_row_with(SHEET_LABELS[2]).alias("row"), F.size("sheet_questions").alias("many"), _value(["ogrenci okul no", "okul no"]).alias("number"))
+    there = F.filter(F.array(parts), lambda x: F.size(x["row"]) > 0)
+    return F.filter(F.transform(there, student), lambda s: (s["student_no"] != "") | F.exists(s["scores"], lambda x: x.isNotNull()) | s["total"].isNotNull())
 
 
 def read(docs: DataFrame) -> DataFrame:
@@ -150,12 +166,11 @@ def read(docs: DataFrame) -> DataFrame:
     rows = _roles(docs)
     pairs = F.flatten(F.transform(F.coalesce("exam", F.array().cast("array<array<string>>")), lambda r: F.filter(F.transform(r, lambda c, i: F.when((i % 2 == 0) & (i < F.size(r) - 1), F.struct(text.label_fold(c).alias("label"), _cell(r, i + 1).alias("value")))), lambda p: F.coalesce(p["label"] != "", F.lit(False)))))
     rows = rows.withColumn("pairs", pairs)
-    most = _row_with(SHEET_LABELS[1])
     question_labels = F.transform(_row_with(SHEET_LABELS[0]), lambda c, i: F.when(i > 0, text.label_fold(c)).otherwise(F.lit("")))
-    rows = rows.withColumn("sheet_questions", _headed_questions(question_labels, lambda i: text.lenient_number(F.get(most, i)), "single-student-score-sheet"))
+    rows = rows.withColumn("sheet_questions", _headed_questions(question_labels, _row_with(SHEET_LABELS[1]), "single-student-score-sheet"))
     kind = F.when(F.col("student").isNotNull(), "class-score-template").when(F.col("sheet").isNotNull(), "single-student-score-sheet").otherwise(F.lit("unclassified"))
     none = F.array().cast(_QUESTION)
-    headed = F.when(F.col("student").isNotNull(), _headed_questions(F.get("student_labels", F.lit(0)), lambda i: F.lit(None).cast("double"), "score-column-heading")).when(F.col("sheet").isNotNull(), F.col("sheet_questions")).otherwise(none)
+    headed = F.when(F.col("student").isNotNull(), _headed_questions(F.get("student_labels", F.lit(0)), F.array().cast("array<string>"), "score-column-heading")).when(F.col("sheet").isNotNull(), F.col("sheet_questions")).otherwise(none)
     table = F.coalesce(_table_questions(), none)
     fields = {k: _value(v) for k, v in FIELDS.items()}
     for k in ("term", "examType"):
