@@ -8,8 +8,9 @@ links with and one spanning set of links. Components come from those links.
 
 The code's length grows with the logarithm of the largest label's number of classes and the number of tables follows
 from it, so that a pair at the threshold is missed with probability at most MISS at every size. Vectors that are null, empty, zero, have
-null or non-finite components, or a null label link with nothing; so do vectors of different lengths. Ids are taken as unique; rows with a
-null id are ignored; of rows with the same id the extra ones count as further copies.
+null or non-finite components, or a null label link with nothing; so do vectors of different lengths. Each row is a vector of its own, whether its id
+repeats, with an equal vector or another, or is null. A component is named by its smallest id, null if it has none; a row is kept if its id is
+that one (a null id: if its component has none).
 """
 
 from __future__ import annotations
@@ -84,9 +85,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     small_batches(vectors.sparkSession)
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     fine = F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = rows.withColumn("digest", F.when(F.col("fine"), F.md5(F.concat_ws(",", "label", F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))))
-    groups = stage(rows.where("fine").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")))
+    classes = rows.where("fine").groupBy("digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    groups = stage(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class has a number of its own, as its smallest id may be another's, too
     largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold)
 
@@ -100,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             if out:
                 yield pd.concat(out)
 
-    spread = stage(groups.withColumn("size", F.size("v")).mapInPandas(coded, "digest string, rep long, n long, label string, v array<double>, size int, codes array<int>"))
+    spread = stage(groups.withColumn("size", F.size("v")).select("rep", "n", "label", "v", "size").mapInPandas(coded, "rep long, n long, label string, v array<double>, size int, codes array<int>"))
     entry = spread.select("rep", "n", "label", "size", "codes", F.posexplode("codes").alias("table", "code"))
     bucket = ["label", "size", "table", "code"]
     sizes = entry.groupBy(*bucket).agg(F.count("*").alias("many")).where("many > 1")
@@ -129,7 +131,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = met.where("mate <> -1").select(F.col("rep").alias("a"), F.col("mate").alias("b"))
     comps = components(spread.select(F.col("rep").alias("id")), edges)
-    per = groups.select("digest", "rep", "n").join(counts, "rep", "left").join(comps, F.col("rep") == F.col("id")).select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component")
-    out = rows.select("vec_id", "digest").join(per, "digest", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    per = groups.select("digest", "rep", "n", "low").join(counts, "rep", "left").join(comps, F.col("rep") == F.col("id"))
+    named = per.groupBy("component").agg(F.min("low").alias("component_id"))
+    per = per.join(named, "component").select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id", F.lit(True).alias("known"))
+    own = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
+    out = rows.select("vec_id", "digest").join(per, "digest", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     return out

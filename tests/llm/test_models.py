@@ -215,6 +215,19 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_null_ids(spark):
+    given = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.0, 1.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, None), (4, [0.0, 0.0]), (None, [-1.0, 0.0]), (9, [-1.0, -1.0]), (8, [-1.0, -1.0]), (9, [1.0, -1.0])]
+    rows = [(i, v, 1, "x") for i, v in given]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, digest string").repartition(3)).collect()
+    fine = [k for k, (_, v) in enumerate(given) if v and any(v)]
+    unit = {k: np.array(given[k][1]) / np.linalg.norm(given[k][1]) for k in fine}
+    links = [(a, b) for a in fine for b in fine if a != b and unit[a] @ unit[b] >= 0.93]
+    comp = brute.united(range(len(given)), links)
+    low = {c: min((given[k][0] for k in range(len(given)) if comp[k] == c and given[k][0] is not None), default=None) for c in comp.values()}
+    want = [(i, sum(a == k for a, _ in links), low[comp[k]], i == low[comp[k]]) for k, (i, _) in enumerate(given)]
+    assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in out))) == sorted(map(str, want))
+
+
 def test_table_plan_keeps_recall_at_every_size():
     for largest in (1, 1000, 10**5, 10**9):
         bits, tables = embeddings.plan(largest)
