@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions import json_text
+
 # fixed value: the name space of chunk ids
 CHUNKS = uuid.UUID("59b00b86-86ac-5690-b5e5-af5ffc2604d1")
 
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 units, as 8 hexadecimal digits."""
-    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
-    full = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.lower(F.lpad(F.hex(full), 8, "0"))
+    return json_text.fnv1a_texts(text)
 
 
 def uuid5(name: Column, space: uuid.UUID = CHUNKS) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -34,3 +37,116 @@ def canonical(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(one)
+
+
+def _loaded(text: str | None):
+    """The value of a JSON text; None for null and for what isn't JSON."""
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
+def _paths(value, names: frozenset[str], root: str) -> Iterator[str]:
+    """Paths of the keys of names at any depth, in the order in which they stand; what is below one isn't looked at."""
+    todo = [(root, value, False)]
+    while todo:
+        at, x, found = todo.pop()
+        if found:
+            yield at
+        elif isinstance(x, dict):
+            todo += [(f"{at}.{k}", child, k in names) for k, child in reversed(x.items())]
+        elif isinstance(x, list):
+            todo += [(f"{at}.{i}", child, False) for i, child in reversed(list(enumerate(x)))]
+
+
+def key_paths(names: list[str], root: str = "workspace") -> Callable[[Column], Column]:
+    """A function of a column of JSON texts: the paths, with points, of keys of names at any depth; none for null and for what isn't JSON."""
+    wanted = frozenset(names)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def paths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(_paths(_loaded(t), wanted, root)))
+
+    return paths
+
+
+@F.pandas_udf(StringType())
+def without_empty(texts: pd.Series) -> pd.Series:
+    """A JSON text with null for each empty text, at any depth; null for what isn't JSON."""
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items()}
+        return [clean(v) for v in x] if isinstance(x, list) else None if x == "" else x
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(clean(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def with_fields(fields: dict) -> Callable[[Column], Column]:
+    """A function of a column of JSON objects: with fields, in the place of those of the same name or behind the others; null for what is no object."""
+
+    @F.pandas_udf(StringType())
+    def changed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            found = _loaded(text)
+            return json.dumps(found | fields, ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
+
+        return texts.map(one)
+
+    return changed
+
+
+def _plain(value) -> str:
+    """JSON with sorted keys (by UTF-16 units) and no spaces; whole numbers without a fraction, as browsers write them."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_plain(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_plain, value)) + "]"
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def fnv1a(texts: list[str]) -> list[str]:
+    """32-bit FNV-1a over the UTF-16 units of each text, as 8 hexadecimal digits; all texts take one unit at a time together."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    order = np.argsort([-len(u) for u in units], kind="stable")
+    sizes = np.array([len(units[i]) for i in order])
+    flat = np.concatenate([units[i] for i in order]) if len(units) else np.zeros(0, "<u2")
+    first = np.cumsum(sizes) - sizes
+    h = np.full(len(units), 0x811C9DC5, np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        live = int(np.searchsorted(-sizes, -k, "left"))  # texts longer than k
+        h[:live] = ((h[:live] ^ flat[first[:live] + k].astype(np.uint64)) * np.uint64(0x01000193)) & np.uint64(0xFFFFFFFF)
+    out = [""] * len(units)
+    for i, x in zip(order, h.tolist(), strict=True):
+        out[i] = f"{x:08x}"
+    return out
+
+
+@F.pandas_udf(StringType())
+def digest_without_integrity(texts: pd.Series) -> pd.Series:
+    """FNV-1a of the canonical form of JSON objects without their field integrity; null for what is no object."""
+    found = [_loaded(t) for t in texts]
+    there = [i for i, x in enumerate(found) if isinstance(x, dict)]
+    digests = fnv1a([_plain({k: v for k, v in found[i].items() if k != "integrity"}) for i in there])
+    out = pd.Series([None] * len(found), dtype=object)
+    for i, d in zip(there, digests, strict=True):
+        out[i] = d
+    return out
+
+
+@F.pandas_udf(StringType())
+def fnv1a_texts(texts: pd.Series) -> pd.Series:
+    """FNV-1a of texts; null for null."""
+    there = texts.notna()
+    out = pd.Series([None] * len(texts), dtype=object)
+    out[there.to_numpy()] = fnv1a(texts[there].tolist())
+    return out

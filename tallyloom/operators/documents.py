@@ -110,3 +110,38 @@ def structuring(asked: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("max_score", F.lit(0.0)) <= 0).alias("without_score"), F.bool_and(~blank("answer_key")).alias("has_answer_key"),
     )
     return out.withColumn("codes", F.filter(F.array(F.when(F.col("without_score") > 0, "MISSING_SCORE"), F.when(~F.col("has_answer_key"), "MISSING_ANSWER_KEY")), lambda x: x.isNotNull()))
+
+
+#: Confidence of a reading below which it is low.
+CONFIDENCE = 0.6
+
+
+def structured(documents: DataFrame, asked: DataFrame, students: DataFrame) -> DataFrame:
+    """Per exam of documents(exam, confidence, broken_tables, warnings array): what structuring() counts, students, repeated student numbers, codes of missing information, warnings.
+
+    asked as in structuring(), students(exam, student_no). Exams without questions or students have codes for that; confidence counts as 0 where there is none. warnings are the
+    document's and then the codes. Repeated numbers are sorted, each once; blank ones don't count.
+    """
+    number = F.trim(F.coalesce("student_no", F.lit("")))
+    by_number = students.groupBy("exam", number.alias("no")).agg(F.count("*").alias("n"))
+    of_exam = by_number.groupBy("exam").agg(F.sum("n").alias("students"), F.array_sort(F.collect_list(F.when((F.col("no") != "") & (F.col("n") > 1), F.col("no")))).alias("repeated"))
+    out = documents.join(structuring(asked).drop("codes"), "exam", "left").join(of_exam, "exam", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    codes = [
+        F.when(zero("questions") == 0, "MISSING_QUESTION"), F.when(zero("without_score") > 0, "MISSING_SCORE"), F.when(~F.coalesce("has_answer_key", F.lit(True)), "MISSING_ANSWER_KEY"),
+        F.when(zero("students") == 0, "MISSING_STUDENT"), F.when(zero("broken_tables") > 0, "BROKEN_TABLE"), F.when(F.isnan(confidence) | (confidence < CONFIDENCE), "LOW_CONFIDENCE"),
+    ]
+    codes = F.filter(F.array(*codes), lambda x: x.isNotNull())
+    return out.select(
+        "exam", confidence.alias("confidence"), zero("questions").alias("questions"), F.coalesce("total", F.lit(0.0)).alias("total"), zero("blank_texts").alias("blank_texts"), zero("without_score").alias("without_score"),
+        F.coalesce("has_answer_key", F.lit(True)).alias("has_answer_key"), zero("students").alias("students"), F.coalesce("repeated", F.array().cast("array<string>")).alias("repeated"), codes.alias("codes"),
+        F.concat(F.coalesce("warnings", F.array().cast("array<string>")), codes).alias("warnings"),
+    )
+
+
+def mapping(rows: DataFrame) -> DataFrame:
+    """Per exam of links(): how many outcomes its questions have, and how many questions have no outcome with a code."""
+    coded = rows.groupBy("exam", "question").agg(F.bool_or(F.col("code") != "").alias("coded"))
+    counts = coded.groupBy("exam").agg(F.count("*").alias("questions"), F.count_if(~F.col("coded")).alias("unmapped"))
+    return counts.join(rows.groupBy("exam").agg(F.countDistinct("outcome").alias("outcomes")), "exam")

@@ -91,14 +91,37 @@ def cohort_mismatch(components: DataFrame, required: list[str]) -> DataFrame:
     return seen.select("class", "student", F.array_sort(F.array_except(F.array(*[F.lit(r) for r in required]), "seen")).alias("missing")).where(F.size("missing") > 0)
 
 
-def component_results(components: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Average, weight and weighted contribution of each component of each class."""
+def component_results(components: DataFrame, weights: dict[str, float], given: DataFrame | None = None) -> DataFrame:
+    """Average, weight and weighted contribution of each component of each class.
+
+    given(class, component, average): averages that reports bring along; they count where they are, else the mean of the students. A component that has a given average and no
+    students has 0 of them.
+    """
     weight = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(v))])[F.col("component")]
     average = F.sum(F.col("total").cast(DECIMAL)).cast("double") / F.count("*")
     out = components.groupBy("class", "component").agg(average.alias("average"), F.count("*").alias("students"))
+    if given is not None:
+        brought = given.where("average is not null").groupBy("class", "component").agg(F.max("average").alias("_given"))
+        out = out.join(brought, ["class", "component"], "full").select("class", "component", F.coalesce("_given", "average").alias("average"), F.coalesce("students", F.lit(0)).alias("students"))
     return out.withColumn("weight", weight).withColumn("contribution", F.col("average") * F.col("weight")).withColumn("most", 100 * F.col("weight"))
 
 
+def reports(exams: DataFrame, questions: DataFrame, students: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The head of each exam's report: exams(exam, component, profile) with component_weight (of profiles(profile, weights); null without a profile), counts, exam_max, class_average, rate.
+
+    questions(exam, max_score), students(exam, total). Exams without students have no average, those without points the rate 0. The average is rounded to two places, its rate isn't.
+    """
+    asked = questions.groupBy("exam").agg(F.count("*").alias("question_count"), F.sum(F.col("max_score").cast(DECIMAL)).cast("double").alias("exam_max"))
+    there = students.groupBy("exam").agg(F.count("*").alias("student_count"), (F.sum(F.col("total").cast(DECIMAL)).cast("double") / F.count("*")).alias("average"))
+    known = F.broadcast(profiles.select("profile", "weights").dropDuplicates(["profile"]))  # a fixed dimension
+    rows = exams.join(known, "profile", "left").join(asked, "exam", "left").join(there, "exam", "left")
+    most = F.coalesce("exam_max", F.lit(0.0))
+    return rows.select(
+        "exam", "component", "profile", F.try_element_at("weights", F.col("component")).alias("component_weight"), F.coalesce("question_count", F.lit(0)).alias("question_count"), F.coalesce("student_count", F.lit(0)).alias("student_count"),
+        most.alias("exam_max"), F.round("average", 2).alias("class_average"), F.when(F.col("average").isNotNull(), F.coalesce(F.try_divide("average", most), F.lit(0.0))).alias("rate"),
+    )
+
+
 def anomalies(questions: DataFrame, near: float = 0.05) -> DataFrame:
     """Questions that nearly nobody or nearly everybody solved, and those whose rate equals another one's in the exam."""
     w = Window.partitionBy("exam", "rate")

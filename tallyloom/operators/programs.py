@@ -36,6 +36,23 @@ def with_program(exams: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(dim), ["course_key", "grade_key"], "left").drop("course_key", "grade_key")
 
 
+def request_issues(requests: DataFrame) -> DataFrame:
+    """exam, code of what stops requests(exam, course, component, profile, questions, students, component_analyses) before any analysis; the first of these only:
+
+    COMPONENT (not written, listening, speaking or general; a blank one is written), UNKNOWN_PROFILE, FOREIGN_PROFILE (not the course's), NEEDS_LANGUAGE_COURSE (a course without a
+    profile has written exams only), NO_COMPONENT_ANALYSES (general), NO_QUESTIONS and NO_STUDENTS (all but general). The last three columns count what is there.
+    """
+    rows = with_profile(requests.withColumn("asked", F.trim(F.coalesce("profile", F.lit("")))).drop("profile"))
+    component = F.coalesce(text.blank_to_null(F.col("component")), F.lit("written"))
+    general, there = component == "general", lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    code = (
+        F.when(~component.isin("written", "listening", "speaking", "general"), "COMPONENT").when((F.col("asked") != "") & ~F.col("asked").isin(list(PROFILES)), "UNKNOWN_PROFILE")
+        .when((F.col("asked") != "") & ~F.coalesce(F.col("profile") == F.col("asked"), F.lit(False)), "FOREIGN_PROFILE").when(F.col("profile").isNull() & (component != "written"), "NEEDS_LANGUAGE_COURSE")
+        .when(general & ~there("component_analyses"), "NO_COMPONENT_ANALYSES").when(~general & ~there("questions"), "NO_QUESTIONS").when(~general & ~there("students"), "NO_STUDENTS")
+    )
+    return rows.select("exam", code.alias("code")).where("code is not null")
+
+
 def foreign_codes(links: DataFrame, exams: DataFrame) -> DataFrame:
     """exam, question, code of links(exam, question, outcome, code) whose code belongs to another course's program."""
     known = with_program(exams).select("exam", "program", "outcome_prefix")
