@@ -89,14 +89,14 @@ def without_empty(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def with_fields(fields: dict) -> Callable[[Column], Column]:
-    """A function of a column of JSON objects: with fields, in the place of those of the same name or behind the others; null for what is no object."""
+def with_fields(fields: dict, defaults: dict | None = None) -> Callable[[Column], Column]:
+    """A function of a column of JSON objects: with fields, in the place of those of the same name or behind the others, and with the defaults that they lack; null for what is no object."""
 
     @F.pandas_udf(StringType())
     def changed(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             found = _loaded(text)
-            return json.dumps(found | fields, ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
+            return json.dumps((defaults or {}) | found | fields, ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
 
         return texts.map(one)
 

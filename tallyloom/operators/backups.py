@@ -51,23 +51,20 @@ def _is_object(variant: Column) -> Column:
     return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
 
 
-def _package(head: dict[str, Column], workspace: Column) -> Column:
-    """A package's JSON: head's fields, then the workspace's text and the integrity of all."""
+def _packed(rows: DataFrame, head: dict[str, Column], workspace: Column) -> DataFrame:
+    """rows with package: head's fields, then the workspace's text and the integrity of all. Null where the workspace is."""
     first = F.regexp_replace(F.to_json(F.struct(*[c.alias(k) for k, c in head.items()])), r"\}$", "")
-    body = F.concat(first, F.lit(',"workspace":'), workspace)
-    seal = F.concat(F.lit(f',"integrity":{{"algorithm":"{ALGORITHM}","digest":"'), json_text.digest_without_integrity(F.concat(body, F.lit("}"))), F.lit('"}}'))
-    return F.concat(body, seal)
+    body = rows.withColumn("_body", F.concat(first, F.lit(',"workspace":'), workspace, F.lit("}")))
+    sealed_ = body.withColumn("_digest", json_text.digest_without_integrity("_body"))
+    seal = F.concat(F.lit(f',"integrity":{{"algorithm":"{ALGORITHM}","digest":"'), F.col("_digest"), F.lit('"}}'))
+    return sealed_.withColumn("package", F.concat(F.regexp_replace("_body", r"\}$", ""), seal)).drop("_body", "_digest")
 
 
 def packages(spaces: DataFrame, created: Column, format: str = FORMAT, version: int = CURRENT) -> DataFrame:
     """record_id, package of spaces(record_id, workspace as a JSON object): keys that a workspace must have are added empty. Null for what is no object."""
     empty = {k: {} if k in ("teacherContext", "reportTexts", "approvals", "timestamps") else [] for k in KEYS}
-    space = json_text.with_fields({"schemaVersion": version})("workspace")
-    for key, value in empty.items():
-        there = F.try_variant_get(F.try_parse_json("workspace"), f"$.{key}", "variant").isNotNull()
-        space = F.when(there, space).otherwise(F.regexp_replace(space, r"\}$", f',"{key}":{"{}" if value == {} else "[]"}}}'))
-    head = {"format": F.lit(format), "schemaVersion": F.lit(version), "createdAt": created}
-    return spaces.select("record_id", _package(head, space).alias("package"))
+    space = json_text.with_fields({"schemaVersion": version}, empty)("workspace")
+    return _packed(spaces, {"format": F.lit(format), "schemaVersion": F.lit(version), "createdAt": created}, space).select("record_id", "package")
 
 
 def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDDEN) -> DataFrame:
@@ -76,7 +73,8 @@ def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDD
     In this order: unreadable (no JSON object), foreign (another format), unversioned, newer, unsupported, unsealed (no integrity, or of another kind), broken (its digest), no-workspace,
     mismatch (the workspace's version is another), incomplete (a key that it must have), private (the first forbidden key, at any depth).
     """
-    out = rows.withColumn("_v", F.try_parse_json("package"))
+    columns = {"_v": F.try_parse_json("package"), "_digest": json_text.digest_without_integrity("package"), "_private": json_text.key_paths(forbidden, "")("package")}
+    out = rows.withColumns(columns)
     get = lambda path, kind="string": F.try_variant_get("_v", path, kind)
     whole = F.schema_of_variant(get("$.schemaVersion", "variant")) == "BIGINT"
     version = F.when(whole, get("$.schemaVersion", "bigint"))
@@ -84,16 +82,15 @@ def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDD
     digest = F.when(F.schema_of_variant(get("$.integrity.digest", "variant")) == "STRING", get("$.integrity.digest"))
     gone = F.filter(F.array(*[F.when(get(f"$.workspace.{k}", "variant").isNull(), F.lit(k)) for k in KEYS]), lambda x: x.isNotNull())
     # a key counts wherever it stands; the package's own fields have none of these names
-    private = json_text.key_paths(forbidden, "")("package")
-    private = F.filter(F.transform(private, lambda p: F.substring(p, 2, 10_000)), lambda p: p.startswith("workspace."))
+    private = F.filter(F.transform("_private", lambda p: F.substring(p, 2, 10_000)), lambda p: p.startswith("workspace."))
     fine = lambda c: F.coalesce(c, F.lit(False))
     status = (
         F.when(~_is_object(F.col("_v")), "unreadable").when(~fine(get("$.format") == format), "foreign").when(version.isNull(), "unversioned").when(version > CURRENT, "newer").when(version < 1, "unsupported")
-        .when(~fine((get("$.integrity.algorithm") == ALGORITHM) & digest.isNotNull()), "unsealed").when(~fine(digest == json_text.digest_without_integrity("package")), "broken").when(~_is_object(get("$.workspace", "variant")), "no-workspace")
+        .when(~fine((get("$.integrity.algorithm") == ALGORITHM) & digest.isNotNull()), "unsealed").when(~fine(digest == F.col("_digest")), "broken").when(~_is_object(get("$.workspace", "variant")), "no-workspace")
         .when(~fine(inner == version), "mismatch").when(F.size(gone) > 0, "incomplete").when(F.size(private) > 0, "private").when(version < CURRENT, "old").otherwise(F.lit("ok"))
     )
     detail = F.when(F.col("status") == "incomplete", gone[0]).when(F.col("status") == "private", private[0])
-    return out.withColumn("status", status).withColumn("detail", detail).drop("_v")
+    return out.withColumn("status", status).withColumn("detail", detail).drop("_v", "_digest", "_private")
 
 
 def brought_up(rows: DataFrame, converted: Column, format: str = FORMAT) -> DataFrame:
@@ -101,13 +98,13 @@ def brought_up(rows: DataFrame, converted: Column, format: str = FORMAT) -> Data
 
     converted is the time of the migration, as a text.
     """
-    seen = opened(rows, format)
-    old = F.try_parse_json("package")
-    space = json_text.with_fields({"schemaVersion": CURRENT})(F.to_json(F.try_variant_get(old, "$.workspace", "variant")))
+    seen = opened(rows.select("record_id", "package"), format).withColumnRenamed("package", "_before")
+    seen = seen.withColumn("_old", F.when(F.col("status") == "old", F.try_parse_json("_before")))
+    seen = seen.withColumn("_space", json_text.with_fields({"schemaVersion": CURRENT})(F.to_json(F.try_variant_get("_old", "$.workspace", "variant"))))
     note = F.to_json(F.struct(F.lit(1).alias("sourceVersion"), F.lit(CURRENT).alias("targetVersion"), converted.alias("convertedAt")))
-    space = F.concat(F.regexp_replace(space, r"\}$", ""), F.lit(',"migration":'), note, F.lit("}"))
-    head = {"format": F.lit(format), "schemaVersion": F.lit(CURRENT), "createdAt": F.try_variant_get(old, "$.createdAt", "string")}
-    return seen.select("record_id", F.when(F.col("status") == "old", _package(head, space)).when(F.col("status") == "ok", F.col("package")).alias("package"), "status")
+    space = F.concat(F.regexp_replace("_space", r"\}$", ""), F.lit(',"migration":'), note, F.lit("}"))
+    head = {"format": F.lit(format), "schemaVersion": F.lit(CURRENT), "createdAt": F.try_variant_get("_old", "$.createdAt", "string")}
+    return _packed(seen, head, space).select("record_id", F.when(F.col("status") == "old", F.col("package")).when(F.col("status") == "ok", F.col("_before")).alias("package"), "status")
 
 
 def saved(rows: DataFrame, path: str, format: str = FORMAT) -> DataFrame:
