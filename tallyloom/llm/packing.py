@@ -59,22 +59,23 @@ def tokenised(docs: DataFrame, name: str, end: int = END) -> DataFrame:
 
 
 class Index:
-    """BM25 index of one shard's documents."""
+    """BM25 index of one shard's documents. ended: their last ids are end tokens, which all have, and are no terms."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        sizes = np.array([len(d) for d in docs], np.int64)
-        flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+    def __init__(self, docs: list[np.ndarray], ended: bool = False):
+        self.bodies = bodies = [d[:-1] for d in docs] if ended else docs
+        sizes = np.array([len(d) for d in bodies], np.int64)
+        flat, owner = np.concatenate(bodies), np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         term, doc = flat[order], owner[order]
-        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])[: len(term)])
         times = np.diff(np.append(new, len(term))).astype(np.float32)
         self.doc = doc[new]
         term = term[new]
-        n = int(flat.max()) + 1
+        n = int(flat.max()) + 1 if len(flat) else 0
         self.begin = np.searchsorted(term, np.arange(n + 1))
         self.df = np.diff(self.begin)
         self.idf = np.log1p((len(docs) - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * sizes / sizes.mean())).astype(np.float32)
+        norm = (K1 * (1 - B + B * sizes / max(1, sizes.mean()))).astype(np.float32)
         self.weight = self.idf[term] * times * np.float32(K1 + 1) / (times + norm[self.doc])
         # a term that COMMON of the documents have is a row of weights, so at most 4 / COMMON bytes a posting
         often = np.flatnonzero(self.df > COMMON * len(docs))
@@ -87,7 +88,7 @@ class Index:
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share a term with the seed, best first; ties by position. They are sorted by the BEST best at first, then all."""
-        terms = np.unique(self.docs[seed])
+        terms = np.unique(self.bodies[seed])
         terms = terms[self.df[terms] > 1]
         if not len(terms):
             return
@@ -106,9 +107,9 @@ class Index:
             yield from some[np.argsort(-score[some], kind="stable")].tolist()
 
 
-def in_order(docs: list[np.ndarray], length: int, room: int) -> Iterator[int]:
-    """The documents in the order in which they fill windows; room is what the first window has left."""
-    index = Index(docs)
+def in_order(docs: list[np.ndarray], length: int, room: int, ended: bool = False) -> Iterator[int]:
+    """The documents in the order in which they fill windows; room is what the first window has left. ended as in Index."""
+    index = Index(docs, ended)
     after = 0
     seed = -1
     while True:
@@ -142,7 +143,7 @@ def pack_tokens(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def shard() -> Iterator[list]:
             nonlocal sequence, filled, tail
-            for i in in_order(docs, length, length - filled):
+            for i in in_order(docs, length, length - filled, ended=True):
                 ids, at = docs[i], 0
                 while at < len(ids):
                     size = min(length - filled, len(ids) - at)

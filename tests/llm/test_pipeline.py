@@ -41,7 +41,7 @@ def test_stages(spark, folder):
 def test_run_and_registration(spark, folder):
     assert "pipeline" in __spark_entry__.queries()
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 

@@ -298,3 +298,11 @@ def test_empty_tables(spark):
     assert passages.repeated(none).count() == 0 and passages.without_copies(none).count() == 0
     assert packing.pack(none, NAME).count() == 0 and bpe.round_trip(none, NAME).count() == 0
     assert fingerprints.compared_with_edits(none).count() == 0
+
+
+def test_only_documents_with_a_term_in_common_are_neighbours():
+    docs = [np.array(x) for x in ([5, 6, 2], [2], [5, 7, 2], [8, 2], [6, 5, 9, 2], [2])]
+    index = packing.Index(docs, ended=True)
+    assert sorted(index.neighbours(0)) == [0, 2, 4] and list(index.neighbours(1)) == list(index.neighbours(3)) == []
+    assert sorted(packing.in_order(docs, 4, 4, ended=True)) == list(range(6))
+    assert sorted(packing.in_order([np.array([2])] * 3, 4, 4, ended=True)) == [0, 1, 2]
