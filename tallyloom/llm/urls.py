@@ -2,8 +2,10 @@
 
 A transaction is the set of a labelled page's URL tokens, as far as they occur in enough blocked pages, and its label; of tokens that occur in the
 same labelled pages the least one stands for all. FP-growth's work grows with the number of subsets, so a transaction has at most 2 * GROUP
-tokens: a longer one is cut into groups of GROUP tokens, and each two groups are a transaction. Each set of one or two tokens lies
-within two groups, and so do all sets in a URL of up to 2 * GROUP tokens; of longer URLs larger sets are found if they lie within two groups. A
+tokens: a longer one is cut into groups of GROUP tokens, and each two groups are a transaction. So all sets of one or two tokens are found. Where URLs are
+cut, larger sets are grown from FP-growth's pairs, one token at a time, and counted in all labelled pages, until none is left: a set is grown only if all its
+subsets occur in enough blocked pages, none is in the same pages as a subset of its own and none is in blocked pages alone, since otherwise a
+smaller set says as much. So no rule is lost, however long URLs are. A
 page of k + 1 groups counts a set at most k times, so a rule of confidence c has one of at least c / (c + k (1 - c)) among transactions: those
 rules are counted again in all labelled pages. Those with enough support and confidence stay, without those that a rule of fewer tokens implies. An inverted index from token to rules finds the
 rules whose tokens a URL all has: the page is blocked if there is one. Fixed rules (host, path prefix) come before:
@@ -87,6 +89,41 @@ def transactions(baskets: DataFrame, group: int = GROUP) -> DataFrame:
     return cut.select(F.explode(F.when(last > 2, pairs).otherwise(F.array("items"))).alias("items"), *rest)
 
 
+def _counted(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """Staged candidates(items, ...) with rule_id, pages and blocked: in how many of sets(set_id, items, pages, blocked) all of a candidate's items are."""
+    named = stage(candidates.withColumn("rule_id", _id(F.col("items"))))
+    counts = _subsets(_index(named), sets.select("set_id", "items")).join(sets.select("set_id", "pages", "blocked"), "set_id")
+    return stage(named.join(counts.groupBy("rule_id").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked")), "rule_id"))
+
+
+def _without_one(items: Column) -> Column:
+    """All subsets of a sorted array that lack one of its items."""
+    return F.transform(F.sequence(F.lit(1), F.size(items)), lambda i: F.concat(F.slice(items, F.lit(1), i - 1), F.slice(items, i + 1, F.size(items))))
+
+
+def grown(pairs: DataFrame, singles: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """items of the sets of three tokens or more that can be rules that no smaller set implies, grown from pairs(items) of singles(items, pages) level by level.
+
+    All candidates are counted in sets(set_id, items, pages, blocked). A level's candidates join two sets of the level before that differ in their last token.
+    """
+    below, out = singles.select("items", "pages"), None
+    level = _counted(pairs.select("items").distinct(), sets)
+    while True:
+        subsets = level.select("rule_id", F.explode(_without_one(F.col("items"))).alias("sub")).join(below.select(F.col("items").alias("sub"), F.col("pages").alias("sub_pages")), "sub")
+        free = subsets.groupBy("rule_id").agg(F.count("*").alias("have"), F.min("sub_pages").alias("fewest"))
+        level = level.join(free, "rule_id").where((F.col("have") == F.size("items")) & (F.col("pages") < F.col("fewest")) & (F.col("blocked") >= least))
+        level = stage(level.select("items", "pages", "blocked"))
+        size = level.select(F.size("items")).limit(1).collect()
+        if not size:
+            return out
+        if size[0][0] > 2:
+            out = level.select("items") if out is None else out.unionByName(level.select("items"))
+        below = level.where("blocked < pages")  # what is only in blocked pages is as sure as can be
+        head, last = F.slice("items", F.lit(1), F.size("items") - 1), F.element_at("items", -1)
+        a, b = below.select(head.alias("head"), last.alias("a")), below.select(head.alias("head"), last.alias("b"))
+        level = _counted(a.join(b, "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items")), sets)
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, count: int = COUNT) -> DataFrame:
     """Rules (rule_id, items, support, confidence) for blocking, from pages(page_id, url) and labels(page_id, block boolean).
 
@@ -114,6 +151,10 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     c, k = min(1.0, max(confidence, lift * blocked / total)), max(1, math.ceil(longest / GROUP) - 1)
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / many), minConfidence=c / (c + k * (1 - c)) * (1 - 1e-9)).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1) == _BLOCK).select(F.array_sort("antecedent").alias("items"))
+    if longest > 2 * GROUP:
+        pairs = model.freqItemsets.where((F.size("items") == 3) & F.array_contains("items", _BLOCK)).select(F.array_sort(F.array_remove("items", _BLOCK)).alias("items"))
+        larger = grown(pairs, item.select(F.array("item").alias("items"), "pages"), frequent, least)
+        found = found if larger is None else found.unionByName(larger).distinct()
     found = stage(found.withColumn("rule_id", _id(F.col("items"))))
     counts = _subsets(_index(found), sets.select("set_id", "items")).join(sets, "set_id").groupBy("rule_id").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
     sure = F.col("blocked") / F.col("pages")

@@ -178,6 +178,34 @@ def test_mined_rules_match_brute_force(spark):
     assert all(x.verdict == ("allow" if best[x.page_id] is None else "block") for x in judged)
 
 
+def test_rules_of_three_tokens_in_long_urls(spark):
+    r = np.random.default_rng(21)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(40)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 8 == 0
+        path = [*r.choice(words[3:], int(r.integers(7, 13)), replace=False), *(words[:3] if bad else r.permutation(words[:3])[:2])]
+        rows.append((i, "http://site.net/" + "/".join(r.permutation(path))))
+        labels.append((i, bad))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = urls.mine(pages, spark.createDataFrame(labels, "page_id long, block boolean"))
+    judged = {x.page_id: x.verdict for x in urls.judge(pages, rules, []).collect()}
+    assert all(judged[i] == "block" for i, bad in labels if bad)
+    assert sorted(f"p={w}" for w in words[:3]) in [x["items"] for x in rules.collect()]
+
+
+def test_rules_in_long_urls_match_brute_force(spark):
+    r = np.random.default_rng(22)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(32)]
+    rows = [(i, "http://" + "/".join(["x.net", *r.choice(words, int(r.integers(12, 30)), replace=False)])) for i in range(60)]
+    labels = [(i, bool(words[0] in u and words[1] in u and words[2] in u or r.random() < 0.15)) for i, u in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    tokens = {x.page_id: x.items for x in pages.select("page_id", urls.tokens(F.col("url")).alias("items")).collect()}
+    got = {tuple(x["items"]): x.confidence for x in urls.mine(pages, spark.createDataFrame(labels, "page_id long, block boolean"), 0.12, 0.7, 1.2).collect()}
+    want = plain_rules([(i, tokens[i]) for i, _ in rows], labels, 0.12, 0.7, 1.2, urls.COUNT)
+    assert {k: v for k, v in got.items() if len(k) <= 3} == pytest.approx(want) and len(want) > 1
+
+
 def test_long_urls_and_few_labels(spark):
     r = np.random.default_rng(13)
     words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(200)]
