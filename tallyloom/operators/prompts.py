@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import bands
-from tallyloom.operators import textguard
+from tallyloom.operators import ordered, textguard
 
 # fixed values: prompts in a request, characters of one, tokens of an answer
 BATCH, CHARACTERS, TOKENS = 16, 8000, 1024
@@ -59,6 +59,44 @@ def answered(prompts: DataFrame, model: Callable[[list[tuple[str, str]]], list[s
     return fine.select("name", "system", "user").mapInPandas(run, "name string, answer string")
 
 
+def queued(prompts: DataFrame, batch: int = BATCH, cap: int = TOKENS) -> DataFrame:
+    """name, system, user, batch and place (both from 0) and batch_tokens of prompts(name, system, user, tokens) that rejected() lets through.
+
+    The queue is in the order of name and user; each batch but the last is full, whatever the partitions. batch_tokens is what the batch may answer with: the most that one of it asks for, up to
+    cap. The numbering is of all rows, without one task for them.
+    """
+    why = rejected(prompts.select("name", "system", "user")).select("name")
+    fine = prompts.join(why, "name", "left_anti").select("name", "system", "user", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    rows = ordered.running(fine, [], ["name", "user", "system", "tokens"], F.lit(1), "n").withColumn("n", F.col("n") - 1)
+    rows = rows.withColumns({"batch": F.floor(F.col("n") / batch), "place": (F.col("n") % batch).cast("int")})
+    most = F.max("tokens").over(Window.partitionBy("batch"))
+    return rows.select("name", "system", "user", "batch", "place", F.least(F.lit(cap), most).alias("batch_tokens"))
+
+
+def flushed(queue: DataFrame, model: Callable[[list[tuple[str, str]], int], list[str]]) -> DataFrame:
+    """name, batch, place, answer, error of queued() prompts: the model gets each batch in one call, with its tokens, and must answer each of its prompts in their order.
+
+    A call that fails, or answers another number of prompts, leaves its batch without answers and with the error; other batches have theirs.
+    """
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        try:
+            said, error = list(model(list(zip(rows["system"], rows["user"], strict=True)), int(rows["batch_tokens"].iloc[0]))), None
+            if len(said) != len(rows):
+                raise ValueError(f"{len(said)} answers for {len(rows)} prompts")
+        except Exception as failure:  # of one batch: told in its rows
+            said, error = [None] * len(rows), f"{type(failure).__name__}: {failure}"[:200]
+        return pd.DataFrame({"name": rows["name"], "batch": rows["batch"], "place": rows["place"], "answer": said, "error": error})
+
+    return queue.groupBy("batch").applyInPandas(ask, f"name {dict(queue.dtypes)['name']}, batch long, place int, answer string, error string")
+
+
+def returned(owners: DataFrame, answers: DataFrame) -> DataFrame:
+    """owners(owner, name) with answer and error by name: owners of prompts that weren't sent or answered have null; rounds' counts are a groupBy away."""
+    return owners.join(answers.select("name", "answer", "error"), "name", "left")
+
+
 def published(owners: DataFrame, answers: DataFrame, hits: DataFrame, refusal: str) -> DataFrame:
     """owners(name, rate, codes, component, description) with answer and reason: published, no result, no source, refused, prescribes or scope.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom import staging
 from tallyloom.functions import json_text
-from tallyloom.operators import backups, documents, measure, programs
+from tallyloom.operators import backups, documents, measure, programs, prompts
 from tallyloom.plans.registry import Registry, table
+from tallyloom.sources import providers
 from tallyloom.sources.contracts import CONTRACTS
 
 query = Registry()
@@ -106,3 +107,26 @@ def report_heads(spark: SparkSession, d: str) -> DataFrame:
     asked = line.select(F.col("l_orderkey").alias("exam"), F.col("l_quantity").alias("max_score"))
     there = line.where("l_tax > 0.02").select(F.col("l_orderkey").alias("exam"), F.floor(F.col("l_quantity") * (1 - F.col("l_tax"))).alias("total"))
     return measure.reports(exams, asked, there, programs.profiles(spark)).withColumn("rate", F.round("rate", 9))
+
+
+@query("with n as (select *, row_number() over (order by name) - 1 as n from (select cast(p_partkey as varchar) as name, p_name, p_size from part where p_brand <> 'Brand#1')), b as (select *, n // 16 as batch, least(30, max(p_size) over (partition by n // 16)) as most from n), a as (select name, batch, cast(n % 16 as integer) as place, case when most = 29 then null else p_name || '/' || most end as answer from b) select p_brand as owner, cast(p_partkey as varchar) as name, batch, place, answer from part left join a on a.name = cast(p_partkey as varchar)")
+def prompt_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Parts are prompts of their brands, in batches of 16; those of one brand are blank, and the model fails batches that may answer with 29 tokens."""
+
+    def model(pairs: list[tuple[str, str]], tokens: int) -> list[str]:
+        return [] if tokens == 29 else [f"{user}/{tokens}" for _, user in pairs]
+
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("owner"), F.lit("s").alias("system"), F.when(F.col("p_brand") == "Brand#1", " ").otherwise(F.col("p_name")).alias("user"), F.col("p_size").alias("tokens"))
+    answers = prompts.flushed(prompts.queued(parts.drop("owner"), cap=30), model)
+    return prompts.returned(parts.select("owner", "name"), answers).join(answers.select("name", "batch", "place"), "name", "left").select("owner", "name", "batch", "place", "answer")
+
+
+@query("with n as (select l_orderkey, count(*) as lines from lineitem group by 1) select o_orderkey || suffix as path, provider, case when suffix = '.html' then 1 else 0 end as tables, case when suffix = '.html' then 3 + 3 * lines else 0 end as cells, warning from (select o_orderkey, lines, case o_orderstatus when 'F' then ['.html', 'page', null] when 'O' then ['.xls', 'old-sheet', 'SAVE_AS_XLSX'] else case when o_custkey % 2 = 0 then ['.PNG', 'image', 'NEEDS_OCR'] else ['.csv', null, 'NO_PROVIDER'] end end as x, x[1] as suffix, x[2] as provider, x[3] as warning from orders join n on l_orderkey = o_orderkey)")
+def provided_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Files of orders: pages with a table of their lines, and files that no provider can read."""
+    cell = lambda x: F.concat(F.lit("<td> "), x.cast("string"), F.lit("</td>"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("<tr>"), cell(F.col("l_linenumber")), cell(F.col("l_partkey")), F.lit("<td></td>"), cell(F.col("l_quantity")), F.lit("</tr>"))).alias("rows"))
+    page = F.concat(F.lit("<p>x</p><table><tr><th>No</th><th>Kod</th><th></th><th>Puan</th></tr>"), F.array_join("rows", ""), F.lit("</table>"))
+    suffix = F.when(F.col("o_orderstatus") == "F", ".html").when(F.col("o_orderstatus") == "O", ".xls").when(F.col("o_custkey") % 2 == 0, ".PNG").otherwise(F.lit(".csv"))
+    files = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.col("o_orderkey").cast("string"), suffix).alias("path"), page.cast("binary").alias("content"))
+    return providers.documents(providers.PROVIDERS.cells(files))

@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: header of exam files, names within office files, size limits
@@ -37,18 +37,22 @@ DOCUMENT = (
 
 
 def exam_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of exam files: number, text, answer_key, max_score, and error: null, or the first thing wrong with the row.
+    """Questions of exam files: path, row (the first after the header is 2), number, text, answer_key, max_score, and error: null, or the first thing wrong with the row.
 
-    A file whose header isn't EXAM_HEADER in that order has error "header" in all rows. A byte-order mark is skipped.
+    A file whose first row isn't EXAM_HEADER in that order has error "header" in all rows. A byte-order mark is skipped, quoted texts may have line breaks, rows that are blank don't count.
     """
-    raw = spark.read.text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^﻿", "").alias("line"))
-    header = raw.where(F.regexp_replace("line", r'[\s"]', "") == ",".join(EXAM_HEADER)).select("path").distinct().withColumn("fine", F.lit(True))
-    parsed = F.from_csv("line", "n string, question_text string, correct_answer string, points string")
-    rows = raw.where(F.trim("line") != "").withColumn("r", parsed).where("not (r.n = 'question_no')").join(header, "path", "left")
-    number, points = F.col("r.n").try_cast("int"), F.trim("r.points").try_cast("double")
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    error = F.when(F.col("fine").isNull(), "header").when(number.isNull(), "question_no").when(blank("r.question_text"), "question_text").when(blank("r.correct_answer"), "correct_answer").when(points.isNull() | (points <= 0), "points")
-    return rows.select("path", number.alias("number"), F.trim("r.question_text").alias("text"), F.trim("r.correct_answer").alias("answer_key"), points.alias("max_score"), error.alias("error"))
+    names = ["n", "question_text", "correct_answer", "points", "rest"]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in names)).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
+    # a file with quoted line breaks is read whole, by one task, so its rows are in order
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), *names)
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("at")))
+    head = F.transform(F.array(*names), lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), '^\ufeff|"', ""))
+    fine = F.array_join(head, ",") == ",".join([*EXAM_HEADER, ""])
+    header = rows.where("row = 1").select("path", fine.alias("fine"))
+    number, points = F.trim("n").try_cast("int"), F.trim("points").try_cast("double")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    error = F.when(~F.col("fine"), "header").when(number.isNull(), "question_no").when(blank("question_text"), "question_text").when(blank("correct_answer"), "correct_answer").when(points.isNull() | F.isnan(points) | (points <= 0), "points")
+    return rows.join(header, "path").where("row > 1").select("path", "row", number.alias("number"), F.trim("question_text").alias("text"), F.trim("correct_answer").alias("answer_key"), points.alias("max_score"), error.alias("error"))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
