@@ -9,7 +9,7 @@ from tallyloom import staging
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """rows with name: the sum of value (whole numbers) over the row and those before it in its key. order, with the keys, must tell rows apart.
+    """rows with name: the sum of value (whole numbers) over the row and those before it in its key. Rows that keys and order don't tell apart follow each other in any order.
 
     Rows are dealt to ranges of (keys, order), so a large key is cut into many; each range adds what the key's ranges before it sum to. Only these
     sums, a row for each key and range, are put in order together. Null values count as 0; null keys are a key.
@@ -25,6 +25,6 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     same = F.col("_range") == F.col("_of")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    within = Window.partitionBy(*keys, "_range").orderBy(*by[len(keys) :])
+    within = Window.partitionBy(*keys, "_range").orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.withColumn("_within", F.sum("_value").over(within)).join(sums, same)
     return out.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))

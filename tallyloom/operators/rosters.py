@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import rules
+from tallyloom.operators import ordered, rules
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows(exam, group, position) with row_number within the group and technical_id, which goes on over an exam's groups."""
+    """rows(exam, group, position) with row_number within the group and technical_id, which goes on over an exam's groups.
+
+    A large group is numbered in ranges of positions, so it isn't dealt to one task.
+    """
     sizes = rows.groupBy("exam", "group").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("exam").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("exam", "group", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("exam", "group").orderBy("position"))
-    out = rows.withColumn("row_number", place).join(starts, ["exam", "group"])
+    out = ordered.running(rows, ["exam", "group"], ["position"], F.lit(1), "row_number").withColumn("row_number", F.col("row_number").cast("int")).join(starts, ["exam", "group"])
     return out.withColumn("technical_id", F.format_string("Ö-%03d", F.col("_before") + F.col("row_number"))).drop("_before")
 
 

@@ -74,7 +74,7 @@ def chunking(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.chunks(table(spark, d, "documents").select(F.col("doc_id").alias("document"), "text"), 512)
 
 
-@query()
+@query("with h as (select doc_id, sha1(from_hex('59b00b8686ac5690b5e5af5ffc2604d1') || encode(concat_ws('|', lang, source, cast(doc_id as varchar), coalesce(text, '')))) as h from documents) select doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][cast('0x' || h[17:17] as integer) % 4 + 1] || h[18:20] || '-' || h[21:32] as chunk_id from h")
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", digests.chunk_id(F.col("lang"), F.col("source"), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("chunk_id"))
 
@@ -151,7 +151,10 @@ def manifest_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return reports.read_manifest(written[0].unionByName(written[1]).unionByName(written[2]), "report", "status: string, customer: bigint")
 
 
-@query()
+_UNITS = "list_transform(string_split(p_name, ''), lambda x: cast(unicode(x) as bigint))"
+
+
+@query(f"select p_partkey, lpad(printf('%x', list_reduce({_UNITS}, lambda h, x: (xor(h, x) * 16777619) & 4294967295, cast(2166136261 as bigint))), 8, '0') as fnv1a, xor(list_reduce({_UNITS}, lambda c, b: list_reduce(cast(range(8) as bigint[]), lambda z, i: xor(z >> 1, 3988292384 * (z & 1)), xor(c, b)), cast(4294967295 as bigint)), 4294967295) as crc from part")
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", digests.fnv1a(F.col("p_name")).alias("fnv1a"), F.crc32(F.col("p_name").cast("binary")).alias("crc"))
 

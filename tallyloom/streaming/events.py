@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def throttled(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """key and times (microseconds) of events that fire: the first, then the first at least seconds after the last that fired."""
-    gap = F.lit(seconds * 1_000_000).cast("long")
-    times = F.array_sort(F.collect_list(F.unix_micros(F.col(time).cast("timestamp"))))
-    empty = F.array().cast("array<bigint>")
-    fired = F.aggregate(times, empty, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.array_append(a, t)).otherwise(a))
-    return events.groupBy(key).agg(fired.alias("fired")).select(key, F.explode("fired").alias("fired_us"))
+    """key and times (microseconds) of events that fire: the first, then the first at least seconds after the last that fired.
+
+    What fires hangs on all that fired before, so a key's events go through one task; it reads them sorted and keeps only the last that fired.
+    """
+    gap = seconds * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = None, None
+        for b in batches:
+            keys, us = b["g"].to_numpy(), b["us"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(b) else []
+            out_keys, out = [], []
+            for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
+                if name is None or keys[i] != name:
+                    name, last = keys[i], None
+                at = i if last is None else i + int(np.searchsorted(us[i:j], last + gap))
+                while at < j:
+                    last = us[at]
+                    out_keys.append(name)
+                    out.append(last)
+                    at = i + int(np.searchsorted(us[i:j], last + gap)) if gap else at + 1
+            yield pd.DataFrame({"g": out_keys, "fired_us": np.array(out, np.int64)})
+
+    # keys of any type as texts, null being one of them
+    slim = events.select(F.to_json(F.struct(key)).alias("g"), F.unix_micros(F.col(time).cast("timestamp")).alias("us")).where("us is not null")
+    fired = slim.repartition("g").sortWithinPartitions("g", "us").mapInPandas(run, "g string, fired_us long")
+    return fired.select(F.from_json("g", f"{key} {dict(events.dtypes)[key]}")[key].alias(key), "fired_us")
 
 
 def throttled_stream(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:

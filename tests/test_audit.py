@@ -158,3 +158,12 @@ def test_staging(spark, tmp_path):
     assert staging.committed(spark, f"{tmp_path}/a") and not staging.committed(spark, f"{tmp_path}/b")
     assert staging.folders(spark, str(tmp_path)) == ["a"] and staging.folders(spark, f"{tmp_path}/b") == []
     assert sorted(r.id for r in staging.stage(df).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_throttle_of_a_null_key_and_equal_times(spark):
+    from tallyloom.streaming import events
+
+    rows = [(None, 0), (None, 3), (None, 5), (7, 0), (7, 0), (7, 4), (7, 5), (8, None)]
+    df = spark.createDataFrame(rows, "k long, s long").withColumn("t", F.timestamp_seconds("s")).repartition(3)
+    assert sorted(map(str, ((r.k, r.fired_us // 1_000_000) for r in events.throttled(df, "k", "t", 5).collect()))) == sorted(map(str, [(None, 0), (None, 5), (7, 0), (7, 5)]))
+    assert len([r for r in events.throttled(df, "k", "t", 0).collect() if r.k == 7]) == 4
