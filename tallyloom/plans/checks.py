@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import staging
 from tallyloom.functions import json_text
-from tallyloom.operators import backups, documents, measure, programs, prompts
+from tallyloom.operators import backups, documents, measure, programs, prompts, uploads
 from tallyloom.plans.registry import Registry, table
 from tallyloom.sources import providers
 from tallyloom.sources.contracts import CONTRACTS
@@ -130,3 +130,55 @@ def provided_documents(spark: SparkSession, d: str) -> DataFrame:
     suffix = F.when(F.col("o_orderstatus") == "F", ".html").when(F.col("o_orderstatus") == "O", ".xls").when(F.col("o_custkey") % 2 == 0, ".PNG").otherwise(F.lit(".csv"))
     files = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.col("o_orderkey").cast("string"), suffix).alias("path"), page.cast("binary").alias("content"))
     return providers.documents(providers.PROVIDERS.cells(files))
+
+
+@query("with s as (select user_id || '/' || event_type as upload, event_id, case when value < 4 then '.png' when value < 8 then '.PDF' else '.docx' end as suffix, value from events where event_id % 7 = 0 or user_id % 50 = 0), u as (select upload, count(*) as n, bool_and(suffix = '.png') as images, max(suffix) as suffix, bool_or(suffix = '.PDF' and value >= 5) as layer from s group by upload), k as (select upload, case when images then 'image-group' when n = 1 and suffix = '.docx' then 'native-table-document' when n = 1 and suffix = '.PDF' then case when layer then 'text-pdf' else 'scanned-pdf' end else 'other-document' end as kind from u) select upload, kind, kind in ('image-group', 'scanned-pdf') as needs_ocr, kind <> 'scanned-pdf' as can_read from k")
+def routed_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user and type are files of an upload, of a kind by their value; of pages of PDF files only the second has a text, which is short where the value is small."""
+    few = (F.col("event_id") % 7 == 0) | (F.col("user_id") % 50 == 0)
+    suffix = F.when(F.col("value") < 4, ".png").when(F.col("value") < 8, ".PDF").otherwise(F.lit(".docx"))
+    files = table(spark, d, "events").where(few).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("upload"), F.concat(F.col("event_id").cast("string"), suffix).alias("path"), "value")
+    pages = files.where(F.col("path").endswith(".PDF")).select("path", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("page"), "value")
+    said = F.when(F.col("page") == 2, F.repeat(F.lit("ab \n"), F.floor(F.col("value") * 4).cast("int"))).when(F.col("page") == 5, F.repeat(F.lit("x"), F.lit(99)))
+    return uploads.routed(files.drop("value"), uploads.text_layers(pages.select("path", "page", said.alias("text"))))
+
+
+@query("with u as (select l_orderkey as exam, l_linenumber as place, max(l_shipmode) as mode, count(*) as n from (select l_orderkey, l_linenumber, l_returnflag || l_linestatus as l_shipmode from lineitem) group by all) select exam, 'mode' as field, mode as value from u qualify row_number() over (partition by exam order by place desc) = 1 union all select exam, 'odd', cast(place as varchar) from u where place % 2 = 1 qualify row_number() over (partition by exam order by place desc) = 1")
+def merged_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers of an order's lines are uploads; all have a field, those of odd numbers another."""
+    place, mode = F.col("l_linenumber"), F.max(F.concat("l_returnflag", "l_linestatus"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("exam"), place.alias("place")).agg(mode.alias("mode"))
+    fields = F.map_concat(F.create_map(F.lit("mode"), F.col("mode")), F.when(F.col("place") % 2 == 1, F.create_map(F.lit("odd"), F.col("place").cast("string"))).otherwise(F.create_map().cast("map<string,string>")))
+    return uploads.merged_fields(rows.select("exam", "place", fields.alias("fields")))
+
+
+@query("select o_custkey as exam, count(*) as number, count(distinct o_orderkey) as students, count(*) filter (o_orderstatus = 'F') as own_source from orders group by 1")
+def merged_rosters(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer are uploads of one student; those of one status name its source."""
+    student = F.struct(F.col("o_orderkey").cast("string").alias("student"), F.when(F.col("o_orderstatus") == "F", "own").otherwise(F.lit(" ")).alias("source"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("exam"), F.col("o_orderdate").alias("place"), F.col("o_orderkey").cast("string").alias("file"), F.array(student).alias("students"))
+    merged = uploads.merged_students(rows)
+    return merged.groupBy("exam").agg(F.max("number").alias("number"), F.countDistinct("student").alias("students"), F.count_if(F.col("source") == "own").alias("own_source"))
+
+
+@query("select o_orderkey, case when (o_totalprice > 100000)::int + (o_custkey % 2)::int + (o_custkey % 3 > 0)::int + 3 >= 5 then 'template' when o_orderstatus = 'F' then 'unrecognized-template' when o_orderstatus = 'O' then 'handwritten-table' else 'score-table' end as kind from orders where left(o_orderpriority, 1) not in ('1', '2')")
+def upload_types(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose priority, as attendance, means present, with six fields of which three may say nothing."""
+    absent = F.when(F.left("o_orderpriority", F.lit(1)) == "1", " GİRMEDİ ").when(F.left("o_orderpriority", F.lit(1)) == "2", "Katılmadı")
+    rows = uploads.participating(table(spark, d, "orders").withColumn("attendance", absent))
+    some = [F.when(F.col("o_totalprice") > 100000, "x").otherwise(F.lit("null")), F.when(F.col("o_custkey") % 2 == 1, "y"), F.when(F.col("o_custkey") % 3 > 0, "z").otherwise(F.lit(" - "))]
+    mode = F.when(F.col("o_orderstatus") == "F", "template").when(F.col("o_orderstatus") == "O", "manual")
+    return rows.select("o_orderkey", uploads.document_type([*some, *[F.lit(x) for x in "abc"]], mode).alias("kind"))
+
+
+@query("with s as (select l_orderkey as exam, 'Ö-' || lpad(cast(l_suppkey as varchar), 3, '0') as ref, l_quantity as total from lineitem where l_suppkey % 3 > 0 and l_returnflag <> 'R'), e as (select exam, string_agg(ref || '=' || total, ';' order by ref, total) as cohort from s group by exam) select o_orderkey as exam, case when o_custkey % 2 = 0 then o_orderpriority else o_orderstatus end as course, '' as term, coalesce(cohort, '') as cohort from orders left join e on exam = o_orderkey")
+def portable_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of orders with the students that have a pseudonym and a total, read back from their JSON; the customer stays behind."""
+    line = table(spark, d, "lineitem")
+    ref = F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit(" Ö-"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"))).otherwise(F.lit("Ali Veli"))
+    students = line.select(F.col("l_orderkey").alias("exam"), ref.alias("student_ref"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(F.lit(float("nan"))).alias("total"))
+    exams = table(spark, d, "orders").select(F.col("o_orderkey").alias("exam"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("null")).alias("courseName"), F.col("o_orderstatus").alias("course"), "o_custkey")
+    reports = uploads.portable(exams, students, {"courseName": ["courseName", "course"], "term": ["term"]}, "analysis-report")
+    parsed = F.from_json("report", "exam struct<courseName: string, term: string>, analysis struct<cohortEvidence: array<struct<student_ref: string, total: double>>>")
+    cohort = F.array_join(F.transform("r.analysis.cohortEvidence", lambda s: F.concat(s["student_ref"], F.lit("="), s["total"].cast("string"))), ";")
+    return reports.select("exam", parsed.alias("r")).select("exam", F.col("r.exam.courseName").alias("course"), F.col("r.exam.term").alias("term"), cohort.alias("cohort"))
