@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom import staging
+
 # fixed values: hits for a query; share of the best score that a hit must have; characters of an excerpt
 TOP_K, FLOOR, EXCERPT = 5, 0.78, 300
 
@@ -33,10 +38,76 @@ def search(queries: DataFrame, chunks: DataFrame, on: list[str], k: int = TOP_K,
     c, q = chunks.withColumn("cv", unit(F.col("vector"))).drop("vector"), queries.withColumn("qv", unit(F.col("vector"))).drop("vector")
     pairs = c.join(q, on) if on else c.crossJoin(q)
     scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score")).where("score is not null")
+    return _floored(_best(scored, k), floor)
+
+
+#: Lists of an index, at most; lists that a query reads before bounds are looked at.
+LISTS, FIRST = 1024, 4
+
+
+@dataclass(frozen=True)
+class Lists:
+    """Chunks in lists around centroids: chunks(chunk_id, list, cv, on), of unit length, and lists(list, centroid, radius, many), with the largest angle of a chunk to its centroid."""
+
+    chunks: DataFrame
+    lists: DataFrame
+
+
+def inverted(chunks: DataFrame, on: list[str], lists: int | None = None) -> Lists:
+    """An index of chunks(chunk_id, vector, on), staged: each chunk is in the list of the centroid that is nearest to it.
+
+    Centroids are the chunks with the smallest hashes of their ids: as many as the square root of the number of chunks, but at most LISTS, so all of them fit a task. Chunks
+    without a direction (null, empty or zero vectors, or null components) are in no list, as search() never finds them.
+    """
+    rows = chunks.select("chunk_id", unit(F.col("vector")).alias("cv"), *on)
+    rows = rows.where((F.size("cv") > 0) & F.forall("cv", lambda x: x.isNotNull()))
+    many = lists or max(1, min(LISTS, math.isqrt(rows.count())))
+    chosen = rows.select("chunk_id", "cv").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(many)
+    centroids = chosen.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "cv"))).alias("centroids"))  # at most LISTS
+    nearest = F.array_max(F.transform("centroids", lambda c, i: F.struct(dot(c["cv"], F.col("cv")).alias("near"), (-i).alias("i"))))
+    placed = rows.join(F.broadcast(centroids)).withColumn("n", nearest).select("chunk_id", "cv", *on, (-F.col("n.i")).alias("list"), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "n.near"))).alias("angle"))
+    placed = staging.stage(placed)
+    ends = placed.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("many"))
+    named = centroids.select(F.posexplode(F.transform("centroids", lambda c: c["cv"])).alias("list", "centroid"))
+    return Lists(placed.drop("angle"), staging.stage(named.join(ends, "list")))
+
+
+def search_lists(queries: DataFrame, index: Lists, on: list[str], k: int = TOP_K, floor: float | None = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """The hits of search() over the chunks of an index, and how many lists each query read: query_id, read, lists.
+
+    No chunk of a list is nearer to a query than the angle to the centroid less the list's radius. A query reads the FIRST lists by that bound, then those whose bound isn't below its k-th best
+    score; the rest can't change the result. Queries are few: a row for each query and list is made, none for a query and chunk of a list that isn't read.
+    """
+    q = queries.select("query_id", unit(F.col("vector")).alias("qv"), *on).where((F.size("qv") > 0) & F.forall("qv", lambda x: x.isNotNull()))
+    lists = F.broadcast(index.lists.select("list", "centroid", "radius"))  # at most LISTS rows
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("qv"), F.col("centroid")))))
+    # scores are rounded to six places, so bounds are that much wider
+    bounded = q.join(lists).withColumn("bound", F.cos(F.greatest(F.lit(0.0), angle - F.col("radius"))) + 2e-6).drop("centroid", "radius")
+    bounded = staging.stage(bounded.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "list"))))
+
+    def hits(pairs: DataFrame) -> DataFrame:
+        scored = pairs.join(index.chunks, ["list", *on]).select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score"))
+        return _best(scored, k)
+
+    first = staging.stage(hits(bounded.where(F.col("turn") <= FIRST)))
+    enough = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    later = bounded.where(F.col("turn") > FIRST).join(enough, "query_id", "left").where(F.col("n").isNull() | (F.col("n") < k) | (F.col("bound") >= F.col("kth")))
+    later = staging.stage(later.drop("n", "kth"))
+    found = _floored(_best(first.drop("rank").unionByName(hits(later).drop("rank")), k), floor)
+    read = bounded.where(F.col("turn") <= FIRST).select("query_id").unionByName(later.select("query_id")).groupBy("query_id").agg(F.count("*").alias("read"))
+    return found, read.withColumn("lists", F.lit(index.lists.count()))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of scored(query_id, chunk_id, score) with their rank, ties to the smaller chunk_id; ranked in parts before the parts' best meet."""
     order = [F.desc("score"), F.asc("chunk_id")]
     part = scored.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
     first = part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k).drop("rank", "part")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def _floored(ranked: DataFrame, floor: float | None) -> DataFrame:
+    """ranked without hits below that share of their query's best score, unless that isn't positive."""
     if floor is None:
         return ranked
     best = F.max("score").over(Window.partitionBy("query_id"))

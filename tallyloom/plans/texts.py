@@ -63,6 +63,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), [])
 
 
+@query(_HITS.format(extra="", same="") + "select query_id, chunk_id, score, cast(rank as integer) as rank from (select *, max(score) over (partition by query_id) as best from r where rank <= 5) where best <= 0 or score >= best * 0.78::double")
+def vector_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of vector_topk through lists around centroids, of which a query reads those that its bounds don't rule out."""
+    rows = table(spark, d, "embeddings")
+    index = retrieval.inverted(rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), [])
+    return retrieval.search_lists(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), index, [])[0]
+
+
 @query(_HITS.format(extra=", q.label", same="and q.label = c.label") + "select query_id, chunk_id, score, cast(rank as integer) as rank from r where rank <= 8")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
