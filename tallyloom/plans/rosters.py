@@ -129,9 +129,9 @@ def found_grades(spark: SparkSession, d: str) -> DataFrame:
     return rosters.found_grades(rows, ["lang"]).withColumn("grades", F.array_join("grades", ","))
 
 
-@query(f"with q as ({_LINES}) select exam, cast(question - 1 as integer) as question, cast(case when question % 2 = 0 then question * 10 else question end as integer) as number, max_score + 0.5 as max_score, case when question % 3 = 0 then '' else 'T' || question || ' | ' end || 'C' || question as outcome, 1.0::double as weight from q where exam in (select exam from q group by exam having max(question) = count(*))")
+@query(f"with q as (select *, row_number() over (partition by exam order by question) as k from ({_LINES})) select exam, cast(k - 1 as integer) as question, cast(case when question % 2 = 0 then question * 10 else k end as integer) as number, max_score + 0.5 as max_score, case when question % 3 = 0 then '' else 'T' || question || ' | ' end || 'C' || question as outcome, 1.0::double as weight from q")
 def payload_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads of the orders without gaps in their line numbers: some numbers are left blank, maxima have a comma, some themes are blank."""
+    """Payloads of the orders, lines in the order of their numbers: some numbers are left blank and are then the place, maxima have a comma, some themes are blank."""
     n = F.col("question")
     fields = {"outcomeCode": F.concat(F.lit(" C"), n.cast("string")), "outcomeTheme": F.when(n % 3 != 0, F.concat(F.lit("T"), n.cast("string")))}
     outcome = [fields.get(f, F.lit(None).cast("string")).alias(f) for f in documents.OUTCOME_FIELDS]
@@ -139,7 +139,7 @@ def payload_questions(spark: SparkSession, d: str) -> DataFrame:
     number = F.when(n % 2 == 0, (n * 10).cast("string")).otherwise(F.lit(""))
     none = F.lit(None).cast("array<struct<" + ", ".join(f"{f}: string" for f in documents.OUTCOME_FIELDS) + ">>")
     q = F.struct(n.alias("place"), number.alias("number"), most.alias("maxScore"), *outcome, none.alias("outcomes"))
-    payloads = _lines(spark, d).groupBy("exam").agg(F.array_sort(F.collect_list(q)).alias("questions"), F.max("question").alias("last")).where("last = size(questions)")
+    payloads = _lines(spark, d).groupBy("exam").agg(F.array_sort(F.collect_list(q)).alias("questions"))
     asked = documents.questions(payloads)
     return documents.links(asked).join(asked.select("exam", "question", "number", "max_score"), ["exam", "question"]).select("exam", "question", "number", "max_score", "outcome", "weight")
 
