@@ -83,6 +83,8 @@ def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDD
     gone = F.filter(F.array(*[F.when(get(f"$.workspace.{k}", "variant").isNull(), F.lit(k)) for k in KEYS]), lambda x: x.isNotNull())
     # a key counts wherever it stands; the package's own fields have none of these names
     private = F.filter(F.transform("_private", lambda p: F.substring(p, 2, 10_000)), lambda p: p.startswith("workspace."))
+    out = out.withColumns({"_gone": gone, "_private": private, "_version": version})
+    version, gone, private = F.col("_version"), F.col("_gone"), F.col("_private")
     fine = lambda c: F.coalesce(c, F.lit(False))
     status = (
         F.when(~_is_object(F.col("_v")), "unreadable").when(~fine(get("$.format") == format), "foreign").when(version.isNull(), "unversioned").when(version > CURRENT, "newer").when(version < 1, "unsupported")
@@ -90,7 +92,7 @@ def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDD
         .when(~fine(inner == version), "mismatch").when(F.size(gone) > 0, "incomplete").when(F.size(private) > 0, "private").when(version < CURRENT, "old").otherwise(F.lit("ok"))
     )
     detail = F.when(F.col("status") == "incomplete", gone[0]).when(F.col("status") == "private", private[0])
-    return out.withColumn("status", status).withColumn("detail", detail).drop("_v", "_digest", "_private")
+    return out.withColumn("status", status).withColumn("detail", detail).drop("_v", "_digest", "_private", "_gone", "_version")
 
 
 def brought_up(rows: DataFrame, converted: Column, format: str = FORMAT) -> DataFrame:
@@ -98,7 +100,8 @@ def brought_up(rows: DataFrame, converted: Column, format: str = FORMAT) -> Data
 
     converted is the time of the migration, as a text.
     """
-    seen = opened(rows.select("record_id", "package"), format).withColumnRenamed("package", "_before")
+    # staged, as a filter on what comes out would else be put through all the conditions of a status again
+    seen = staging.stage(opened(rows.select("record_id", "package"), format)).withColumnRenamed("package", "_before")
     seen = seen.withColumn("_old", F.when(F.col("status") == "old", F.try_parse_json("_before")))
     seen = seen.withColumn("_space", json_text.with_fields({"schemaVersion": CURRENT})(F.to_json(F.try_variant_get("_old", "$.workspace", "variant"))))
     note = F.to_json(F.struct(F.lit(1).alias("sourceVersion"), F.lit(CURRENT).alias("targetVersion"), converted.alias("convertedAt")))

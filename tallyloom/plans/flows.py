@@ -74,6 +74,6 @@ def analysis_trace(spark: SparkSession, d: str) -> DataFrame:
     limits = flow.Stage("limits", lambda t: {"limits": t["questions"].select("exam", F.when(F.col("question") > 5, F.raise_error(F.lit("too many questions"))).otherwise(F.lit(1)).alias("fine"))}, required=False)
     letters = flow.Stage("letters", lambda t: {"letters": t["limits"]}, needs=("limits",))
     weak = flow.Stage("weak", lambda t: {"weak": t["outcome_results"].where(F.round("rate", 9) < 0.35).select("exam", "outcome")})
-    _, traces = flow.materialised(spark, [*flow.MATERIALISED, limits, letters, weak], {"payloads": payloads}, staging.scratch(spark, "analysis"))
+    _, traces = flow.materialised(spark, [*flow.MATERIALISED, limits, letters, weak], {"payloads": staging.stage(payloads)}, staging.scratch(spark, "analysis"))
     rows = [(i, t.name, t.state, name, many) for i, t in enumerate(traces) for name, many in (t.rows.items() if t.rows else [(None, 0)])]
     return spark.createDataFrame(rows, "place int, stage string, state string, made string, many long")
