@@ -78,12 +78,12 @@ class Coder:
         return out[: (total + 7) // 8].astype(np.uint8).tobytes(), np.diff(at[::STEP], prepend=0).astype(np.uint32)
 
     def table(self) -> np.ndarray:
-        """For each value of the next bits: id * 32 + length of the code that they begin with."""
+        """For each value of the next bits: id * 32 + length of the code that they begin with; negative where they are no code."""
         if not hasattr(self, "_table"):
             ids = np.nonzero(self.length)[0]
             ids = ids[np.argsort(self.code[ids] << (self.bits - self.length[ids]))]
             full = np.repeat(ids << 5 | self.length[ids], 1 << (self.bits - self.length[ids]))
-            self._table = np.concatenate([full, np.zeros((1 << self.bits) - len(full), np.int64)])
+            self._table = np.concatenate([full, np.full((1 << self.bits) - len(full), -31)]).astype(np.int32)
         return self._table
 
     def decode(self, data: bytes, gaps: np.ndarray, n: int) -> np.ndarray:
@@ -93,15 +93,15 @@ class Coder:
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         table, drop = self.table(), np.uint32(32 - self.bits)
         at, lanes = np.cumsum(gaps.astype(np.int64)), len(gaps)
-        out = np.zeros((STEP, lanes), np.int64)
-        limit = len(window) - 1
+        out = np.zeros((STEP, lanes), np.int32)
         for k in range(min(STEP, n)):
             live = (n - k + STEP - 1) // STEP  # lanes that have a k-th id: all but the last, perhaps
             pos = at[:live]
-            byte = np.minimum(pos >> 3, limit)
-            found = table[(window[byte] << (pos & 7).astype(np.uint32)) >> drop]
-            if not found.all():
-                raise ValueError("bits that are no code")
-            out[k, :live] = found >> 5
-            at[:live] += found & 31
-        return out.T.ravel()[:n]
+            bits = window.take(pos >> 3, mode="clip") << (pos & 7).astype(np.uint32)
+            found = table.take(bits >> drop)
+            out[k, :live] = found
+            pos += found & 31
+        out = out.T.ravel()[:n]
+        if n and out.min() < 0:
+            raise ValueError("bits that are no code")
+        return (out >> 5).astype(np.int64)

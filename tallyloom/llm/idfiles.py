@@ -30,7 +30,7 @@ from .common import delete_at_exit, drop, map_blocks, partitions, shared_dir, sm
 from .tokens import encoder
 
 #: Ids of a block; blocks of a file; ids of a part, about, where there are more than one part for each shuffle partition.
-BLOCK, FILE_BLOCKS, PART = 1 << 16, 256, 1 << 26
+BLOCK, FILE_BLOCKS, PART = 1 << 18, 64, 1 << 26
 MARK, HEAD = b"TLID", struct.Struct("<4s8Q")
 
 
@@ -45,7 +45,7 @@ def tokenised(docs: DataFrame, name: str, end: int) -> DataFrame:
         return pa.record_batch({"doc_id": block.column("doc_id"), "n": pa.array(np.diff(first), pa.int64()), "ids": pa.array([data[a * size : b * size] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(map_blocks(slim, run, "doc_id long, n long, ids binary", limit=1 << 20))
+    return stage(map_blocks(slim, run, "doc_id long, n long, ids binary"))
 
 
 def _kind(name: str) -> np.dtype:
