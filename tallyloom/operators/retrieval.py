@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import staging
+from tallyloom.operators import products
 
 # fixed values: hits for a query; share of the best score that a hit must have; characters of an excerpt
 TOP_K, FLOOR, EXCERPT = 5, 0.78, 300
+#: Parts that chunks of equal values are dealt to; components of vectors that are spread to columns, at most.
+PARTS, SPREAD = 16, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,21 +27,43 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1, so a cosine is one product; null values for one of length 0."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), size))
+    # the length stands in an array of one, as within the inner lambda it would be made for each component
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda size: F.transform(v, lambda x: F.try_divide(x.cast("double"), size))), F.lit(0))
 
 
 def search(queries: DataFrame, chunks: DataFrame, on: list[str], k: int = TOP_K, floor: float | None = FLOOR) -> DataFrame:
     """The k best chunks of each query among those with equal values in the columns on: query_id, chunk_id, score, rank.
 
     queries(query_id, vector, on), chunks(chunk_id, vector, on). Ties go to the smaller chunk_id. With a floor, hits below that share of the query's best
-    score are dropped, unless the best is not positive. Queries are few and chunks many: each query's chunks are ranked where they are read, in
-    parts, before the parts' best are ranked together.
+    score are dropped, unless the best is not positive. Without columns on, blocks of queries and of chunks are multiplied as matrices, which tell the few pairs whose scores are then
+    ranked; with them each query's chunks are ranked where they are read, in parts, before the parts' best are ranked together.
     """
     c, q = chunks.withColumn("cv", unit(F.col("vector"))).drop("vector"), queries.withColumn("qv", unit(F.col("vector"))).drop("vector")
-    pairs = c.join(q, on) if on else c.crossJoin(q)
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score")).where("score is not null")
-    return _floored(_best(scored, k), floor)
+    if on:
+        return _floored(_best(_scored(q, c, on), k), floor)
+    pairs = products.best_pairs(q.where(products.whole(F.col("qv"))), c.where(products.whole(F.col("cv"))), [], k, chunks.count(), queries.count())
+    return _floored(_best(pairs.withColumn("score", F.round("score", 6)), k), floor)
+
+
+def _scored(q: DataFrame, c: DataFrame, on: list[str]) -> DataFrame:
+    """query_id, chunk_id, score of all pairs with equal values in on; rows are dealt to PARTS tasks for each of these values.
+
+    Vectors of one length are spread to columns, so that a product is a plain expression instead of a function of arrays.
+    """
+    c = c.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    low, high = c.where(products.whole(F.col("cv"))).agg(F.min(F.size("cv")), F.max(F.size("cv"))).first()
+    if low is None or low != high or not 0 < low <= SPREAD:
+        return c.join(q, [*on, "part"]).select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score")).where("score is not null")
+
+    def spread(df: DataFrame, vector: str, *ids: str) -> DataFrame:
+        rows = df.where(products.whole(F.col(vector)) & (F.size(vector) == low))
+        return rows.select(*ids, *on, "part", *[F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)).alias(f"{vector}{i}") for i in range(low)])
+
+    score = F.lit(0.0)
+    for i in range(low):
+        score = score + F.col(f"qv{i}") * F.col(f"cv{i}")
+    return spread(c, "cv", "chunk_id").join(spread(q, "qv", "query_id"), [*on, "part"]).select("query_id", "chunk_id", F.round(score, 6).alias("score"))
 
 
 #: Lists of an index, at most; lists that a query reads before bounds are looked at.
@@ -63,12 +88,20 @@ def inverted(chunks: DataFrame, on: list[str], lists: int | None = None) -> List
     rows = rows.where((F.size("cv") > 0) & F.forall("cv", lambda x: x.isNotNull()))
     many = lists or max(1, min(LISTS, math.isqrt(rows.count())))
     chosen = rows.select("chunk_id", "cv").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(many)
-    centroids = chosen.agg(F.array_sort(F.collect_list(F.struct("chunk_id", "cv"))).alias("centroids"))  # at most LISTS
-    nearest = F.array_max(F.transform("centroids", lambda c, i: F.struct(dot(c["cv"], F.col("cv")).alias("near"), (-i).alias("i"))))
-    placed = rows.join(F.broadcast(centroids)).withColumn("n", nearest).select("chunk_id", "cv", *on, (-F.col("n.i")).alias("list"), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "n.near"))).alias("angle"))
-    placed = staging.stage(placed)
+    centroids = [r["cv"] for r in chosen.orderBy("chunk_id").collect()]  # at most LISTS
+    kept = ["chunk_id", "cv", *on]
+
+    def place(batch, near):
+        import numpy as np
+
+        near = np.where(np.isnan(near), -1.0, near)
+        best = near.argmax(axis=1)
+        return {c: batch.column(batch.schema.get_field_index(c)) for c in kept} | {"list": best.astype("int32"), "angle": np.arccos(np.clip(near[np.arange(len(best)), best], -1.0, 1.0))}
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes)
+    placed = staging.stage(products.against(rows, "cv", centroids, f"{fields}, list int, angle double", place))
     ends = placed.groupBy("list").agg(F.max("angle").alias("radius"), F.count("*").alias("many"))
-    named = centroids.select(F.posexplode(F.transform("centroids", lambda c: c["cv"])).alias("list", "centroid"))
+    named = chunks.sparkSession.createDataFrame(list(enumerate(centroids)), "list int, centroid array<double>")
     return Lists(placed.drop("angle"), staging.stage(named.join(ends, "list")))
 
 
@@ -76,18 +109,31 @@ def search_lists(queries: DataFrame, index: Lists, on: list[str], k: int = TOP_K
     """The hits of search() over the chunks of an index, and how many lists each query read: query_id, read, lists.
 
     No chunk of a list is nearer to a query than the angle to the centroid less the list's radius. A query reads the FIRST lists by that bound, then those whose bound isn't below its k-th best
-    score; the rest can't change the result. Queries are few: a row for each query and list is made, none for a query and chunk of a list that isn't read.
+    score; the rest can't change the result. A row for each query and list is made, without vectors; chunks of lists that a query doesn't read are not multiplied with it.
     """
     q = queries.select("query_id", unit(F.col("vector")).alias("qv"), *on).where((F.size("qv") > 0) & F.forall("qv", lambda x: x.isNotNull()))
-    lists = F.broadcast(index.lists.select("list", "centroid", "radius"))  # at most LISTS rows
-    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("qv"), F.col("centroid")))))
-    # scores are rounded to six places, so bounds are that much wider
-    bounded = q.join(lists).withColumn("bound", F.cos(F.greatest(F.lit(0.0), angle - F.col("radius"))) + 2e-6).drop("centroid", "radius")
-    bounded = staging.stage(bounded.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "list"))))
+    q = staging.stage(q)
+    lists = index.lists.select("list", "centroid", "radius").orderBy("list").collect()  # at most LISTS rows
+    names, radii = [r["list"] for r in lists], [r["radius"] for r in lists]
+
+    def bound(batch, near):
+        import numpy as np
+
+        # scores are rounded to six places, so bounds are that much wider
+        angle = np.arccos(np.clip(np.where(np.isnan(near), -1.0, near), -1.0, 1.0))
+        bounds = np.cos(np.maximum(0.0, angle - np.array(radii))) + 2e-6
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        ids = batch.column(batch.schema.get_field_index("query_id")).take(np.repeat(np.arange(batch.num_rows), len(names)))
+        return {"query_id": ids, "list": np.array(names, dtype="int32")[order].ravel(), "bound": np.take_along_axis(bounds, order, axis=1).ravel(), "turn": np.tile(np.arange(1, len(names) + 1, dtype="int32"), batch.num_rows)}
+
+    kind = dict(q.dtypes)["query_id"]
+    bounded = staging.stage(products.against(q, "qv", [r["centroid"] for r in lists], f"query_id {kind}, list int, bound double, turn int", bound))
+    many = index.chunks.count(), q.count()
 
     def hits(pairs: DataFrame) -> DataFrame:
-        scored = pairs.join(index.chunks, ["list", *on]).select("query_id", "chunk_id", F.round(dot(F.col("qv"), F.col("cv")), 6).alias("score"))
-        return _best(scored, k)
+        asked = pairs.groupBy("query_id").agg(F.collect_list("list").alias("asked"))  # at most LISTS
+        found = products.best_pairs(q.join(asked, "query_id"), index.chunks, on, k, *many)
+        return _best(found.withColumn("score", F.round("score", 6)), k)
 
     first = staging.stage(hits(bounded.where(F.col("turn") <= FIRST)))
     enough = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
@@ -95,7 +141,7 @@ def search_lists(queries: DataFrame, index: Lists, on: list[str], k: int = TOP_K
     later = staging.stage(later.drop("n", "kth"))
     found = _floored(_best(first.drop("rank").unionByName(hits(later).drop("rank")), k), floor)
     read = bounded.where(F.col("turn") <= FIRST).select("query_id").unionByName(later.select("query_id")).groupBy("query_id").agg(F.count("*").alias("read"))
-    return found, read.withColumn("lists", F.lit(index.lists.count()))
+    return found, read.withColumn("lists", F.lit(len(lists)))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
