@@ -6,7 +6,7 @@ document's cells meet once; all else are functions of its arrays. Names and nati
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +38,62 @@ _STUDENT = "array<struct<row_number: int, student_no: string, scores: array<doub
 def documents(cells: DataFrame) -> DataFrame:
     """path, tables (array of arrays of rows of texts), folded (the same as labels) of cells(path, table_ix, row_ix, cell_ix, text).
 
-    Cells that are left out are empty texts, and a place has one cell; rows and tables that are left out aren't there. Rows of files without cells (with an error, say) give no tables. One shuffle
-    by path serves all three levels.
+    Cells that are left out are empty texts, and a place has one cell; rows and tables that are left out aren't there. Rows of files without cells (with an error, say) give no tables. Cells are
+    folded one by one, meet by path once, and come sorted, so that the places where a path, table or row begins are the offsets of nested lists.
     """
-    dealt = cells.repartition("path")
-    found = F.sort_array(F.collect_list(F.struct("cell_ix", F.trim(F.coalesce("text", F.lit(""))).alias("v"))))
-    rows = dealt.where("cell_ix is not null").groupBy("path", "table_ix", "row_ix").agg(found.alias("found"), F.max("cell_ix").alias("last"))
-    at = lambda i: F.coalesce(F.get(F.filter("found", lambda c: c["cell_ix"] == i), F.lit(0))["v"], F.lit(""))
-    row = F.when(F.size("found") == F.col("last") + 1, F.transform("found", lambda c: c["v"])).otherwise(F.transform(F.sequence(F.lit(0), F.col("last")), at))
-    inner = lambda c: F.transform(F.sort_array(c), lambda x: x["v"])
-    tables = rows.select("path", "table_ix", "row_ix", row.alias("v")).groupBy("path", "table_ix").agg(inner(F.collect_list(F.struct("row_ix", "v"))).alias("v"))
-    whole = tables.groupBy("path").agg(inner(F.collect_list(F.struct("table_ix", "v"))).alias("tables"))
-    folded = F.transform("tables", lambda t: F.transform(t, lambda r: F.transform(r, text.label_fold)))
-    return dealt.select("path").distinct().join(whole, "path", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<array<array<string>>>"))).withColumn("folded", folded)
+    said = F.trim(F.coalesce("text", F.lit("")))
+    rows = cells.select("path", *[F.col(c).cast("int").alias(c) for c in ("table_ix", "row_ix", "cell_ix")], said.alias("v"), text.label_fold(said).alias("f"))
+    dealt = rows.repartition("path").sortWithinPartitions("path", "table_ix", "row_ix", "cell_ix", "v")
+    kind = "array<array<array<string>>>"
+    return dealt.mapInArrow(_nested, f"path {dict(cells.dtypes)['path']}, tables {kind}, folded {kind}")
+
+
+def _nested(batches: Iterator) -> Iterator:
+    """Documents of sorted cells in Arrow batches; the last path of a batch waits for the next batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    other = lambda a: np.concatenate([[True], a[1:] != a[:-1]])
+    flat = lambda v: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+
+    def made(cells):
+        path = flat(cells["path"])
+        place = [pc.fill_null(cells[c], -1).to_numpy() for c in ("table_ix", "row_ix", "cell_ix")]
+        there, codes = place[2] >= 0, pc.dictionary_encode(path, null_encoding="encode").indices.to_numpy()
+        document = other(codes)
+        starts, number = np.flatnonzero(document), np.cumsum(document) - 1
+        keep = np.flatnonzero(there)
+        table = other(number[keep]) | other(place[0][keep]) if len(keep) else np.zeros(0, bool)
+        row = table | other(place[1][keep]) if len(keep) else table
+        cell = row | other(place[2][keep]) if len(keep) else row
+        # a place's first cell counts; a row has its last cell's place + 1 cells
+        row_of, first = np.cumsum(row) - 1, np.flatnonzero(row)
+        last = place[2][keep][np.append(first[1:], len(keep)) - 1] + 1 if len(keep) else np.zeros(0, int)
+        ends = np.concatenate([[0], np.cumsum(last)]).astype("int64")
+        at = np.full(ends[-1], -1, dtype="int64")
+        at[ends[row_of[cell]] + place[2][keep][cell]] = keep[cell]
+        of_table, of_document = np.flatnonzero(table), number[keep[table]]
+        rows_at = np.append(np.searchsorted(first, of_table), len(first))
+        tables_at = np.searchsorted(of_document, np.arange(len(starts) + 1))
+        nest = lambda values: pa.ListArray.from_arrays(pa.array(tables_at, pa.int32()), pa.ListArray.from_arrays(pa.array(rows_at, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)))
+        taken = lambda c: flat(pc.fill_null(flat(cells[c]).take(pa.array(at, mask=at < 0)), ""))
+        return pa.RecordBatch.from_arrays([path.take(pa.array(starts)), nest(taken("v")), nest(taken("f"))], ["path", "tables", "folded"])
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy()
+        begin = int(np.flatnonzero(other(codes))[-1])
+        if begin == 0 and held and batch.column(0)[0] == held[0].column(0)[0]:
+            held.append(batch)  # a document of many batches
+            continue
+        if done := [*held, *([batch.slice(0, begin)] if begin else [])]:
+            yield made(pa.Table.from_batches(done))
+        held = [batch.slice(begin)]
+    if held:
+        yield made(pa.Table.from_batches(held))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
