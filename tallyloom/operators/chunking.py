@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens of a chunk with its headings.
 TOKENS = 512
+#: Characters of the chunks that a task hands on at once.
+BATCH = 4_000_000
 
 
 def nested_sections(pages: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -40,12 +41,13 @@ def nested_sections(pages: DataFrame, outer: str, inner: str) -> DataFrame:
     return both.select(F.col("o.document").alias("document"), "grade", "theme", F.coalesce("start", "o.at").alias("first_page"), F.coalesce(F.col("following") - 1, F.col("end")).alias("last_page"))
 
 
-def segments(text: str, count: Callable[[str], int], limit: int = TOKENS, heading: str = r"(#+)\s+(.+)") -> Iterator[tuple[list[str], str, str]]:
+def segments(text: str, count: Callable[[str], int], limit: int = TOKENS, heading: str = r"(#+)\s+(.+)", additive: bool = False) -> Iterator[tuple[list[str], str, str]]:
     """Headings, text and the two together of each chunk of a text; the chunks' texts one after the other are the text.
 
     A line that is a heading (whose first group's length is its level) begins a chunk and is above what follows until one of its level or above it comes. A chunk takes
     lines while it fits limit tokens with its headings. A line that alone doesn't fit is cut between words, and a word between
-    characters. Headings that would take more than half of the limit are left out, outermost first. count is of tokens and should not shrink as text is added.
+    characters. Headings that would take more than half of the limit are left out, outermost first. count is of tokens and should not shrink as text is added. If it is additive where
+    texts meet at white space, each part is counted by itself; else all that a chunk holds is counted anew for each part.
     """
     pattern, stack, lines = re.compile(heading), [], text.splitlines(keepends=True)
 
@@ -58,22 +60,33 @@ def segments(text: str, count: Callable[[str], int], limit: int = TOKENS, headin
     def whole(above: list[str], said: str) -> str:
         return "\n".join([*above, said]) if above else said
 
-    def pieces(above: list[str], part: str) -> list[str]:
-        """part cut so that each piece fits."""
-        if count(whole(above, part)) <= limit or len(part) == 1:
-            return [part]
+    def grown(above: list[str], before: str, many: int, part: str) -> int:
+        """Tokens of before and part with the headings; before has many with them."""
+        if additive and before and (before[-1].isspace() or part[:1].isspace()):
+            return many + count(part)
+        return count(whole(above, before + part))
+
+    def pieces(above: list[str], part: str) -> list[tuple[str, int]]:
+        """part cut so that each piece fits, and each piece's tokens with the headings."""
+        many = count(whole(above, part))
+        if many <= limit or len(part) == 1:
+            return [(part, many)]
         words = re.findall(r"\s*\S+(?:\s+$)?|\s+", part)
         units = words if len(words) > 1 else [part[: len(part) // 2], part[len(part) // 2 :]]
         out: list[str] = []
+        last: list[int] = []
         for unit in units:
             # the longest run of units that fits; a unit by itself may have to be cut again
-            if out and count(whole(above, out[-1] + unit)) <= limit:
-                out[-1] += unit
+            if out and (n := grown(above, out[-1], last[-1], unit)) <= limit:
+                out[-1] = out[-1] + unit
+                last[-1] = n
             else:
-                out += pieces(above, unit) if len(units) > 1 else [unit]
-        return out
+                for piece, n in pieces(above, unit):
+                    out.append(piece)
+                    last.append(n)
+        return list(zip(out, last, strict=True))
 
-    above, held = [], ""
+    above, held, many = [], "", 0
     for line in lines:
         if m := pattern.fullmatch(line.strip()):
             if held:
@@ -82,7 +95,7 @@ def segments(text: str, count: Callable[[str], int], limit: int = TOKENS, headin
             stack[:] = [x for x in stack if x[0] < level]
             above, held = context(), ""
             stack.append((level, m[2].strip()))
-            for part in pieces(above, line):
+            for part, _ in pieces(above, line):
                 if held:
                     yield above, held, whole(above, held)
                 held = part
@@ -90,13 +103,13 @@ def segments(text: str, count: Callable[[str], int], limit: int = TOKENS, headin
                 yield above, held, whole(above, held)
             above, held = context(), ""
             continue
-        if held and count(whole(above, held + line)) <= limit:
-            held += line
+        if held and (n := grown(above, held, many, line)) <= limit:
+            held, many = held + line, n
             continue
-        for part in pieces(above, line):
+        for part, n in pieces(above, line):
             if held:
                 yield above, held, whole(above, held)
-            held = part
+            held, many = part, n
     if held:
         yield above, held, whole(above, held)
 
@@ -107,7 +120,8 @@ def token_chunks(docs: DataFrame, vocabulary: str, limit: int = TOKENS, heading:
     vocabulary is the path of a file of the tokenizers library, on all executors. Empty and null texts have no chunk; equal documents are cut alike, each by itself.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
@@ -119,13 +133,24 @@ def token_chunks(docs: DataFrame, vocabulary: str, limit: int = TOKENS, heading:
             """Tokens of a text: of its words, where the vocabulary never joins text across white space."""
             return sum(known[w] if w in known else known.setdefault(w, len(tokenizer.encode(w, add_special_tokens=False).ids)) for w in text.split())
 
+        def table(batch, rows: list[tuple]):
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+            at, *columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], ["document", "chunk_index", "headings", "text", "contextualized_text", "tokens"])
+
         for batch in batches:
-            for document, text in zip(batch["document"], batch["text"], strict=True):
+            rows, held = [], 0
+            for at, text in enumerate(batch.column(1)):
                 if len(known) > 500_000:
                     known.clear()
-                rows = [(document, i, above, said, whole, count(whole)) for i, (above, said, whole) in enumerate(segments(text or "", count, limit, heading))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["document", "chunk_index", "headings", "text", "contextualized_text", "tokens"])
+                for i, (above, said, whole) in enumerate(segments(text.as_py() or "", count, limit, heading, additive=True)):
+                    rows.append((at, i, above, said, whole, count(whole)))
+                    held += len(whole)
+                    if held > BATCH:
+                        yield table(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield table(batch, rows)
 
     kind = dict(docs.dtypes)["document"]
-    return docs.select("document", "text").mapInPandas(run, f"document {kind}, chunk_index int, headings array<string>, text string, contextualized_text string, tokens int")
+    return docs.select("document", "text").mapInArrow(run, f"document {kind}, chunk_index int, headings array<string>, text string, contextualized_text string, tokens int")

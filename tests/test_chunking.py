@@ -89,3 +89,18 @@ def test_token_chunks(spark):
     for i, t in enumerate(texts):
         chunks = got.get(i, {})
         assert sorted(chunks) == list(range(len(chunks))) and "".join(chunks[k].text for k in sorted(chunks)) == (t or "")
+
+
+def test_additive_counts_cut_alike_and_each_word_is_counted_few_times():
+    text = "# A\n" + "".join(f"w{i} x{i}y \u2028 z\n" if i % 7 else f"## H {i}\n" + "long " * 40 + "q" * 90 + "\n" for i in range(120))
+    seen = []
+
+    def count(s):
+        seen.append(len(s))
+        return sum(1 + len(w) // 8 for w in s.split())
+
+    plain = list(chunking.segments(text, count, 30))
+    before = sum(seen)
+    seen.clear()
+    assert list(chunking.segments(text, count, 30, additive=True)) == plain
+    assert sum(seen) < 0.5 * before and "".join(said for _, said, _ in plain) == text
