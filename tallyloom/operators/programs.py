@@ -14,6 +14,8 @@ PROFILES = {
 }
 PROGRAMS = [("tde-9-tymm", ["Türk Dili ve Edebiyatı", "Seçmeli Türk Dili ve Edebiyatı"], "9", "TDE")]
 SKILLS = {"written": ["Okuma", "Yazma"], "listening": ["Dinleme/İzleme"], "speaking": ["Konuşma"]}
+#: Keywords that are sent to all tasks, at most.
+KEYWORDS = 10_000
 OF_SKILLS = [(["dinleme/izleme", "dinleme", "izleme"], "listening"), (["konusma"], "speaking"), (["okuma", "yazma"], "written")]
 
 
@@ -87,7 +89,8 @@ def keyword_links(questions: DataFrame, outcomes: DataFrame, fallback: str) -> D
     """question_id, outcome_id: outcomes with a keyword in the question's text, else the fallback.
 
     questions(question_id, text), outcomes(outcome_id, keywords). Keywords meet the text's runs of up to three characters by an equi-join on
-    their first three (a shorter one as a whole), so the pairs of questions and outcomes are never all made.
+    their first three (a shorter one as a whole), so the pairs of questions and outcomes are never all made. Keywords go to all tasks while they are at most
+    KEYWORDS. Questions without an outcome are told from the same pass: each question meets its outcomes by its id, in no join.
     """
     words = questions.select("question_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     keys = outcomes.select("outcome_id", F.explode("keywords").alias("k")).select("outcome_id", F.lower("k").alias("k")).where("k <> ''").distinct()
@@ -97,6 +100,9 @@ def keyword_links(questions: DataFrame, outcomes: DataFrame, fallback: str) -> D
         return F.when(F.length("t") >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
     grams = words.select("question_id", "t", F.explode(F.concat(*[runs(n) for n in (1, 2, 3)])).alias("g"))
-    found = grams.join(keys.withColumn("g", F.substring("k", 1, 3)), "g").where(F.contains(F.col("t"), F.col("k"))).select("question_id", "outcome_id").distinct()
-    rest = questions.select("question_id").join(found, "question_id", "left_anti").distinct().withColumn("outcome_id", F.lit(fallback))
-    return found.unionByName(rest)
+    keys = keys.withColumn("g", F.substring("k", 1, 3))
+    few = keys.limit(KEYWORDS + 1).count() <= KEYWORDS
+    found = grams.join(F.broadcast(keys) if few else keys, "g").where(F.contains(F.col("t"), F.col("k"))).select("question_id", "outcome_id")
+    every = questions.select("question_id", F.lit(None).cast("string").alias("outcome_id"))
+    met = found.unionByName(every).groupBy("question_id").agg(F.collect_set("outcome_id").alias("o"))  # nulls are left out
+    return met.select("question_id", F.explode(F.when(F.size("o") > 0, F.col("o")).otherwise(F.array(F.lit(fallback)))).alias("outcome_id"))
