@@ -40,6 +40,17 @@ def outcome_totals(questions: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("rate", rate(F.col("earned"), F.col("possible"))).withColumn("level", bands.level(F.col("rate"))).withColumn("decision", bands.decision(F.col("rate")))
 
 
+def evidence_totals(rows: DataFrame) -> DataFrame:
+    """outcome_totals() of the rows of evidence(), whose questions have the weighted points: nothing is joined or dealt again."""
+
+    def added(name: str) -> Column:
+        points = F.filter(F.transform("questions", lambda q: q[name].cast(DECIMAL)), lambda x: x.isNotNull())
+        return F.when(F.size(points) > 0, F.aggregate(points, F.lit(0).cast("decimal(38,6)"), lambda a, x: (a + x).cast("decimal(38,6)"))).cast("double")
+
+    out = rows.select("exam", "outcome", added("earned").alias("earned"), added("possible").alias("possible"), F.size(F.array_distinct(F.transform("questions", lambda q: q["question"]))).cast("long").alias("questions"))
+    return out.withColumn("rate", rate(F.col("earned"), F.col("possible"))).withColumn("level", bands.level(F.col("rate"))).withColumn("decision", bands.decision(F.col("rate")))
+
+
 def equal_links(questions: DataFrame) -> DataFrame:
     """Links with equal weights from questions(exam, question, outcomes array<string>): 1 / n for each of n."""
     return questions.select("exam", "question", F.explode("outcomes").alias("outcome"), (F.lit(1.0) / F.size("outcomes")).alias("weight"))

@@ -14,6 +14,8 @@ from tallyloom import staging
 from tallyloom.operators import corrections, documents, measure, rules
 
 Tables = dict[str, DataFrame]
+#: Tables that a stage adds, in the order in which they are made; one that is given as a function takes the tables so far, those before it in its stage included.
+Added = dict[str, DataFrame | Callable[[Tables], DataFrame]]
 
 
 @dataclass(frozen=True)
@@ -25,7 +27,7 @@ class Stage:
     """
 
     name: str
-    run: Callable[[Tables], Tables]
+    run: Callable[[Tables], Added]
     required: bool = True
     needs: tuple[str, ...] = ()
     label: str = ""
@@ -64,9 +66,10 @@ def run(stages: list[Stage], tables: Tables) -> tuple[Tables, list[Trace]]:
             continue
         began = time.perf_counter()
         try:
-            added = stage.run(tables)
-            tables = tables | added
-            trace.state, trace.adds = "done", sorted(added)
+            made = dict(tables)
+            for name, df in (added := stage.run(tables)).items():
+                made[name] = df(made) if callable(df) else df
+            tables, trace.state, trace.adds = made, "done", sorted(added)
         except Exception as error:  # told in the trace; only a required stage stops the others
             trace.state, trace.error = "failed", f"{type(error).__name__}: {error}"[:300]
             stop = stage.required
@@ -102,9 +105,11 @@ def materialised(spark: SparkSession, stages: list[Stage], tables: Tables, folde
             continue
         began = time.perf_counter()
         try:
-            added = stage.run(tables)
-            trace.rows = {name: _written(df, f"{at}/{name}") for name, df in added.items()}
-            made = tables | {name: spark.read.schema(df.schema).parquet(f"{at}/{name}") for name, df in added.items()}
+            made = dict(tables)
+            for name, df in (added := stage.run(tables)).items():
+                df = df(made) if callable(df) else df
+                trace.rows[name] = _written(df, f"{at}/{name}")
+                made[name] = spark.read.schema(df.schema).parquet(f"{at}/{name}")  # what a later table of the stage is made from
             trace.issues = {name: many for name, df in (stage.checks(made) if stage.checks else {}).items() if (many := df.count())}
             trace.state, trace.adds, trace.seconds = "done", sorted(added), time.perf_counter() - began
             spark.createDataFrame([(json.dumps(asdict(trace)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/_trace")
@@ -115,11 +120,12 @@ def materialised(spark: SparkSession, stages: list[Stage], tables: Tables, folde
     return tables, traces
 
 
-def _read(t: Tables) -> Tables:
-    payloads = t["payloads"]
-    bad = documents.payload_issues(payloads)
-    good = payloads.join(bad.where("severity = 'error'").select("exam").distinct(), "exam", "left_anti")
-    return {"issues": bad, "good": good, "questions": documents.questions(good), "students": documents.students(good)}
+def _good(t: Tables) -> DataFrame:
+    return t["payloads"].join(t["issues"].where("severity = 'error'").select("exam").distinct(), "exam", "left_anti")
+
+
+def _read(t: Tables) -> Added:
+    return {"issues": documents.payload_issues(t["payloads"]), "good": _good, "questions": lambda t: documents.questions(t["good"]), "students": lambda t: documents.students(t["good"])}
 
 
 def _measure(t: Tables) -> Tables:
@@ -127,10 +133,10 @@ def _measure(t: Tables) -> Tables:
     return {"question_results": totals, "links": documents.links(t["questions"])}
 
 
-def _outcomes(t: Tables) -> Tables:
+def _outcomes(t: Tables) -> Added:
     counts = t["good"].where("correctedCells is not null").select("exam", corrections.clean_counts(t["good"]["correctedCells"]).alias("cells"))
     cells = corrections.merged(counts)
-    return {"outcome_results": measure.outcome_totals(t["question_results"], t["links"]), "evidence": measure.evidence(t["question_results"], t["links"], cells)}
+    return {"evidence": measure.evidence(t["question_results"], t["links"], cells), "outcome_results": lambda t: measure.evidence_totals(t["evidence"])}
 
 
 def _boundaries(t: Tables) -> Tables:
@@ -143,7 +149,7 @@ ANALYSIS = [Stage("documents", _read), Stage("measurement", _measure), Stage("ou
 
 def _boundary(t: Tables) -> Tables:
     keys = t["questions"].select("exam", "question")
-    return {"repeated-question": rules.repeats(keys, ["exam", "question"], ["question"]), "unknown-question": rules.unknown(documents.scores(t["students"]).select("exam", "question").distinct(), keys, ["exam", "question"])}
+    return {"repeated-question": rules.repeats(keys, ["exam", "question"], ["question"]), "unknown-question": rules.unknown(documents.scored(t["students"]), keys, ["exam", "question"])}
 
 
 #: The analysis for materialised(): later stages name what they need, and each boundary is checked.

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import documents, merge, programs, prompts
+from tallyloom.operators import documents, measure, merge, programs, prompts, rules
 from tallyloom.plans import flow
 
 
@@ -137,3 +137,33 @@ def test_materialised_analysis(spark, payloads, tmp_path):
     tables, traces = flow.materialised(spark, flow.MATERIALISED, {"payloads": payloads}, f"{tmp_path}/y")
     assert [t.state for t in traces] == ["done"] * 3 and traces[1].rows == {"question_results": 4, "links": 5} and not any(t.issues for t in traces)
     assert {r.outcome: r.earned for r in tables["outcome_results"].collect()} == {"A | TDE1.1": 38.0, "k1": 9.0, "k2": 9.0, "Soru 9": 24.0}
+
+
+def test_a_stage_makes_its_tables_from_those_it_wrote(spark, payloads, tmp_path):
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        times.add(1)
+        return x
+
+    stage = flow.Stage("s", lambda t: {"a": spark.range(5).select(seen("id").alias("id")), "b": lambda t: t["a"].where("id > 1"), "c": lambda t: t["b"].where("id > 2")})
+    tables, traces = flow.materialised(spark, [stage], {}, f"{tmp_path}/z")
+    assert traces[0].rows == {"a": 5, "b": 3, "c": 2} and times.value == 5  # each row was made once, not for each table
+    assert {n: t.count() for n, t in flow.run([stage], {})[0].items()} == {"a": 5, "b": 3, "c": 2}
+
+
+def test_evidence_has_the_totals(spark):
+    questions = spark.createDataFrame([("e", q, e, p) for q, e, p in ((1, 0.1, 3.0), (2, 0.2, None), (3, 7.0, 9.0))] + [("f", 1, None, None)], "exam string, question int, earned double, possible double")
+    links = spark.createDataFrame([("e", 1, "A", 1 / 3), ("e", 1, "A", 1 / 3), ("e", 2, "A", 1.0), ("e", 3, "B", 0.5), ("e", 9, "C", 1.0), ("f", 1, "A", 1.0)], "exam string, question int, outcome string, weight double")
+    want, got = measure.outcome_totals(questions, links), measure.evidence_totals(measure.evidence(questions, links))
+    assert want.schema.simpleString() == got.schema.simpleString() and sorted(map(str, want.collect())) == sorted(map(str, got.collect())) and got.count() == 3
+
+
+def test_scored_questions_and_repeats(spark):
+    rows = spark.createDataFrame([("e", [1.0, None]), ("e", [1.0, 2.0, None]), ("f", []), ("g", None), (None, [2.0])], "exam string, scores array<double>").selectExpr("exam", "1 as student", "scores")
+    want = documents.scores(rows).select("exam", "question").distinct()
+    assert sorted(map(str, documents.scored(rows).collect())) == sorted(map(str, want.collect()))
+    keys = spark.createDataFrame([("e", 1), ("e", 1), ("e", 1), ("e", 2), (None, 1), (None, 1)], "exam string, question int")
+    again = rules.repeats(keys, ["exam", "question"], ["question"])
+    assert "Window" not in again._jdf.queryExecution().toString() and sorted(map(str, map(tuple, again.collect()))) == ["('e', 1)", "('e', 1)", "(None, 1)"]
