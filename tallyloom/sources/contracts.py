@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,39 +64,42 @@ class Contracts:
         if sections is None:
             return rows.select(*keys, F.lit(name).alias("path"), F.lit("NO_CONTRACT").alias("code"))
         open_ = all(s.open for s in sections.values())  # then the document may have other sections, too
-        parsed = rows.select(*keys, F.try_parse_json(json).alias("_v"))
         issue = lambda path, code: F.struct((F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(code).alias("code"))
         none = F.array().cast("array<struct<path: string, code: string>>")
-        some = lambda wanted, path, code: F.when(wanted, F.array(issue(path, code))).otherwise(none)
-        get = lambda v, path: F.try_variant_get(v, path, "variant")
+        some = lambda found: F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none
+        fields_of = lambda v: F.try_variant_get(v, "$", "map<string, variant>")
+        once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731 - x is made once, however often f has it
 
-        def names_of(v: Column) -> Column:
-            return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+        def unknown(m: Column, known: list[str], path: Callable[[Column], Column]) -> Column:
+            return F.transform(F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, known)).cast("array<string>"))), lambda k: issue(path(k), "UNKNOWN"))
 
         def within(v: Column, path: Column, s: Section) -> Column:
+            """What is wrong in an object, which is taken apart once: getting a value out of a VARIANT builds it anew."""
             known = {**s.fields, **s.optional}
-            other = F.transform(F.array_sort(F.array_except(names_of(v), F.array(*map(F.lit, [*known, *s.lists])))), lambda k: issue(F.concat(path, F.lit("."), k), "UNKNOWN"))
-            parts = [none if s.open else other]
-            for k, kind in known.items():
-                at, x = F.concat(path, F.lit(f".{k}")), get(v, f"$.{k}")
-                missing = x.isNull() if k in s.fields else F.lit(False)
-                parts.append(F.when(missing, F.array(issue(at, "MISSING"))).when(x.isNotNull() & ~is_kind(x, kind), F.array(issue(at, "KIND"))).otherwise(none))
-            for k, inner in s.lists.items():
-                x = get(v, f"$.{k}")
-                parts.append(F.when(x.isNotNull(), listed(v, k, F.concat(path, F.lit(f".{k}")), inner)).otherwise(none))
-            return F.when(is_kind(v, "object"), F.concat(*parts)).otherwise(F.array(issue(path, "NOT_OBJECT")))
-
-        def listed(v: Column, k: str, path: Column, s: Section) -> Column:
-            items = F.try_variant_get(v, f"$.{k}", "array<variant>")
-            each = F.flatten(F.transform(items, lambda x, i: within(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), s)))
-            return F.when(is_kind(get(v, f"$.{k}"), "list"), F.coalesce(each, none)).otherwise(F.array(issue(path, "NOT_LIST")))
-
-        whole = F.col("_v")
-        outer = [some(get(F.col("_v"), f"$.{s}").isNull(), s, "MISSING") for s in sections]
+
+            def of(m: Column) -> Column:
+                single = []
+                for k, kind in known.items():
+                    at, x = F.concat(path, F.lit(f".{k}")), m[k]
+                    wrong = F.when(x.isNotNull() & ~is_kind(x, kind), issue(at, "KIND"))
+                    single.append(F.when(x.isNull(), issue(at, "MISSING")).otherwise(wrong) if k in s.fields else wrong)
+                parts = [none if s.open else unknown(m, [*known, *s.lists], lambda k: F.concat(path, F.lit("."), k)), some(single)]
+                parts += [F.when(m[k].isNotNull(), listed(m[k], F.concat(path, F.lit(f".{k}")), inner)).otherwise(none) for k, inner in s.lists.items()]
+                return F.when(m.isNotNull(), F.concat(*parts)).otherwise(F.array(issue(path, "NOT_OBJECT")))
+
+            return once(fields_of(v), of)
+
+        def listed(v: Column, path: Column, s: Section) -> Column:
+            each = lambda items: F.flatten(F.transform(items, lambda x, i: within(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), s)))
+            return once(F.try_variant_get(v, "$", "array<variant>"), lambda items: F.when(items.isNotNull(), each(items)).otherwise(F.array(issue(path, "NOT_LIST"))))
+
+        whole = F.col("_m")
+        outer = [some([F.when(whole[s].isNull(), issue(s, "MISSING")) for s in sections])]
         if not open_:
-            outer.append(F.transform(F.array_sort(F.array_except(names_of(whole), F.array(*map(F.lit, sections)))), lambda k: issue(k, "UNKNOWN")))
-        inner = [listed(whole, k, F.lit(k), s) if s.many else within(get(whole, f"$.{k}"), F.lit(k), s) for k, s in sections.items()]
-        found = parsed.withColumn("_outer", F.when(is_kind(F.col("_v"), "object"), F.concat(*outer)).otherwise(F.array(issue("root", "NO_OBJECT"))))
+            outer.append(unknown(whole, list(sections), lambda k: k))
+        inner = [listed(whole[k], F.lit(k), s) if s.many else within(whole[k], F.lit(k), s) for k, s in sections.items()]
+        parsed = rows.select(*keys, fields_of(F.try_parse_json(json)).alias("_m"))
+        found = parsed.withColumn("_outer", F.when(whole.isNotNull(), F.concat(*outer)).otherwise(F.array(issue("root", "NO_OBJECT"))))
         return found.select(*keys, F.inline(F.when(F.size("_outer") > 0, F.col("_outer")).otherwise(F.concat(*inner))))
 
 

@@ -54,6 +54,12 @@ def test_contracts(spark):
     assert CONTRACTS.names() == ["exam", "outcomes", "answers"] and CONTRACTS.get("x") is None
 
 
+def test_contracts_take_an_object_apart_once(spark):
+    rows = spark.createDataFrame([(1, json.dumps(good()))], "k int, j string")
+    plan = CONTRACTS.check(rows, ["k"], "j", "exam")._jdf.queryExecution().analyzed().toString()
+    assert "to_json" not in plan and plan.count("try_variant_get") <= 12  # one for each object or list, none for each field
+
+
 def test_kinds(spark):
     values = {"{}": "object", "[]": "list", '"x"': "string", "1": "integer", "1.5": "number", "1e3": "number", "true": "boolean", "null": "null"}
     df = spark.createDataFrame([(v,) for v in values], "j string").withColumn("v", F.parse_json("j"))
