@@ -20,11 +20,14 @@ def report_issues(reports: DataFrame) -> DataFrame:
     folded = [text.course_fold(F.col(c).cast("string")).alias(c) for c in CONTEXT]
     rows = reports.select("class", "component", *folded)
     gap = lambda c: F.bool_or(F.col(c) == "")
-    out = rows.groupBy("class").agg(
-        F.bool_or(~F.coalesce(known, F.lit(False))).alias("UNKNOWN_COMPONENT"), (F.count(F.when(known, 1)) > F.countDistinct(F.when(known, F.col("component")))).alias("REPEATED_COMPONENT"),
-        (F.countDistinct(F.when(known, F.col("component"))) < len(COMPONENTS)).alias("MISSING_COMPONENT"),
-        *[gap(c).alias(f"NO_{c.upper()}") for c in CONTEXT], *[(F.countDistinct(F.when(F.col(c) != "", F.col(c))) > 1).alias(f"DIFFERENT_{c.upper()}") for c in CONTEXT],
+    # bits for components, least and greatest for texts: to count distinct ones would copy each row for each column
+    bit = F.coalesce(*[F.when(F.col("component") == c, 1 << i) for i, c in enumerate(COMPONENTS)])
+    said = lambda c: F.when(F.col(c) != "", F.col(c))
+    seen = rows.groupBy("class").agg(
+        F.bool_or(~F.coalesce(known, F.lit(False))).alias("UNKNOWN_COMPONENT"), F.count(F.when(known, 1)).alias("_many"), F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0))).alias("_kinds"),
+        *[gap(c).alias(f"NO_{c.upper()}") for c in CONTEXT], *[(F.min(said(c)) != F.max(said(c))).alias(f"DIFFERENT_{c.upper()}") for c in CONTEXT],
     )
+    out = seen.withColumns({"REPEATED_COMPONENT": F.col("_many") > F.col("_kinds"), "MISSING_COMPONENT": F.col("_kinds") < len(COMPONENTS)}).drop("_many", "_kinds")
     codes = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in out.columns if c != "class"]), lambda x: x.isNotNull())
     return out.select("class", F.explode(codes).alias("code"))
 

@@ -167,3 +167,11 @@ def test_scored_questions_and_repeats(spark):
     keys = spark.createDataFrame([("e", 1), ("e", 1), ("e", 1), ("e", 2), (None, 1), (None, 1)], "exam string, question int")
     again = rules.repeats(keys, ["exam", "question"], ["question"])
     assert "Window" not in again._jdf.queryExecution().toString() and sorted(map(str, map(tuple, again.collect()))) == ["('e', 1)", "('e', 1)", "(None, 1)"]
+
+
+def test_reports_are_not_copied_for_each_column(spark):
+    rows = spark.createDataFrame([("c", "written", "S", "s ", "", None, "1"), ("c", "written", "T", "S", "", "x", "1"), ("d", None, "", "a", "a", "a", "a")], "class string, component string, school string, course string, class_section string, year string, term string")
+    found = merge.report_issues(rows)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {("c", x) for x in ("REPEATED_COMPONENT", "MISSING_COMPONENT", "NO_CLASS_SECTION", "NO_YEAR", "DIFFERENT_SCHOOL")} | {("d", x) for x in ("UNKNOWN_COMPONENT", "MISSING_COMPONENT", "NO_SCHOOL")}
+    assert {tuple(r) for r in found.collect()} == want
