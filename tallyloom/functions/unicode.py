@@ -57,14 +57,21 @@ class Fold:
         odd = "".join(f"\\x{{{n:x}}}" for n in range(LATIN) if chr(n) not in single)
         self.latin = rf"^[\x{{0}}-\x{{{LATIN - 1:x}}}&&[^{odd}]]*$" if odd else rf"^[\x{{0}}-\x{{{LATIN - 1:x}}}]*$"
 
+    def of(self, text: str) -> str:
+        """The fold of one text."""
+        return " ".join(self.rule(text).split()) if self.squeeze else self.rule(text)
+
+    def __getstate__(self):
+        return {"rule": self.rule, "squeeze": self.squeeze}  # what a task needs
+
     @functools.cached_property
     def exact(self):
         """The fold in Python; made when it is first used, as that needs a session."""
-        rule, squeeze = self.rule, self.squeeze
+        of = self.of
 
         def run(texts: pd.Series) -> pd.Series:
             done = {None: None}
-            return texts.map(lambda t: done[t] if t in done else done.setdefault(t, " ".join(rule(t).split()) if squeeze else rule(t)))
+            return texts.map(lambda t: done[t] if t in done else done.setdefault(t, of(t)))
 
         run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
         return F.pandas_udf(run, "string")

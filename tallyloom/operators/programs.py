@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text
+from tallyloom.functions import text, unicode
 
 # fixed values: courses and weights of each profile, programs, skills of each component
 PROFILES = {
@@ -19,23 +21,38 @@ KEYWORDS = 10_000
 OF_SKILLS = [(["dinleme/izleme", "dinleme", "izleme"], "listening"), (["konusma"], "speaking"), (["okuma", "yazma"], "written")]
 
 
+def _dimension(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A table of literals: rows of Python objects would pass through a Python worker for each core."""
+    value = lambda v: F.create_map(*[F.lit(x) for pair in v.items() for x in pair]) if isinstance(v, dict) else F.lit(v)
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[value(v).alias(k) for k, v in row.items()]) for row in rows])))
+
+
 def profiles(spark: SparkSession) -> DataFrame:
-    rows = [(k, c, w) for k, (courses, w) in PROFILES.items() for c in courses]
-    return spark.createDataFrame(rows, "profile string, course string, weights map<string, double>").withColumn("course_key", text.course_fold(F.col("course"))).drop("course")
+    return _dimension(spark, [{"profile": k, "weights": w, "course_key": unicode.COURSE.of(c)} for k, (courses, w) in PROFILES.items() for c in courses])
+
+
+def _known_courses(exams: DataFrame, fold: Callable[[Column], Column], dim: DataFrame) -> DataFrame:
+    """course and what dim has for it, for the courses as they are written in exams(course) and whose fold is a course_key of dim.
+
+    Each spelling is folded once, however many exams have it: a fold passes all its rows through Python.
+    """
+    many = exams.groupBy("course").agg(F.count("*").alias("n"))
+    written = many.select("course", fold(F.when(F.col("n") > 0, F.col("course"))).alias("course_key"))  # n keeps conditions on the fold from being put to all rows
+    return written.join(F.broadcast(dim), "course_key").drop("course_key")
 
 
 def with_profile(exams: DataFrame) -> DataFrame:
-    """exams(course) with profile and weights; null where the course has none. The dimension has a fixed number of rows."""
-    dim = profiles(exams.sparkSession)
-    return exams.withColumn("course_key", text.course_fold(F.col("course"))).join(F.broadcast(dim), "course_key", "left").drop("course_key")
+    """exams(course) with profile and weights; null where the course has none. The dimension has a fixed number of rows; spellings of its courses go to all tasks."""
+    known = _known_courses(exams, text.course_fold, profiles(exams.sparkSession))
+    return exams.join(F.broadcast(known), "course", "left").select(*exams.columns, "profile", "weights")
 
 
 def with_program(exams: DataFrame) -> DataFrame:
-    """exams(course, grade) with program and outcome_prefix; null where there is none. The dimension has a fixed number of rows."""
-    rows = [(p, c, g, x) for p, courses, g, x in PROGRAMS for c in courses]
-    dim = exams.sparkSession.createDataFrame(rows, "program string, c string, g string, outcome_prefix string").select("program", text.catalog_fold(F.col("c")).alias("course_key"), F.col("g").alias("grade_key"), "outcome_prefix")
-    keyed = exams.withColumns({"course_key": text.catalog_fold(F.col("course")), "grade_key": text.grade_base(F.trim("grade"))})
-    return keyed.join(F.broadcast(dim), ["course_key", "grade_key"], "left").drop("course_key", "grade_key")
+    """exams(course, grade) with program and outcome_prefix; null where there is none. The dimension has a fixed number of rows; spellings of its courses go to all tasks."""
+    dim = _dimension(exams.sparkSession, [{"program": p, "course_key": unicode.CATALOG.of(c), "grade_key": g, "outcome_prefix": x} for p, courses, g, x in PROGRAMS for c in courses])
+    known = _known_courses(exams, text.catalog_fold, dim)
+    keyed = exams.withColumn("grade_key", text.grade_base(F.trim("grade")))
+    return keyed.join(F.broadcast(known), ["course", "grade_key"], "left").select(*exams.columns, "program", "outcome_prefix")
 
 
 def request_issues(requests: DataFrame) -> DataFrame:

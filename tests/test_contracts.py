@@ -60,6 +60,18 @@ def test_contracts_take_an_object_apart_once(spark):
     assert "to_json" not in plan and plan.count("try_variant_get") <= 12  # one for each object or list, none for each field
 
 
+def test_each_spelling_of_a_course_is_folded_once(spark):
+    names = ["Türkçe", " TÜRKÇE", "TüRK Dili  ve edebiyatı", "Fizik", "", None]
+    exams = spark.range(60).select("id", F.get(F.array(*map(F.lit, names)), (F.col("id") % 6).cast("int")).alias("course"), F.lit("9. Sınıf").alias("grade"))
+    both = programs.with_program(programs.with_profile(exams))
+    assert both.columns == ["id", "course", "grade", "profile", "weights", "program", "outcome_prefix"]
+    got = {(r.course, r.profile, r.program) for r in both.collect()}
+    assert got == {(names[0], "language-50-25-25", None), (names[1], "language-50-25-25", None), (names[2], "tde-70-15-15", "tde-9-tymm"), ("Fizik", None, None), ("", None, None), (None, None, None)} and both.count() == 60
+    plan = programs.with_profile(exams)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    python, distinct = [i for i, line in enumerate(plan) if "EvalPython" in line], next(i for i, line in enumerate(plan) if "Aggregate [course" in line)
+    assert python and max(python) < distinct and "RDD" not in "".join(plan)  # Python gets distinct courses only, and the dimension none
+
+
 def test_kinds(spark):
     values = {"{}": "object", "[]": "list", '"x"': "string", "1": "integer", "1.5": "number", "1e3": "number", "true": "boolean", "null": "null"}
     df = spark.createDataFrame([(v,) for v in values], "j string").withColumn("v", F.parse_json("j"))
