@@ -131,18 +131,57 @@ def fnv1a(texts: list[str]) -> list[str]:
     return out
 
 
-@F.pandas_udf(StringType())
-def digest_without_integrity(texts: pd.Series) -> pd.Series:
-    """FNV-1a of the canonical form of JSON objects without their field integrity; null for what is no object."""
-    found = [_loaded(t) for t in texts]
-    there = [i for i, x in enumerate(found) if isinstance(x, dict)]
-    digests = fnv1a([_plain({k: v for k, v in found[i].items() if k != "integrity"}) for i in there])
-    out = pd.Series([None] * len(found), dtype=object)
-    for i, d in zip(there, digests, strict=True):
+#: Texts that a worker holds as Python objects at a time.
+SLICE = 1000
+
+
+def _digests(values: list) -> list[str | None]:
+    """FNV-1a of the canonical form of dicts without their field integrity; None for all else."""
+    there = [i for i, x in enumerate(values) if isinstance(x, dict)]
+    out: list[str | None] = [None] * len(values)
+    for i, d in zip(there, fnv1a([_plain({k: v for k, v in values[i].items() if k != "integrity"}) for i in there]), strict=True):
         out[i] = d
     return out
 
 
+def sealed(algorithm: str, fields: dict, defaults: dict | None = None) -> Callable[[Column, Column, Column], Column]:
+    """A function of columns of JSON objects (head, workspace, more): the head with the workspace and its integrity, the digest of both, behind its fields; null for what is no object.
+
+    The workspace gets fields and more's in the place of those of the same name or behind the others, and the defaults that it lacks. All in one pass: each pass has a worker for each core.
+    """
+
+    @F.pandas_udf(StringType())
+    def packed(heads: pd.Series, spaces: pd.Series, more: pd.Series) -> pd.Series:
+        def body(head: str | None, space: str | None, extra: str | None) -> dict | None:
+            first, found = _loaded(head), _loaded(space)
+            return first | {"workspace": (defaults or {}) | found | fields | (_loaded(extra) or {})} if isinstance(first, dict) and isinstance(found, dict) else None
+
+        def some(k: int) -> list[str | None]:
+            bodies = [body(*x) for x in zip(heads[k : k + SLICE], spaces[k : k + SLICE], more[k : k + SLICE], strict=True)]
+            seals = [{"integrity": {"algorithm": algorithm, "digest": d}} for d in _digests(bodies)]
+            return [None if x is None else json.dumps(x | seal, ensure_ascii=False, separators=(",", ":")) for x, seal in zip(bodies, seals, strict=True)]
+
+        return pd.Series([x for k in range(0, len(heads), SLICE) for x in some(k)], dtype=object)
+
+    return packed
+
+
+def looked_into(names: list[str], root: str = "") -> Callable[[Column], Column]:
+    """A function of a column of JSON texts: digest (FNV-1a of the canonical form of an object without its field integrity; null for what is no object) and the key_paths() of names."""
+    wanted = frozenset(names)
+
+    @F.pandas_udf("digest string, paths array<string>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        digests, paths = [], []
+        for k in range(0, len(texts), SLICE):
+            values = [_loaded(t) for t in texts[k : k + SLICE]]
+            digests += _digests(values)
+            paths += [list(_paths(v, wanted, root)) for v in values]
+        return pd.DataFrame({"digest": pd.Series(digests, dtype=object), "paths": pd.Series(paths, dtype=object)})
+
+    return found
+
+
 @F.pandas_udf(StringType())
 def fnv1a_texts(texts: pd.Series) -> pd.Series:
     """FNV-1a of texts; null for null."""

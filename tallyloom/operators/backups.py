@@ -51,20 +51,23 @@ def _is_object(variant: Column) -> Column:
     return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
 
 
-def _packed(rows: DataFrame, head: dict[str, Column], workspace: Column) -> DataFrame:
-    """rows with package: head's fields, then the workspace's text and the integrity of all. Null where the workspace is."""
-    first = F.regexp_replace(F.to_json(F.struct(*[c.alias(k) for k, c in head.items()])), r"\}$", "")
-    body = rows.withColumn("_body", F.concat(first, F.lit(',"workspace":'), workspace, F.lit("}")))
-    sealed_ = body.withColumn("_digest", json_text.digest_without_integrity("_body"))
-    seal = F.concat(F.lit(f',"integrity":{{"algorithm":"{ALGORITHM}","digest":"'), F.col("_digest"), F.lit('"}}'))
-    return sealed_.withColumn("package", F.concat(F.regexp_replace("_body", r"\}$", ""), seal)).drop("_body", "_digest")
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to all tasks: a package takes Python far longer than it takes to read, and few tasks may have read them all."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _packed(head: dict[str, Column], version: int, defaults: dict, more: dict[str, Column] | None = None) -> Column:
+    """The package of the column workspace, with head's fields, then the workspace with its version and more's fields, and the integrity of all. Null where the workspace is no object."""
+    text = lambda fields: F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])) if fields else F.lit("{}")
+    return json_text.sealed(ALGORITHM, {"schemaVersion": version}, defaults)(text(head), F.col("workspace"), text(more))
 
 
 def packages(spaces: DataFrame, created: Column, format: str = FORMAT, version: int = CURRENT) -> DataFrame:
     """record_id, package of spaces(record_id, workspace as a JSON object): keys that a workspace must have are added empty. Null for what is no object."""
     empty = {k: {} if k in ("teacherContext", "reportTexts", "approvals", "timestamps") else [] for k in KEYS}
-    space = json_text.with_fields({"schemaVersion": version}, empty)("workspace")
-    return _packed(spaces, {"format": F.lit(format), "schemaVersion": F.lit(version), "createdAt": created}, space).select("record_id", "package")
+    head = {"format": F.lit(format), "schemaVersion": F.lit(version), "createdAt": created}
+    return spaces.select("record_id", _packed(head, version, empty).alias("package"))
 
 
 def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDDEN) -> DataFrame:
@@ -73,8 +76,8 @@ def opened(rows: DataFrame, format: str = FORMAT, forbidden: list[str] = FORBIDD
     In this order: unreadable (no JSON object), foreign (another format), unversioned, newer, unsupported, unsealed (no integrity, or of another kind), broken (its digest), no-workspace,
     mismatch (the workspace's version is another), incomplete (a key that it must have), private (the first forbidden key, at any depth).
     """
-    columns = {"_v": F.try_parse_json("package"), "_digest": json_text.digest_without_integrity("package"), "_private": json_text.key_paths(forbidden, "")("package")}
-    out = rows.withColumns(columns)
+    seen = rows.withColumn("_seen", json_text.looked_into(forbidden)("package"))
+    out = seen.withColumns({"_v": F.try_parse_json("package"), "_digest": F.col("_seen.digest"), "_private": F.col("_seen.paths")}).drop("_seen")
     get = lambda path, kind="string": F.try_variant_get("_v", path, kind)
     whole = F.schema_of_variant(get("$.schemaVersion", "variant")) == "BIGINT"
     version = F.when(whole, get("$.schemaVersion", "bigint"))
@@ -103,11 +106,11 @@ def brought_up(rows: DataFrame, converted: Column, format: str = FORMAT) -> Data
     # staged, as a filter on what comes out would else be put through all the conditions of a status again
     seen = staging.stage(opened(rows.select("record_id", "package"), format)).withColumnRenamed("package", "_before")
     seen = seen.withColumn("_old", F.when(F.col("status") == "old", F.try_parse_json("_before")))
-    seen = seen.withColumn("_space", json_text.with_fields({"schemaVersion": CURRENT})(F.to_json(F.try_variant_get("_old", "$.workspace", "variant"))))
-    note = F.to_json(F.struct(F.lit(1).alias("sourceVersion"), F.lit(CURRENT).alias("targetVersion"), converted.alias("convertedAt")))
-    space = F.concat(F.regexp_replace("_space", r"\}$", ""), F.lit(',"migration":'), note, F.lit("}"))
+    seen = seen.withColumn("workspace", F.to_json(F.try_variant_get("_old", "$.workspace", "variant")))
+    note = F.struct(F.lit(1).alias("sourceVersion"), F.lit(CURRENT).alias("targetVersion"), converted.alias("convertedAt"))
     head = {"format": F.lit(format), "schemaVersion": F.lit(CURRENT), "createdAt": F.try_variant_get("_old", "$.createdAt", "string")}
-    return _packed(seen, head, space).select("record_id", F.when(F.col("status") == "old", F.col("package")).when(F.col("status") == "ok", F.col("_before")).alias("package"), "status")
+    made = seen.withColumn("package", _packed(head, CURRENT, {}, {"migration": note}))
+    return made.select("record_id", F.when(F.col("status") == "old", F.col("package")).when(F.col("status") == "ok", F.col("_before")).alias("package"), "status")
 
 
 def saved(rows: DataFrame, path: str, format: str = FORMAT) -> DataFrame:

@@ -50,6 +50,7 @@ def _packages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("record_id"), segment, "c_acctbal", space.alias("workspace"))
     of = lambda part, version: backups.packages(part, F.lit("2024-01-01"), version=version)
     low = F.col("c_acctbal") < 0
+    rows = backups.dealt(rows)
     made = of(rows.where(~low & (segment != "BUILDING")), 2).unionByName(of(rows.where(~low & (segment == "BUILDING")), 1)).unionByName(of(rows.where(low), 3))
     return made.withColumn("package", F.when(F.col("record_id") % 7 == 0, F.replace("package", F.lit("2024-01-01"), F.lit("2024-01-02"))).otherwise(F.col("package")))
 
@@ -66,7 +67,7 @@ def saved_packages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select c_custkey as record_id, {_STATUS} = 'old' as converted, 'ok' as status, c_nationkey as nation from customer where {_STATUS} in ('ok', 'old')")
 def migrated_packages(spark: SparkSession, d: str) -> DataFrame:
     """Good packages at the current version, opened again."""
-    up = backups.brought_up(_packages(spark, d), F.lit("2025-01-01")).where("package is not null").select("record_id", "package", (F.col("status") == "old").alias("converted"))
+    up = backups.brought_up(_packages(spark, d), F.lit("2025-01-01")).where(F.col("status").isin("ok", "old")).select("record_id", "package", (F.col("status") == "old").alias("converted"))
     nation = F.variant_get(F.parse_json("package"), "$.workspace.teacherContext.nation", "int")
     return backups.opened(up).select("record_id", "converted", "status", nation.alias("nation"))
 

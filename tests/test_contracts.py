@@ -180,3 +180,18 @@ def test_reports_and_given_averages(spark):
     given = spark.createDataFrame([("x", "speaking", 80.0), ("x", "written", None), ("x", "listening", 70.0)], "class string, component string, average double")
     got = {r.component: (r.average, r.students, r.contribution) for r in measure.component_results(rows, {"written": 0.5, "speaking": 0.25, "listening": 0.25}, given).collect()}
     assert got == {"written": (50.0, 2, 25.0), "speaking": (80.0, 1, 20.0), "listening": (70.0, 0, 17.5)}
+
+
+def test_packages_pass_through_python_once(spark):
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    spaces = spark.createDataFrame([(1, '{"b": {"z": 1.0, "a": "ü"}, "migration": 3, "schemaVersion": 7}'), (2, "[]"), (3, None)], "record_id int, workspace string")
+    made = backups.packages(backups.dealt(spaces), F.lit("2024"), version=1)
+    assert passes(made) == 1 and passes(backups.opened(made)) <= 2
+    old = {r.record_id: r.package for r in made.collect()}
+    assert old[2] is None and old[3] is None and json.loads(old[1])["workspace"]["schemaVersion"] == 1
+    body = {k: v for k, v in json.loads(old[1]).items() if k != "integrity"}
+    assert json.loads(old[1])["integrity"] == {"algorithm": backups.ALGORITHM, "digest": json_text.fnv1a([json_text._plain(body)])[0]}
+    up = backups.brought_up(made, F.lit("2025"))
+    new = next(r.package for r in up.collect() if r.record_id == 1)
+    assert json.loads(new)["workspace"]["migration"] == {"sourceVersion": 1, "targetVersion": 2, "convertedAt": "2025"} and new.count("migration") == 1
+    assert passes(up.where("status = 'old'")) == 1 and backups.opened(up.where("record_id = 1")).first().status == "ok"
