@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 
 
 def clean(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells(keys, row_ix, cell_ix, text) trimmed, without empty rows and columns, rows and columns numbered anew."""
-    trimmed = cells.withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
-    full = F.max(F.length("text"))
-    kept = trimmed.withColumn("_r", full.over(Window.partitionBy(*keys, "row_ix"))).withColumn("_c", full.over(Window.partitionBy(*keys, "cell_ix"))).where("_r > 0 and _c > 0").drop("_r", "_c")
-    row, column = (F.dense_rank().over(Window.partitionBy(*keys).orderBy(c)) - 1 for c in ("row_ix", "cell_ix"))
-    return kept.withColumn("_row", row).withColumn("_column", column).drop("row_ix", "cell_ix").withColumnsRenamed({"_row": "row_ix", "_column": "cell_ix"})
+    """Cells(keys, row_ix, cell_ix, text) trimmed, without empty rows and columns, rows and columns numbered anew.
+
+    Dealt once by keys, which serves all windows. A row that isn't empty is in a column that isn't either, so its number is told in the order that tells whether it is empty.
+    """
+    left = cells.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).repartition(*keys)
+    for at in ("row_ix", "cell_ix"):
+        left = left.withColumn("_full", F.max(F.length("text")).over(Window.partitionBy(*keys, at))).where("_full > 0")
+        left = left.withColumn("_new", F.dense_rank().over(Window.partitionBy(*keys).orderBy(at)) - 1).drop(at, "_full").withColumnRenamed("_new", at)
+    return left
 
 
 def headings(cells: DataFrame, keys: list[str]) -> DataFrame:
     """The role of each column by the first row: student, name, national_id, total or question with its number and maximum."""
-    label = text.label_fold(F.col("text"))
+    first = cells.where("row_ix = 0").select(*keys, "cell_ix", "text", text.label_fold(F.col("text")).alias("_label"))  # folded once for all the questions about it
+    return first.select(*keys, "cell_ix", *_heading(F.col("_label"), F.col("text")))
+
+
+def _heading(label: Column, said: Column) -> list[Column]:
     role = F.when(text.is_national_id(label), "national_id").when(text.is_name(label), "name").when(text.is_student_number(label), "student").when(text.is_total(label), "total").when(text.question_number(label).isNotNull(), "question").otherwise(F.lit("other"))
-    return cells.where("row_ix = 0").select(*keys, "cell_ix", role.alias("role"), text.question_number(label).alias("question"), text.max_score(F.col("text")).alias("max_score"))
+    return [role.alias("role"), text.question_number(label).alias("question"), text.max_score(said).alias("max_score")]
+
+
+def _below(cells: DataFrame, keys: list[str], role: str) -> DataFrame:
+    """Cells below the first row with question and max_score of their column's heading, of columns with this role. A column has its heading in the same window, so cells aren't dealt anew."""
+    labelled = cells.withColumn("_label", F.when(F.col("row_ix") == 0, text.label_fold(F.col("text"))))
+    headed = labelled.withColumn("_head", F.when(F.col("row_ix") == 0, F.struct(*_heading(F.col("_label"), F.col("text"))))).drop("_label")
+    down = Window.partitionBy(*keys, "cell_ix").orderBy("row_ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    under = headed.withColumn("_head", F.first("_head").over(down)).where((F.col("row_ix") > 0) & (F.col("_head.role") == role))
+    for k in keys:
+        under = under.where(F.col(k).isNotNull())
+    return under.select("*", "_head.question", "_head.max_score").drop("_head")
 
 
 def scores(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Long score rows (keys, row_ix, question, max_score, score) of clean cells: names and ids never leave the table."""
-    roles = headings(cells, keys).where("role = 'question'")
-    rows = cells.where("row_ix > 0").join(roles, [*keys, "cell_ix"])
-    return rows.select(*keys, "row_ix", "question", "max_score", text.lenient_number(F.col("text")).alias("score"))
+    return _below(cells, keys, "question").select(*keys, "row_ix", "question", "max_score", text.lenient_number(F.col("text")).alias("score"))
 
 
 def totals(cells: DataFrame, keys: list[str]) -> DataFrame:
-    roles = headings(cells, keys).where("role = 'total'")
-    return cells.where("row_ix > 0").join(roles, [*keys, "cell_ix"]).select(*keys, "row_ix", text.lenient_number(F.col("text")).alias("total"))
+    return _below(cells, keys, "total").select(*keys, "row_ix", text.lenient_number(F.col("text")).alias("total"))
 
 
 def pairs(cells: DataFrame, keys: list[str]) -> DataFrame:

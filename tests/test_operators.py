@@ -309,3 +309,15 @@ def test_keywords_of_any_length(spark):
     outcomes = spark.createDataFrame([("a", ["x", "abc"]), ("b", ["iki", "ir"]), ("c", ["", "zz"]), ("d", None)], "outcome_id string, keywords array<string>")
     got = {tuple(r) for r in programs.keyword_links(questions, outcomes, "none").collect()}
     assert got == {(1, "b"), (2, "a"), (3, "none"), (4, "none")}
+
+
+def test_sheets_are_dealt_once(spark):
+    from tallyloom.sources import tables
+
+    lines = [["", "No", "", "Soru 1 (10p)", "S2 (2,5 puan)", "Toplam"], [" "] * 6, ["", "7", "", "8", None, "9"], ["", "8", "", "", "1,5", "2"]]
+    cells = spark.createDataFrame([(k, r, c, t) for k in ("a", "b") for r, line in enumerate(lines) for c, t in enumerate(line)], "k string, row_ix int, cell_ix int, text string")
+    out = tables.scores(tables.clean(cells, ["k"]), ["k"])
+    assert sorted(map(tuple, out.where("k = 'a'").collect()), key=str) == [("a", 1, 1, 10.0, 8.0), ("a", 1, 2, 2.5, None), ("a", 2, 1, 10.0, None), ("a", 2, 2, 2.5, 1.5)]
+    assert sorted(r.total for r in tables.totals(tables.clean(cells, ["k"]), ["k"]).where("k = 'b'").collect()) == [2.0, 9.0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
