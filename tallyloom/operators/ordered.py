@@ -21,10 +21,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
     dealt = staging.stage(dealt)  # a range's rows must be the same for its sum and for its rows
     sums = dealt.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    # a range goes on with one key at most from the ranges before it, so those with a sum are no more than ranges
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_of"), F.sum("_sum").over(before).alias("_before")).where("_before <> 0")
     same = F.col("_range") == F.col("_of")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     within = Window.partitionBy(*keys, "_range").orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = dealt.withColumn("_within", F.sum("_value").over(within)).join(sums, same)
-    return out.select(*rows.columns, (F.col("_before") + F.col("_within")).alias(name))
+    out = dealt.withColumn("_within", F.sum("_value").over(within)).join(F.broadcast(sums), same, "left")
+    return out.select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_within")).alias(name))

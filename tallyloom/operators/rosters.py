@@ -20,8 +20,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("exam", "group").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("exam").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("exam", "group", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = ordered.running(rows, ["exam", "group"], ["position"], F.lit(1), "row_number").withColumn("row_number", F.col("row_number").cast("int")).join(starts, ["exam", "group"])
-    return out.withColumn("technical_id", F.format_string("Ö-%03d", F.col("_before") + F.col("row_number"))).drop("_before")
+    return row_numbers(rows).join(starts, ["exam", "group"]).withColumn("technical_id", F.format_string("Ö-%03d", F.col("_before") + F.col("row_number"))).drop("_before")
+
+
+def row_numbers(rows: DataFrame) -> DataFrame:
+    """rows(exam, group, position) with row_number within the group alone."""
+    return ordered.running(rows, ["exam", "group"], ["position"], F.lit(1), "row_number").withColumn("row_number", F.col("row_number").cast("int"))
 
 
 def padded(rows: DataFrame, expected: DataFrame) -> DataFrame:

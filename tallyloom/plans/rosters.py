@@ -31,7 +31,7 @@ _PADDED = "with s as (select o_custkey as exam, cast(row_number() over (partitio
 def entry_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("exam"), F.lit("one").alias("group"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").cast("string").alias("student_no"))
     expected = table(spark, d, "customer").select(F.col("c_custkey").alias("exam"), (F.col("c_custkey") % 12).alias("expected"))
-    return rosters.padded(rosters.numbered(rows), expected)
+    return rosters.padded(rosters.row_numbers(rows), expected)
 
 
 @query("with r as (select o_orderpriority as exam, o_orderkey as position, o_orderstatus as st, case when o_custkey % 11 = 0 then null else cast(o_custkey as varchar) end as no from orders), c as (select * from r where st = 'O') select exam, position, 'NO_STUDENT_NUMBER' as code from c where no is null union all select exam, position, 'SAVED_BEFORE' from c where exists (select 1 from r s where s.st = 'F' and s.exam = c.exam and s.no = c.no) union all select exam, position, 'REPEATED' from (select *, row_number() over (partition by exam, no order by position) as k from c where no is not null) where k > 1")

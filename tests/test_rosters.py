@@ -48,3 +48,13 @@ def test_shapes_warnings_and_models(spark):
     assert {r.source: r.resolved for r in rosters.resolved(warnings, rows).collect()} == {"f": True, "g": False, "h": False}
     asked = spark.createDataFrame([("e", 1, 10.0, "A"), ("e", 2, None, "")], "exam string, question int, max_score double, answer_key string")
     assert tuple(rosters.scoring_model(asked).first()) == ("e", 10.0, {1: 10.0, 2: None}, False)
+
+
+def test_ranges_are_not_joined_by_sorting(spark):
+    from tallyloom.operators import ordered, rosters
+
+    rows = spark.createDataFrame([(e, "g", p) for e in ("a", None) for p in range(40)] + [(f"x{i}", "g", 1) for i in range(30)], "exam string, group string, position int")
+    out = ordered.running(rows, ["exam", "group"], ["position"], F.lit(1), "n")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.exam), r.position, r.n) for r in out.collect()) == sorted([(e, p, p + 1) for e in ("a", "None") for p in range(40)] + [(f"x{i}", 1, 1) for i in range(30)])
+    assert rosters.row_numbers(rows).columns == ["exam", "group", "position", "row_number"]
