@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
@@ -16,7 +16,7 @@ from tallyloom.sources import readers
 class Provider:
     """Reads files(path, content) with one of suffixes into rows of readers.CELLS, a row with an error for each file that it can't read.
 
-    Without read, its files are known but can't be read here; warning is the code that says why.
+    Providers with the same read get their files from it in one pass; such a read leaves paths as they are. Without read, its files are known but can't be read here; warning is the code that says why.
     """
 
     name: str
@@ -46,21 +46,25 @@ class Providers:
         A file whose provider can't read has its provider's warning, one of no provider NO_PROVIDER; these stay as a placeholder row, so that no file is lost. A file that a provider fails to
         read has its warning and what went wrong. Null paths are of no provider.
         """
-        suffix, owners = text.suffix(F.coalesce("path", F.lit(""))), self.of_suffix()
-        name = F.lit(None).cast("string")
-        for s, owner in owners.items():
-            name = F.when(suffix == s, F.lit(owner)).otherwise(name)
-        rows = files.select("path", "content", name.alias("provider"))
-        nothing = [F.lit(None).cast("int").alias(c) for c in ("table_ix", "row_ix", "cell_ix")]
-        blank = lambda part, said: part.select("provider", "path", *nothing, F.lit(None).cast("string").alias("text"), said.alias("error"))
-        out = blank(rows.where("provider is null"), F.lit("NO_PROVIDER"))
+        owners = self.of_suffix()
+        reads: dict[Callable[[DataFrame], DataFrame], list[Provider]] = {}
         for p in self.known.values():
-            own = rows.where(F.col("provider") == p.name)
-            if p.read is None:
-                out = out.unionByName(blank(own, F.lit(p.warning)))
-            else:
-                error = F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{p.warning}: "), F.col("error")))
-                out = out.unionByName(p.read(own.select("path", "content")).withColumn("error", error).withColumn("provider", F.lit(p.name)))
+            if p.read is not None:
+                reads.setdefault(p.read, []).append(p)
+
+        def of_path(values: dict[str, str]) -> Column:
+            """values by provider for the path's, which is looked up once for a row."""
+            pairs = [F.lit(x) for s, owner in owners.items() if owner in values for x in (s, values[owner])]
+            return F.create_map(*pairs)[text.suffix(F.coalesce("path", F.lit("")))] if pairs else F.lit(None).cast("string")
+
+        unread = [p for p in self.known.values() if p.read is None]
+        nothing = [F.lit(None).cast("int").alias(c) for c in ("table_ix", "row_ix", "cell_ix")]
+        error = F.coalesce(of_path({p.name: p.warning for p in unread}), F.lit("NO_PROVIDER"))
+        out = files.where(of_path({p.name: p.name for own in reads.values() for p in own}).isNull()).select(of_path({p.name: p.name for p in unread}).alias("provider"), "path", *nothing, F.lit(None).cast("string").alias("text"), error.alias("error"))
+        for read, own in reads.items():
+            found = read(files.where(of_path({p.name: p.name for p in own}).isNotNull()).select("path", "content"))
+            name, warning = (F.lit(own[0].name), F.lit(own[0].warning)) if len(own) == 1 else (of_path({p.name: p.name for p in own}), of_path({p.name: p.warning for p in own}))
+            out = out.unionByName(found.withColumn("error", F.when(F.col("error").isNotNull(), F.concat(warning, F.lit(": "), F.col("error")))).withColumn("provider", name))
         return out
 
 
@@ -74,4 +78,6 @@ PROVIDERS = Providers(
 def documents(cells: DataFrame) -> DataFrame:
     """path, provider, tables, cells (that have text) and warning of Providers.cells(), a row for each file."""
     said = F.coalesce(F.trim("text"), F.lit("")) != ""
-    return cells.groupBy("path").agg(F.max("provider").alias("provider"), F.countDistinct("table_ix").alias("tables"), F.count_if(said).alias("cells"), F.max("error").alias("warning"))
+    # counted by hash before there is a greatest text, for which Spark would sort all cells
+    tables = cells.groupBy("path", "provider", "table_ix", "error").agg(F.count_if(said).alias("cells"))
+    return tables.groupBy("path").agg(F.max("provider").alias("provider"), F.countDistinct("table_ix").alias("tables"), F.sum("cells").alias("cells"), F.max("error").alias("warning"))

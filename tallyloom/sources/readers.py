@@ -11,10 +11,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ CELLS = "path string, table_ix int, row_ix int, cell_ix int, text string, error
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 MAX_MANIFEST = 2 * 1024 * 1024
+#: rows of cells that a task hands on at a time
+CELL_ROWS = 16384
 
 OUTCOMES = "learning_outcomes array<struct<id: string, title: string, keywords: array<string>>>"
 ANSWERS = "student_results array<struct<student_no: string, full_name: string, answers: array<struct<question_id: string, answer: string>>>>"
@@ -107,36 +111,74 @@ class _Rows(HTMLParser):
             self.cell.append(data)
 
 
+#: A tag that any parser reads alike: no attributes but quoted ones, no element whose text isn't markup.
+_TAG = re.compile(r"""<(/?[tT][dDhHrR](?=>)|/[a-zA-Z][a-zA-Z0-9]*(?=>)|(?!(?i:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)[ >])[a-zA-Z][a-zA-Z0-9]*)(?: +[a-zA-Z-]+="[^"<>]*")*>""")
+
+
+def _html_rows(text: str) -> list[list[str]]:
+    """Rows of cells of a page. Where each < of a page begins a plain tag it is cut at its tags, which gives what the parser gives in a fraction of the time; the parser reads all others."""
+    parts = _TAG.split(text)
+    if text.count("<") != len(parts) // 2:
+        parser = _Rows()
+        parser.feed(text)
+        return parser.rows
+    rows: list[list[str]] = []
+    cell = None
+    for tag, said in zip(parts[1::2], map(unescape, parts[2::2]) if "&" in text else parts[2::2], strict=True):
+        tag = tag.lower()
+        if tag == "td" or tag == "th":
+            cell = said
+            continue
+        if tag == "tr":
+            rows.append([])
+        if cell is None:
+            continue
+        if tag == "/td" or tag == "/th":
+            if not rows:
+                rows.append([])
+            rows[-1].append(cell.strip())
+            cell = None
+        else:
+            cell += said
+    return rows
+
+
 def _html_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
-    parser = _Rows()
-    parser.feed(content.decode("utf-8", "replace"))
-    for r, row in enumerate(x for x in parser.rows if any(x)):
+    for r, row in enumerate(x for x in _html_rows(content.decode("utf-8", "replace")) if any(x)):
         for c, text in enumerate(row):
             yield 0, r, c, text
 
 
 def cells(files: DataFrame) -> DataFrame:
     """Table cells of files(path, content): DOCX, XLSX and HTML by extension; a file that can't be read gives one row with its error, one without cells a row without."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    names = ["path", "table_ix", "row_ix", "cell_ix", "text", "error"]
+
+    def arrow(rows):
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
+        out = []
         for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 suffix = path.rpartition(".")[2].lower()
                 try:
                     if suffix in ("docx", "xlsx"):
                         found = list(_office_cells(bytes(content), suffix))
                     elif suffix in ("html", "htm"):
-                        found = list(_html_cells(bytes(content)))
+                        found = _html_cells(bytes(content))
                     else:
                         raise ValueError(f"no reader for .{suffix}")
-                    out += [(path, *f, None) for f in found] or [(path, None, None, None, None, None)]
+                    out += [(path, t, r, c, said, None) for t, r, c, said in found] or [(path, None, None, None, None, None)]
                 except Exception as error:  # of one file: told in its row
                     out.append((path, None, None, None, None, f"{type(error).__name__}: {error}"[:200]))
-            frame = pd.DataFrame(out, columns=["path", "table_ix", "row_ix", "cell_ix", "text", "error"])
-            yield frame.astype({"table_ix": "Int32", "row_ix": "Int32", "cell_ix": "Int32"})
+                while len(out) >= CELL_ROWS:
+                    yield arrow(out[:CELL_ROWS])
+                    del out[:CELL_ROWS]
+        if out:
+            yield arrow(out)
 
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    return files.select("path", "content").mapInArrow(run, CELLS)
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
